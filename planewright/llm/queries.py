@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from planewright.llm import packing, token_store
+from planewright.llm import packing, quality_rules, secret_scan, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: the fixed patterns' spans and those that the models add."""
+    ratios = secret_scan.train(secret_scan.labelled_samples(spark))
+    found = secret_scan.with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), ratios)
+    base = F.filter("__secrets", lambda x: x["rank"] < 3)
+    count = lambda k: F.size(F.filter("__secrets", lambda x: x["rank"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("__secrets")).alias("spans"))
+
+
 @register
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 ids."""
@@ -31,3 +42,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as id shards and read back by key."""
     return token_store.read_store(spark, token_store.write_store(table(spark, sf_dir, "documents")))
+
+
+@register
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and the verdict of the likelihood ratio for all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratios = quality_rules.log_ratios(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.with_rules(docs, ratios).select("doc_id", "__rules.*")
