@@ -16,11 +16,11 @@ from planewright.llm.common import text_of
 #: Buckets of hashed n-grams.
 BUCKETS = 16_384
 #: Prior strength: pseudo n-grams per bucket, spread as the corpus is.
-PRIOR = 4.0
+PRIOR = 16.0
 #: At most so many trusted documents (those with the smallest id hashes) form the target.
 TRUSTED_MOST = 20_000
 #: A document is kept from this mean log ratio on, less SLACK / sqrt(n-grams).
-THRESHOLD, SLACK = -0.04, 0.3
+THRESHOLD, SLACK = -0.045, 0.4
 MIN_WORDS, MOST_REPEATED = 50, 50
 
 SPACES = r"[\\x20\\x09-\\x0D]+"

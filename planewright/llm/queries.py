@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planewright.llm import packing, quality_rules, secret_scan, token_store
+from planewright.llm import packing, quality_rules, secret_scan, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ratios = quality_rules.log_ratios(docs, table(spark, sf_dir, "labels"))
     return quality_rules.with_rules(docs, ratios).select("doc_id", "__rules.*")
+
+
+@register
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    pages = warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -139,7 +139,7 @@ class Shard:
 class ShardWriter:
     def __init__(self, uri: str, width: int):
         files, path = _open(uri)
-        self.out, self.width = files.open_output_stream(path, buffer_size=1 << 20), width
+        self.out, self.width = files.open_output_stream(path, compression=None, buffer_size=1 << 20), width
         self.borders, self.keys, self.nulls = [0], [], []
 
     def add(self, key: int | None, payload: bytes) -> None:
