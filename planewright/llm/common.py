@@ -91,3 +91,47 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     """64-bit fingerprints of data[start:end], equal for equal bytes wherever they stand."""
     raw = (sums[end] - sums[start]) * powers(len(sums), inverse=True)[start]
     return mix(raw + (end - start).astype(np.uint64))
+
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: Word bytes: all but the six ASCII space characters.
+SPACED = np.ones(256, bool)
+SPACED[[9, 10, 11, 12, 13, 32]] = False
+#: Word bytes: digits, lower-case letters and whatever is not ASCII.
+ALNUM = np.zeros(256, bool)
+ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
+
+
+def words(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and fingerprints of the words (runs of bytes in ``table``) of bytes with A-Z lower-cased."""
+    data = _FOLD[data]
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = table[data]
+    edges = np.diff(inside)
+    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    return start, end, span_hash(prefix_hash(data), start, end)
+
+
+def sections(data: np.ndarray, table: np.ndarray, window: int, size: int):
+    """One text's word fingerprints, section by section, each with the number of words before it.
+
+    Sections take ``size`` bytes and overlap by ``window`` - 1 words.
+    """
+    begin, before = 0, 0
+    while True:
+        end = min(len(data), begin + size)
+        if end < len(data):
+            gap = np.flatnonzero(~table[_FOLD[data[begin:end]]])
+            if len(gap):
+                end = begin + int(gap[-1]) + 1
+            else:
+                end = next((e for e in range(end, len(data)) if not table[_FOLD[data[e]]]), len(data))
+        start, _, h = words(data[begin:end], table)
+        yield h, before
+        if end == len(data):
+            return
+        keep = max(0, len(h) - window + 1)
+        if keep == 0 and begin + int(start[0] if len(h) else 0) == begin:
+            size *= 2  # fewer words than the overlap: the next section must reach further
+        begin, before = begin + int(start[keep]) if keep < len(h) else end, before + keep

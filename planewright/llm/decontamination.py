@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planewright.llm.common import prefix_hash, row_key, span_hash, text_of
+from planewright.llm.common import ALNUM, row_key, sections, text_of, words
 from planewright.llm.tokens import utf8
 
 WINDOW = 10
@@ -25,28 +25,13 @@ BLOCK = 4 << 20
 #: Bytes of benchmark text that one round holds in each worker.
 ROUND_BYTES = 64 << 20
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_WORD = np.zeros(256, bool)
-_WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
-
-
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and fingerprints of the words of lower-cased bytes."""
-    data = _FOLD[data]
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = _WORD[data]
-    edges = np.diff(inside)
-    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    return start, end, span_hash(prefix_hash(data), start, end)
-
 
 class Windows:
     """The windows of a round's items, ready for binary search."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.window = window
-        texts = [words(np.frombuffer(t, np.uint8))[2] for _, t in items]
+        texts = [words(np.frombuffer(t, np.uint8), ALNUM)[2] for _, t in items]
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *texts]))
         self.bits = max(1, int(len(self.vocabulary) + 1).bit_length())
         self.per = 64 // self.bits
@@ -156,22 +141,6 @@ class Windows:
         return [tuple(s) for s in spans], names, longest
 
 
-def sections(data: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, int]]:
-    """A document's fingerprints section by section, each with the number of words before it."""
-    begin, before = 0, 0
-    while True:
-        end = min(len(data), begin + BLOCK)
-        if end < len(data):
-            gap = np.flatnonzero(~_WORD[_FOLD[data[begin:end]]])
-            end = begin + int(gap[-1]) + 1 if len(gap) else len(data)
-        start, _, h = words(data[begin:end])
-        yield h, before
-        if end == len(data):
-            return
-        keep = max(0, len(h) - window + 1)
-        begin, before = (begin + int(start[keep]) if keep < len(h) and keep else end), before + (keep if keep else len(h))
-
-
 def scan(test: Windows, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, list, list, list[int]]:
     """Word counts, merged spans, sorted item names and longest matches of texts laid end to end."""
     n = len(borders) - 1
@@ -182,7 +151,7 @@ def scan(test: Windows, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarr
         part, inner = data[borders[i] : borders[j]], borders[i : j + 1] - borders[i]
         if j == i + 1:
             spot, which = [], []
-            for h, before in sections(part, test.window):
+            for h, before in sections(part, ALNUM, test.window, BLOCK):
                 s, w = test.search(test.number(h), np.zeros(len(h), np.int64))
                 spot.append(s + before)
                 which.append(w)
@@ -190,7 +159,7 @@ def scan(test: Windows, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarr
             places = np.unique(np.stack([np.concatenate(spot), np.concatenate(which)]).astype(np.int64), axis=1)
             by = [(i, places[0], places[1])] if places.size else []
         else:  # a space between documents keeps their words apart
-            start, _, h = words(np.insert(part, inner[1:-1], 32))
+            start, _, h = words(np.insert(part, inner[1:-1], 32), ALNUM)
             text = np.searchsorted(inner[1:-1] + np.arange(len(inner) - 2), start, "right")
             counts[i:j] = np.bincount(text, minlength=j - i)
             spot, which = test.search(test.number(h), text)
