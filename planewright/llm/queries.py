@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planewright.llm import decontamination, minhash, packing, quality_rules, secret_scan, token_store, warc
+from planewright.llm import decontamination, minhash, packing, quality_rules, repeats, secret_scan, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +44,12 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, token_store.write_store(table(spark, sf_dir, "documents")))
 
 
+@register
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages of 400 bytes that start at more than one place."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @register
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the verdict of the likelihood ratio for all documents."""
