@@ -114,7 +114,7 @@ def words(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def sections(data: np.ndarray, table: np.ndarray, window: int, size: int):
-    """One text's word fingerprints, section by section, each with the number of words before it.
+    """One text's words section by section: bytes, starts and ends in them, fingerprints, and the number of words before.
 
     Sections take ``size`` bytes and overlap by ``window`` - 1 words.
     """
@@ -127,8 +127,8 @@ def sections(data: np.ndarray, table: np.ndarray, window: int, size: int):
                 end = begin + int(gap[-1]) + 1
             else:
                 end = next((e for e in range(end, len(data)) if not table[_FOLD[data[e]]]), len(data))
-        start, _, h = words(data[begin:end], table)
-        yield h, before
+        start, stop, h = words(data[begin:end], table)
+        yield data[begin:end], start, stop, h, before
         if end == len(data):
             return
         keep = max(0, len(h) - window + 1)

@@ -151,7 +151,7 @@ def scan(test: Windows, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarr
         part, inner = data[borders[i] : borders[j]], borders[i : j + 1] - borders[i]
         if j == i + 1:
             spot, which = [], []
-            for h, before in sections(part, ALNUM, test.window, BLOCK):
+            for _, _, _, h, before in sections(part, ALNUM, test.window, BLOCK):
                 s, w = test.search(test.number(h), np.zeros(len(h), np.int64))
                 spot.append(s + before)
                 which.append(w)
@@ -166,7 +166,7 @@ def scan(test: Windows, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarr
             own = text[spot]
             edge = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
             first = np.cumsum(counts[i:j]) - counts[i:j]
-            by = [(i + own[a], spot[a:b] - first[own[a]], which[a:b]) for a, b in zip(edge, np.append(edge[1:], len(own)), strict=True)]
+            by = [(i + own[a], spot[a:b] - first[own[a]], which[a:b]) for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(own)], strict=False)]
         for k, s, w in by:
             spans[k], found, longest[k] = test.summary(s, w)
             names[k] = sorted(found, key=str.encode)

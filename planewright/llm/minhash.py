@@ -52,7 +52,7 @@ def shingle_sets(data: np.ndarray, borders: np.ndarray, size: int) -> tuple[np.n
         j = max(i + 1, int(np.searchsorted(borders, borders[i] + BLOCK, "right")) - 1)
         part, inner = data[borders[i] : borders[j]], borders[i : j + 1] - borders[i]
         if j == i + 1:
-            w = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in sections(part, SPACED, 1, BLOCK))])
+            w = np.concatenate([np.zeros(0, np.uint64), *(h for _, _, _, h, _ in sections(part, SPACED, 1, BLOCK))])
             first = np.array([0, len(w)])
         else:
             start, _, w = words(np.insert(part, inner[1:-1], 32), SPACED)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planewright.llm import decontamination, minhash, packing, quality_rules, repeats, secret_scan, token_store, warc
+from planewright.llm import decontamination, language_id, minhash, packing, quality_rules, repeats, secret_scan, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@register
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from the labelled ones that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs)).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 @register
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as id shards and read back by key."""
