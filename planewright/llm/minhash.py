@@ -331,3 +331,17 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     named = classes.select("class_id", "node").join(roots, "node", "left").select("class_id", F.coalesce("root", "node").alias("root"))
     out = sketches.select("doc_id", "n_shingles", "class_id").join(named, "class_id", "left")
     return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id").cast("long")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, that with the smallest id; columns stay as they are.
+
+    Rows that repeat a kept id all stay only if their texts differ: equal id and text leaves one.
+    Documents without an id stay.
+    """
+    found = groups(docs, id_column, text_column, shingle, percent)
+    gone = found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, docs[id_column] == F.col("__gone"), "left_anti")
+    keyed = left.withColumn("__hash", F.xxhash64(text_column))
+    named = keyed.filter(F.col(id_column).isNotNull()).dropDuplicates([id_column, "__hash"])
+    return named.unionByName(keyed.filter(F.col(id_column).isNull())).drop("__hash")

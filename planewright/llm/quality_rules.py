@@ -91,8 +91,14 @@ def _repeated_words() -> Column:
     )
 
 
+def kept(docs: DataFrame, ratios: list[float], text_column: str = "text") -> DataFrame:
+    """``docs`` without the rows that fail; columns stay as they are."""
+    judged = with_rules(docs, ratios, text_column)
+    return judged.filter((F.col("__row") >= 0) & F.col("__rules.kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def with_rules(docs: DataFrame, ratios: list[float], text_column: str = "text", into: str = "__rules", buckets: int = BUCKETS) -> DataFrame:
-    """``docs`` with a struct of the rule counts, the score and the verdict in column ``into``.
+    """``docs`` with a struct of the rule counts, the score and the verdict in column ``into`` (and a row number, ``__row``).
 
     Null and empty texts have no words and fail; ties and repeated rows are judged alike, each by
     itself; an empty table stays empty; all other columns stay as they are (one named ``into`` is
@@ -117,4 +123,5 @@ def with_rules(docs: DataFrame, ratios: list[float], text_column: str = "text",
         (~failed & fits).alias("kept"),
         F.col("__s").alias("score"),
     )
-    return held.withColumn(into, rules).drop("__t", "__w", "__h", "__g", "__r", "__l", "__n", "__p", "__s")
+    # the row number keeps a filter on the verdict above this projection: pushed below, it would take a copy of all of it
+    return held.withColumns({into: rules, "__row": F.monotonically_increasing_id()}).drop("__t", "__w", "__h", "__g", "__r", "__l", "__n", "__p", "__s")
