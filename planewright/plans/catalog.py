@@ -1,5 +1,6 @@
 """Every geometry query of the library, gathered from the modules that define them."""
 
+from planewright.plans import queries as _queries
 from planewright.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "_queries"]
