@@ -45,6 +45,16 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def boxed(docs: DataFrame) -> Column:
+    """All columns of a row in one struct, out of the way of an operator's own names."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__in")
+
+
+def unboxed(docs: DataFrame, *but: str) -> list[Column]:
+    """The columns that ``boxed`` put away, but for some."""
+    return [F.col(f"__in.`{c}`").alias(c) for c in docs.columns if c not in but]
+
+
 def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
     """A 64-bit key of a document's id and text: rows that repeat both share it."""
     return F.xxhash64(F.col(id_column), F.col(text_column))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planewright.llm.common import text_of
+from planewright.llm.common import boxed, text_of, unboxed
 
 #: Buckets of hashed n-grams.
 BUCKETS = 16_384
@@ -104,7 +104,7 @@ def with_rules(docs: DataFrame, ratios: list[float], text_column: str = "text",
     itself; an empty table stays empty; all other columns stay as they are (one named ``into`` is
     replaced).
     """
-    held = docs.withColumn("__t", text_of(text_column)).withColumn("__w", words_of(F.col("__t")))
+    held = docs.select(boxed(docs), text_of(text_column).alias("__t")).withColumn("__w", words_of(F.col("__t")))
     held = held.withColumn("__h", F.expr("if(size(__w) > 2, transform(sequence(0, size(__w) - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])), array())"))
     held = held.withColumn("__g", _ngrams("__w", buckets)).withColumn("__r", literal_array(ratios))
     lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -124,4 +124,4 @@ def with_rules(docs: DataFrame, ratios: list[float], text_column: str = "text",
         F.col("__s").alias("score"),
     )
     # the row number keeps a filter on the verdict above this projection: pushed below, it would take a copy of all of it
-    return held.withColumns({into: rules, "__row": F.monotonically_increasing_id()}).drop("__t", "__w", "__h", "__g", "__r", "__l", "__n", "__p", "__s")
+    return held.select(*unboxed(docs, into, "__row"), rules.alias(into), F.monotonically_increasing_id().alias("__row"))

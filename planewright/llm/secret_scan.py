@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planewright.llm.common import text_of
+from planewright.llm.common import boxed, text_of, unboxed
 from planewright.llm.quality_rules import literal_array
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -106,7 +106,7 @@ def with_secrets(docs: DataFrame, ratios: list[float], text_column: str = "text"
     random. Null and empty texts have an empty array; repeated rows are scanned alike; an empty
     table stays empty; other columns stay as they are (one named ``into`` is replaced).
     """
-    held = docs.withColumn("__t", text_of(text_column)).withColumn("__r", literal_array(ratios))
+    held = docs.select(boxed(docs), text_of(text_column).alias("__t")).withColumn("__r", literal_array(ratios))
     found = []
     for rank, (kind, pattern, group, least) in enumerate(KINDS):
         if kind == "hex":  # a match is a whole run, so short runs can be left unmatched at once
@@ -122,7 +122,7 @@ def with_secrets(docs: DataFrame, ratios: list[float], text_column: str = "text"
     score = "aggregate(sequence(1, size(x.codes) - 1), 0D, (a, i) -> a + __r[x.codes[i - 1] * 128 + x.codes[i]]) / (size(x.codes) - 1)"
     held = held.withColumn("__x3", F.expr(f"transform(filter(__x3, x -> {score} >= {threshold}), x -> struct(x.start AS start, 3 AS rank, '{RANDOM}' AS kind, x.end AS end))"))
     spans = F.array_sort(F.concat(*found, F.col("__x3")))
-    return held.withColumn(into, spans).drop("__t", "__r", "__m", "__g", *(f"__x{i}" for i in range(4)))
+    return held.select(*unboxed(docs, into), spans.alias(into))
 
 
 def joined(spans: Column) -> Column:
