@@ -100,7 +100,7 @@ def segment_parameter(s: Column, p: Column) -> Column:
     """Where on the segment the closest point to p lies, 0 to 1; 0 on a segment without length."""
     d = sub(s.end, s.start)
     t = F.try_divide(dot(sub(p, s.start), d), dot(d, d))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)), F.lit(0.0))
+    return F.when(dot(d, d) == 0, 0.0).when(t.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
 
 
 def closest_on_segment(s: Column, p: Column) -> Column:
