@@ -360,3 +360,55 @@ def sobol(i: str, direction: list[int]) -> Column:
     """One dimension in Gray-code order from 32-bit direction numbers."""
     words = ", ".join(f"{d}L" for d in direction)
     return F.expr(f"aggregate(sequence(0, {len(direction) - 1}), 0L, (s, k) -> s ^ if(shiftright({i} ^ shiftright({i}, 1), k) % 2 = 1, array({words})[k], 0L)) / 4294967296D")
+
+
+def sobol_directions(m: list[int], step: int = 0, bits: int = 16) -> list[int]:
+    """32-bit direction numbers: first values ``m``, then m[i] = 2 m[i-1] ^ m[i-2]; ``step`` 1 leaves all m at 1."""
+    while len(m) < bits:
+        m = [*m, 1 if step else (2 * m[-1]) ^ m[-2]]
+    return [v << (31 - k) for k, v in enumerate(m[:bits])]
+
+
+def ring_distance(r: str, p: str) -> Column:
+    """Signed distance to a ring's outline, negative inside."""
+    a, b = f"{r}[i]", f"{r}[(i + 1) % size({r})]"
+    d2 = f"(power({b}.x - {a}.x, 2) + power({b}.y - {a}.y, 2))"
+    t = f"coalesce(greatest(0D, least(1D, try_divide(({p}.x - {a}.x) * ({b}.x - {a}.x) + ({p}.y - {a}.y) * ({b}.y - {a}.y), {d2}))), 0D)"
+    near = F.expr(f"array_min(transform(sequence(0, size({r}) - 1), i -> sqrt(power({a}.x + ({b}.x - {a}.x) * {t} - {p}.x, 2) + power({a}.y + ({b}.y - {a}.y) * {t} - {p}.y, 2))))")
+    return F.when(F.size(r) > 2, F.when(ring_contains(r, p), -near).otherwise(near))
+
+
+def self_crossings(r: str) -> Column:
+    """Number of pairs of a line's segments that cross in their insides."""
+    turn = lambda a, b, c: f"(({b}.x - {a}.x) * ({c}.y - {a}.y) - ({b}.y - {a}.y) * ({c}.x - {a}.x))"
+    a, b, c, d = (f"{r}[{k}]" for k in ("i", "i + 1", "j", "j + 1"))
+    crossed = f"{turn(a, b, c)} * {turn(a, b, d)} < 0 AND {turn(c, d, a)} * {turn(c, d, b)} < 0"
+    inner = f"size(filter(if(i + 2 <= size({r}) - 2, sequence(i + 2, size({r}) - 2), array()), j -> {crossed}))"
+    return F.when(F.size(r) < 4, F.lit(0)).otherwise(F.expr(f"aggregate(sequence(0, size({r}) - 4), 0, (s, i) -> s + {inner})"))
+
+
+def rational_quadratic(t: Column, weight: Column | float, *p: Column) -> Column:
+    """A conic: a quadratic curve whose middle point has a weight."""
+    u = 1 - t
+    w = (u * u, 2 * u * t * weight, t * t)
+    total = lambda f: (w[0] * p[0][f] + w[1] * p[1][f] + w[2] * p[2][f]) / (w[0] + w[1] + w[2])
+    return point(total("x"), total("y"))
+
+
+def uniform_bspline(t: Column, p0: Column, p1: Column, p2: Column, p3: Column) -> Column:
+    """One span of a uniform cubic B-spline."""
+    t2, t3 = t * t, t * t * t
+    w = ((1 - 3 * t + 3 * t2 - t3) / 6, (4 - 6 * t2 + 3 * t3) / 6, (1 + 3 * t + 3 * t2 - 3 * t3) / 6, t3 / 6)
+    total = lambda f: w[0] * p0[f] + w[1] * p1[f] + w[2] * p2[f] + w[3] * p3[f]
+    return point(total("x"), total("y"))
+
+
+def curvature(t: Column, *p: Column) -> Column:
+    """Signed curvature of a cubic Bezier curve, null where it stands still."""
+    d = bezier_derivative(t, *p)
+    q = [sub(b, a) for a, b in zip(p, p[1:], strict=False)]
+    e = [sub(b, a) for a, b in zip(q, q[1:], strict=False)]
+    u = 1 - t
+    dd = point(6 * (u * e[0].x + t * e[1].x), 6 * (u * e[0].y + t * e[1].y))
+    speed = F.nullif(F.sqrt(dot(d, d)), F.lit(0.0))
+    return cross(d, dd) / (speed * speed * speed)
