@@ -6,8 +6,8 @@ around a trigger (all bytes that a passage with this trigger can reach) goes int
 distinct phrases; the parse keeps where each phrase stands. A phrase that stands twice is repeated
 as a whole. Phrases that only share their trigger are ordered by their passages, a trigger at a time,
 as a suffix array of the dictionary does; equal neighbours are repeats. Groups of too many phrases
-are first split by what their passages have in common, half of the offsets at a time, until each
-part fits one task or is one passage, for which a count is enough.
+are first split by what their passages have in common, half of the offsets at a time; phrases alike in a
+whole half are settled there and then and one goes on for all, until each part fits one task.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from planewright.llm.tokens import utf8
 
 PASSAGE, TRIGGER = 400, 200
 BLOCK = 1 << 20
-#: Phrases of one trigger that a task orders at once.
-GROUP = 4096
+#: Phrases of one trigger that a task orders at once (201 passages each, some 50 bytes a passage: about 80 MB).
+GROUP = 1024
 
 
 def sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -175,26 +175,33 @@ def _ordered(phrases: DataFrame, passage: int) -> DataFrame:
 
 
 def _halved(phrases: DataFrame, passage: int) -> DataFrame:
-    """Each phrase twice, once for either half of its offsets, grouped anew by the bytes that all passages of the half share."""
+    """Each phrase once for either half of its offsets, grouped anew by the bytes that all passages of the half share.
+
+    ``whole`` names all bytes that the phrase's passages of the half cover, [start, end) their place.
+    """
+    columns = ["grp", "key", "pos", "before", "low", "high", "phrase"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def name(data: bytes, *more: int) -> int:
+            return int.from_bytes(hashlib.blake2b(data + repr(more).encode(), digest_size=8).digest(), "little", signed=True)
+
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            grp, key, pos, before, low, high = (batch.column(k).to_numpy() for k in range(6))
             rows = []
-            for k, phrase in enumerate(batch.column(6).to_pylist()):
-                mid = (int(low[k]) + int(high[k])) // 2
-                for lo, hi in ((int(low[k]), mid), (mid, int(high[k]))):
-                    start, end = int(before[k]) - lo, int(before[k]) + passage - hi + 1
-                    if hi > lo and start >= 0 and end <= len(phrase):
-                        core = hashlib.blake2b(phrase[start:end] + b"%d %d %d" % (grp[k], lo, hi), digest_size=8).digest()
-                        rows.append((int.from_bytes(core, "little", signed=True), key[k], pos[k], before[k], lo, hi, phrase))
+            for grp, key, pos, before, low, high, phrase in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                mid = (low + high) // 2
+                for lo, hi in ((low, mid), (mid, high)):
+                    a, b = max(lo, passage - (len(phrase) - before)), min(hi, before + 1)  # offsets that the phrase has room for
+                    if a < b:
+                        core = name(phrase[before - lo : before + passage - hi + 1], grp, lo, hi)
+                        whole = name(phrase[before - b + 1 : before - a + passage], a, b)
+                        rows.append((core, key, pos, before, lo, hi, phrase, whole, pos - b + 1, pos - a + passage))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["grp", "key", "pos", "before", "low", "high", "phrase"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*columns, "whole", "start", "end"])
 
-    return phrases.select("grp", "key", "pos", "before", "low", "high", "phrase").mapInArrow(run, phrases.select("grp", "key", "pos", "before", "low", "high", "phrase").schema)
+    return phrases.select(*columns).mapInArrow(run, "grp long, key long, pos long, before int, low int, high int, phrase binary, whole long, start long, end long")
 
 
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", passage: int = PASSAGE, trigger: int = TRIGGER) -> DataFrame:
@@ -238,10 +245,12 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         fit = phrases.join(large.select("grp"), "grp", "left_anti")
         marks = marks.unionByName(_ordered(fit, passage))
         halves = written(_halved(phrases.join(large.select("grp"), "grp", "left_semi"), passage), "halves")
-        single = halves.filter("high - low = 1")  # one passage: more than one phrase with it is a repeat
-        twice = single.join(single.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp"), "grp", "left_semi")
-        marks = marks.unionByName(twice.select("key", (F.col("pos") - F.col("low")).alias("start"), (F.col("pos") - F.col("low") + passage).alias("end")))
-        phrases = halves.filter("high - low > 1")
+        # phrases alike in all passages of the half repeat each other in all of them, and one stands for them from here on
+        alike = written(halves.groupBy("grp", "whole").agg(F.count("*").alias("n"), F.first(F.struct("key", "pos", "before", "low", "high", "phrase")).alias("one")), "alike")
+        settled = halves.join(alike.filter("n > 1").select("grp", "whole"), ["grp", "whole"], "left_semi")
+        marks = marks.unionByName(settled.select("key", "start", "end"))
+        open_ = alike.groupBy("grp").agg(F.count("*").alias("m")).filter("m > 1").select("grp")
+        phrases = alike.join(open_, "grp", "left_semi").select("grp", "one.*")
     return marks
 
 
