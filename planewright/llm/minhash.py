@@ -246,25 +246,29 @@ def _left_over(members: DataFrame, classes: DataFrame, roots: DataFrame, best: b
     mixed = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
     held = now.join(mixed, "band")
     step = float(np.log(100 / percent))
-    held = held.withColumn("size_class", F.floor(F.log("n_shingles") / step)).withColumn("size_class", F.explode(F.array("size_class", F.col("size_class") + 1)))
+    held = held.withColumn("size_class", F.floor(F.log("n_shingles") / step).cast("long")).withColumn("size_class", F.explode(F.array("size_class", F.col("size_class") + 1)))
     counts = held.groupBy("band", "size_class").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     held = held.join(counts.select("band", "size_class", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")), ["band", "size_class"])
     held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("band", "size_class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n_shingles")
-    held = held.join(classes.select("node", "slots"), "node")
+    held = held.select("band", "size_class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band_no", "node", "root", "n_shingles")
+    held = held.join(classes.select("node", "slots", "bands"), "node")
     key = ["band", "size_class", "i", "j"]
-    dealt = held.repartition(*key).sortWithinPartitions(*key).select(*key, "own", "node", "root", "n_shingles", "slots")
+    dealt = held.repartition(*key).sortWithinPartitions(*key).select(*key, "own", "band_no", "node", "root", "n_shingles", "slots", "bands")
 
-    def pairs_in(own: np.ndarray, i: int, j: int, node: np.ndarray, root: np.ndarray, size: np.ndarray, slots: np.ndarray) -> list[tuple[int, int]]:
+    def pairs_in(size_class: int, i: int, j: int, own: np.ndarray, number: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, slots: np.ndarray, bands: np.ndarray) -> list[tuple[int, int]]:
         if len(node) < 2 or (root == root[0]).all():
             return []
         left = np.flatnonzero(own == i)
+        least_class = np.floor(np.log(size) / step)
         found, agree = {}, percent / 100 - MARGIN
         for a in left:
             right = np.flatnonzero((own == j) & (root != root[a]) & (100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a])))
             if i == j:
                 right = right[right > a]
+            # a pair that meets in several groups is taken in its first band and the first size class that both are in
+            right = right[np.maximum(least_class[right], least_class[a]) == size_class]
+            right = right[(bands[right] == bands[a]).argmax(1) == number[a]] if len(right) else right
             share = (slots[right] == slots[a]).mean(1) if len(right) else np.zeros(0)
             for b, s in zip(right[share >= agree].tolist(), share[share >= agree].tolist(), strict=True):
                 two = (min(node[a], node[b]), max(node[a], node[b]))
@@ -277,18 +281,19 @@ def _left_over(members: DataFrame, classes: DataFrame, roots: DataFrame, best: b
 
         carry = None
         for batch in batches:
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
-            columns.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint16).reshape(len(batch), -1))
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)]
+            columns.append(np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint16).reshape(len(batch), -1))
+            columns.append(batch.column(10).flatten().to_numpy().reshape(len(batch), -1))
             if carry is not None:
                 columns = [np.concatenate(x) for x in zip(carry, columns, strict=True)]
             group = np.stack(columns[:4], 1)
             edge = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
-            rows = [r for a, b in zip(np.append(0, edge[:-1]), edge, strict=True) for r in pairs_in(columns[4][a:b], int(group[a, 2]), int(group[a, 3]), *(c[a:b] for c in columns[5:]))] if len(edge) else []
+            rows = [r for a, b in zip(np.append(0, edge[:-1]), edge, strict=True) for r in pairs_in(*group[a, 1:].tolist(), *(c[a:b] for c in columns[4:]))] if len(edge) else []
             carry = [c[edge[-1] if len(edge) else 0 :] for c in columns]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
         if carry is not None and len(carry[0]):
-            rows = pairs_in(carry[4], int(carry[2][0]), int(carry[3][0]), *carry[5:])
+            rows = pairs_in(*(int(c[0]) for c in carry[1:4]), *carry[4:])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -306,7 +311,7 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     sketches = written(sketch(docs, id_column, text_column, shingle), "sketch")
     real = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(real.groupBy("class_id").agg(F.min("doc_id").cast("long").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("slots").alias("slots")), "classes")
-    spread = classes.select(F.explode("bands").alias("band"), "node", "n_shingles")
+    spread = classes.select(F.posexplode("bands").alias("band_no", "band"), "node", "n_shingles")
     shared = spread.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1").select("band", "centre")
     members = written(spread.join(shared, "band"), "members")
 
