@@ -22,8 +22,10 @@ from planewright.llm.tokens import utf8
 
 #: Slots of a signature, and of a band. A pair at 0.8 shares no band once in 10**7.
 SLOTS, BAND = 128, 4
-#: Signatures that agree in a share of slots this far below the threshold (five standard deviations) rule a pair out.
-MARGIN = 0.18
+#: Slots of the finer signatures that the last round compares, a byte each.
+FINE_SLOTS = 1024
+#: Signatures that agree in a share of slots so many standard deviations below the threshold rule a pair out.
+DEVIATIONS = 5.1
 #: Bytes of text whose signatures are made together.
 BLOCK = 1 << 20
 #: Members of a band that one task compares with as many others.
@@ -93,12 +95,12 @@ def signatures(sets: np.ndarray, borders: np.ndarray, slots: int = SLOTS) -> np.
     np.minimum.at(flat, owner * slots + slot, rank)
     late = np.flatnonzero((out.max(1) >= np.uint64(1 << 40)) & (np.diff(borders) > 0))
     sizes = np.diff(borders)[late]
-    lots = np.cumsum(sizes) // 200_000  # sets whose permutations are held together
+    lots = np.cumsum(sizes) // (25_600_000 // slots)  # sets whose permutations are held together
     for lot in np.unique(lots):
         own = late[lots == lot]
         at = np.concatenate([np.arange(borders[k], borders[k + 1]) for k in own])
         x, doc = sets[at], owner[at]
-        order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.int32), (len(x), 1))
+        order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(x), 1))
         k, _ = drawn(x, 0)
         order[np.arange(len(x)), k] = 0
         for j in range(1, slots):
@@ -235,7 +237,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _left_over(members: DataFrame, classes: DataFrame, roots: DataFrame, best: bool, percent: int) -> DataFrame:
+def _finer(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, slots) with FINE_SLOTS slots of a byte."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                sig = signatures(*shingle_sets(*utf8(part.column(1)), shingle), FINE_SLOTS)
+                short = mix(sig.ravel()).astype(np.uint8).reshape(sig.shape)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in short], pa.binary())], ["node", "slots"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, slots binary")
+
+
+def _left_over(members: DataFrame, classes: DataFrame, roots: DataFrame, best: bool, percent: int, texts: DataFrame, shingle: int) -> DataFrame:
     """Pairs (a, b) of different components that share a band and whose signatures may be similar.
 
     Only bands with two components or more are looked at. Their members go to overlapping classes of
@@ -252,7 +270,12 @@ def _left_over(members: DataFrame, classes: DataFrame, roots: DataFrame, best: b
     held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("band", "size_class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band_no", "node", "root", "n_shingles")
-    held = held.join(classes.select("node", "slots", "bands"), "node")
+    if best:
+        held = held.join(classes.select("node", "slots", "bands"), "node")
+    else:
+        open_ = texts.join(held.select("node").distinct(), "node", "left_semi")
+        fine = written(_finer(open_, shingle).join(classes.select("node", "bands"), "node"), "fine")
+        held = held.join(fine, "node")
     key = ["band", "size_class", "i", "j"]
     dealt = held.repartition(*key).sortWithinPartitions(*key).select(*key, "own", "band_no", "node", "root", "n_shingles", "slots", "bands")
 
@@ -261,7 +284,8 @@ def _left_over(members: DataFrame, classes: DataFrame, roots: DataFrame, best: b
             return []
         left = np.flatnonzero(own == i)
         least_class = np.floor(np.log(size) / step)
-        found, agree = {}, percent / 100 - MARGIN
+        found = {}
+        agree = percent / 100 - DEVIATIONS * np.sqrt(percent * (100 - percent)) / 100 / np.sqrt(slots.shape[1])
         for a in left:
             right = np.flatnonzero((own == j) & (root != root[a]) & (100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a])))
             if i == j:
@@ -282,7 +306,7 @@ def _left_over(members: DataFrame, classes: DataFrame, roots: DataFrame, best: b
         carry = None
         for batch in batches:
             columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)]
-            columns.append(np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint16).reshape(len(batch), -1))
+            columns.append(np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint16 if best else np.uint8).reshape(len(batch), -1))
             columns.append(batch.column(10).flatten().to_numpy().reshape(len(batch), -1))
             if carry is not None:
                 columns = [np.concatenate(x) for x in zip(carry, columns, strict=True)]
@@ -326,7 +350,7 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             votes = members.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
             pairs = votes.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("a")).select("a", F.col("node").alias("b"))
         else:
-            pairs = _left_over(members, classes, roots, best, percent)
+            pairs = _left_over(members, classes, roots, best, percent, texts, shingle)
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
