@@ -26,7 +26,7 @@ from planewright.llm.tokens import utf8
 PASSAGE, TRIGGER = 400, 200
 BLOCK = 1 << 20
 #: Phrases of one trigger that a task orders at once (201 passages each, some 50 bytes a passage: about 80 MB).
-GROUP = 1024
+GROUP = 8192
 
 
 def sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
