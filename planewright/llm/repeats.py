@@ -4,10 +4,11 @@ Texts are parsed at triggers: positions whose rolling hash over ``TRIGGER`` byte
 some passage, so that every passage holds a trigger and equal passages hold the same one. The phrase
 around a trigger (all bytes that a passage with this trigger can reach) goes into a dictionary of
 distinct phrases; the parse keeps where each phrase stands. A phrase that stands twice is repeated
-as a whole. Phrases that only share their trigger are ordered by their passages, a trigger at a time,
-as a suffix array of the dictionary does; equal neighbours are repeats. Groups of too many phrases
-are first split by what their passages have in common, half of the offsets at a time; phrases alike in a
-whole half are settled there and then and one goes on for all, until each part fits one task.
+as a whole. Phrases that only share their trigger are ordered by their passages, a group at a time,
+as a suffix array of the dictionary does; equal neighbours are repeats. Before that, the offsets of
+all these phrases are cut into parts, and only phrases that agree in the bytes that all passages of a
+part share stay in a group. Phrases alike in a whole part are settled there and then and one goes on
+for all; groups still too large for a task are cut in halves until each fits.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ PASSAGE, TRIGGER = 400, 200
 BLOCK = 1 << 20
 #: Phrases of one trigger that a task orders at once (201 passages each, some 50 bytes a passage: about 80 MB).
 GROUP = 8192
+#: Parts of some 25 offsets into which the passages of all contested phrases are cut at first.
+PARTS = 8
 
 
 def sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -174,10 +177,10 @@ def _ordered(phrases: DataFrame, passage: int) -> DataFrame:
     return dealt.select("grp", "key", "pos", "before", "low", "high", "phrase").mapInArrow(run, "key long, start long, end long")
 
 
-def _halved(phrases: DataFrame, passage: int) -> DataFrame:
-    """Each phrase once for either half of its offsets, grouped anew by the bytes that all passages of the half share.
+def _parted(phrases: DataFrame, passage: int, parts: int) -> DataFrame:
+    """Each phrase once for each part of its offsets, grouped anew by the bytes that all passages of the part share.
 
-    ``whole`` names all bytes that the phrase's passages of the half cover, [start, end) their place.
+    ``whole`` names all bytes that the phrase's passages of the part cover, [start, end) their place.
     """
     columns = ["grp", "key", "pos", "before", "low", "high", "phrase"]
 
@@ -191,8 +194,8 @@ def _halved(phrases: DataFrame, passage: int) -> DataFrame:
         for batch in batches:
             rows = []
             for grp, key, pos, before, low, high, phrase in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                mid = (low + high) // 2
-                for lo, hi in ((low, mid), (mid, high)):
+                cuts = [low + (high - low) * k // parts for k in range(parts + 1)]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
                     a, b = max(lo, passage - (len(phrase) - before)), min(hi, before + 1)  # offsets that the phrase has room for
                     if a < b:
                         core = name(phrase[before - lo : before + passage - hi + 1], grp, lo, hi)
@@ -204,6 +207,18 @@ def _halved(phrases: DataFrame, passage: int) -> DataFrame:
     return phrases.select(*columns).mapInArrow(run, "grp long, key long, pos long, before int, low int, high int, phrase binary, whole long, start long, end long")
 
 
+def _settled(parts: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Marks of the phrases alike in all passages of their part, and what is left to order.
+
+    Phrases alike repeat each other in all these passages, and one stands for them from here on; a
+    group with one kind of phrase is done.
+    """
+    alike = written(parts.groupBy("grp", "whole").agg(F.count("*").alias("n"), F.first(F.struct(*columns)).alias("one")), "alike")
+    marks = parts.join(alike.filter("n > 1").select("grp", "whole"), ["grp", "whole"], "left_semi").select("key", "start", "end")
+    open_ = alike.groupBy("grp").agg(F.count("*").alias("m")).filter("m > 1").select("grp")
+    return marks, alike.join(open_, "grp", "left_semi").select("grp", "one.*")
+
+
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", passage: int = PASSAGE, trigger: int = TRIGGER) -> DataFrame:
     """Marks (key, start, end): stretches of passages that start at more than one place of all texts.
 
@@ -233,9 +248,13 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     contested = entries.groupBy("trigger").agg(F.count("*").alias("m")).filter("m > 1")
     wanted = entries.join(contested, "trigger").select(F.col("place.key").alias("key"), F.struct(F.col("trigger").alias("grp"), F.col("place.pos").cast("long").alias("pos")).alias("x"))
     texts = source.join(wanted.groupBy("key").agg(F.collect_list("x").alias("wanted")), "key").dropDuplicates(["key"]).select("key", "text", "wanted")
-    phrases = written(_phrases(texts, passage, trigger), "phrases").withColumns({"low": F.lit(0), "high": F.lit(passage - trigger + 1)})
+    held = written(_phrases(texts, passage, trigger), "phrases")
     _freed(docs)
-    marks = whole
+    # all contested phrases are parted once, whatever their group's size, without their bytes; few parts share theirs with another
+    cores = written(_parted(held.withColumns({"low": F.lit(0), "high": F.lit(passage - trigger + 1)}), passage, PARTS).drop("phrase"), "cores")
+    settled, phrases = _settled(cores, ["key", "pos", "before", "low", "high"])
+    marks = whole.unionByName(settled)
+    phrases = written(phrases.join(held.select("key", "pos", "phrase"), ["key", "pos"]), "open")
     while True:
         sizes = phrases.groupBy("grp").agg(F.count("*").alias("n"))
         large = sizes.filter(F.col("n") > GROUP)
@@ -244,13 +263,9 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             break
         fit = phrases.join(large.select("grp"), "grp", "left_anti")
         marks = marks.unionByName(_ordered(fit, passage))
-        halves = written(_halved(phrases.join(large.select("grp"), "grp", "left_semi"), passage), "halves")
-        # phrases alike in all passages of the half repeat each other in all of them, and one stands for them from here on
-        alike = written(halves.groupBy("grp", "whole").agg(F.count("*").alias("n"), F.first(F.struct("key", "pos", "before", "low", "high", "phrase")).alias("one")), "alike")
-        settled = halves.join(alike.filter("n > 1").select("grp", "whole"), ["grp", "whole"], "left_semi")
-        marks = marks.unionByName(settled.select("key", "start", "end"))
-        open_ = alike.groupBy("grp").agg(F.count("*").alias("m")).filter("m > 1").select("grp")
-        phrases = alike.join(open_, "grp", "left_semi").select("grp", "one.*")
+        halves = written(_parted(phrases.join(large.select("grp"), "grp", "left_semi"), passage, 2), "halves")
+        settled, phrases = _settled(halves, ["key", "pos", "before", "low", "high", "phrase"])
+        marks = marks.unionByName(settled)
     return marks
 
 
