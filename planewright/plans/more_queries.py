@@ -20,11 +20,11 @@ def point3_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("id", r6(F.sqrt(sum(((e[k] - e[k + 3]) * (e[k] - e[k + 3]) for k in (1, 2)), (e[0] - e[3]) * (e[0] - e[3])))).alias("d"))
 
 
-@query("self_crossings", f"""{W}, s AS (SELECT user_id, idx, x AS ax, y AS ay, lead(x) OVER w AS cx, lead(y) OVER w AS cy FROM traj WHERE idx < 20 WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+@query("self_crossings", f"""{W}, s AS (SELECT user_id, idx, x AS ax, y AS ay, lead(x) OVER w AS cx, lead(y) OVER w AS cy FROM traj WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
  z AS (SELECT * FROM s WHERE cx IS NOT NULL), p AS (SELECT a.user_id, ((a.cx-a.ax)*(b.ay-a.ay)-(a.cy-a.ay)*(b.ax-a.ax)) * ((a.cx-a.ax)*(b.cy-a.ay)-(a.cy-a.ay)*(b.cx-a.ax)) < 0 AND ((b.cx-b.ax)*(a.ay-b.ay)-(b.cy-b.ay)*(a.ax-b.ax)) * ((b.cx-b.ax)*(a.cy-b.ay)-(b.cy-b.ay)*(a.cx-b.ax)) < 0 AS hit FROM z a JOIN z b ON a.user_id = b.user_id AND b.idx >= a.idx + 2)
  SELECT user_id, CAST(count(*) FILTER (hit) AS INTEGER) AS n FROM p GROUP BY 1""")
 def self_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return polylines(spark, sf_dir).withColumn("line", F.slice("line", 1, 20)).select("user_id", G.self_crossings("line").alias("n"))
+    return polylines(spark, sf_dir).select("user_id", G.self_crossings("line").alias("n"))
 
 
 @query("sdf_polygon", f"""{W}, v AS (SELECT user_id, idx, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM traj WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
@@ -69,9 +69,8 @@ def fit_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("voronoi_vertices")
 def voronoi_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centres of the circles round the Delaunay triangles of each label's first 25 points."""
-    first = _groups(spark, sf_dir).withColumn("line", F.slice("line", 1, 25))
-    t = first.withColumn("t", F.explode(P.triples("line", "delaunay")))
+    """Centres of the circles round the Delaunay triangles of each label's points."""
+    t = _groups(spark, sf_dir).withColumn("t", F.explode(P.triples("line", "delaunay")))
     c = G.circumcircle(*(F.element_at("line", F.col(f"t.{k}") + 1) for k in "abc"))
     return t.select("label", "t.*", r6(c.center.x).alias("x"), r6(c.center.y).alias("y"))
 

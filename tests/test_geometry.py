@@ -1,3 +1,4 @@
+import functools
 import math
 
 import duckdb
@@ -107,3 +108,16 @@ def test_stream_equals_batch(spark, tmp_path):
                 last = (r.x, r.y)
                 want.append((user, r.idx))
     assert got == sorted(want)
+
+
+def test_frechet_equals_its_definition():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (1, 6), (7, 4), (12, 12)):
+        p, q = rng.normal(size=(n, 2)), rng.normal(size=(m, 2))
+
+        @functools.cache
+        def reach(i, j):
+            before = [reach(a, b) for a, b in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if a >= 0 and b >= 0]
+            return max(math.dist(p[i], q[j]), min(before)) if before else math.dist(p[i], q[j])
+
+        assert K.frechet(p, q) == pytest.approx(reach(n - 1, m - 1))
