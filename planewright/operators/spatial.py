@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +14,9 @@ def cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def _around(df: DataFrame, p: str, size: float) -> DataFrame:
-    """Each row in its cell and the eight next to it."""
-    near = F.explode(F.expr(f"flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(cast(floor({p}.x / {size}) AS bigint) + i AS cx, cast(floor({p}.y / {size}) AS bigint) + j AS cy))))"))
+def _around(df: DataFrame, p: str, size: float | str) -> DataFrame:
+    """Each row in its cell and the eight next to it; ``size`` is a number or an SQL expression of one."""
+    near = F.explode(F.expr(f"flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(cast(floor({p}.x / ({size})) AS bigint) + i AS cx, cast(floor({p}.y / ({size})) AS bigint) + j AS cy))))"))
     return df.withColumn("__c", near).withColumns({"cx": F.col("__c.cx"), "cy": F.col("__c.cy")}).drop("__c")
 
 
@@ -29,6 +31,27 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, lp: str =
     return l.join(r, ["cx", "cy"]).filter(G.distance(F.col(lp), F.col(rp)) <= radius).drop("cx", "cy")
 
 
+def overlapping_circles(left: DataFrame, right: DataFrame, l: str = "c", r: str = "d") -> DataFrame:
+    """Pairs of rows whose circles (struct<center, radius>) overlap or touch, however unlike their radii are.
+
+    Circles are classed by the power of two that holds their radius (all below a 1024th of the
+    largest are one class), and any two classes meet on cells a little wider than the sum of their
+    largest radii: a right row has a cell for each class of the left, a left row nine for each of
+    the right. Null and negative radii have no pair. Column names must not clash.
+    """
+    lefts, rights = left.filter(F.col(f"{l}.radius") >= 0), right.filter(F.col(f"{r}.radius") >= 0)
+    most = max((df.agg(F.max(f"{c}.radius")).first()[0] or 0.0 for df, c in ((lefts, l), (rights, r))), default=0.0)
+    top = math.ceil(math.log2(most)) if most > 0 else 0
+    power = lambda c: F.least(F.greatest(F.ceil(F.log2(F.col(f"{c}.radius"))), F.lit(top - 10)), F.lit(top)).cast("int")
+    lefts, rights = lefts.withColumn("__k", power(l)), rights.withColumn("__m", power(r))
+    classes = lambda df, k: F.array(*(F.lit(x[0]) for x in sorted(df.select(k).distinct().collect()))).cast("array<int>")
+    lefts, rights = lefts.withColumn("__m", F.explode(classes(rights, "__m"))), rights.withColumn("__k", F.explode(classes(lefts, "__k")))
+    side = "(pow(2D, __k) + pow(2D, __m)) * 1.000001D"
+    lefts = _around(lefts.withColumn("__p", F.col(f"{l}.center")), "__p", side).drop("__p")
+    rights = rights.withColumns({f"c{x}": F.expr(f"cast(floor({r}.center.{x} / ({side})) AS bigint)") for x in "xy"})
+    return lefts.join(rights, ["__k", "__m", "cx", "cy"]).filter(G.circles_overlap(F.col(l), F.col(r))).drop("__k", "__m", "cx", "cy")
+
+
 def in_boxes(boxes: DataFrame, points: DataFrame, size: float, b: str = "b", p: str = "p") -> DataFrame:
     """(box, point) rows with the point in the closed box; a box goes to all cells that it covers."""
     spread = F.expr(f"explode(flatten(transform(sequence(cast(floor({b}.min_x / {size}) AS bigint), cast(floor({b}.max_x / {size}) AS bigint)), i -> transform(sequence(cast(floor({b}.min_y / {size}) AS bigint), cast(floor({b}.max_y / {size}) AS bigint)), j -> struct(i AS cx, j AS cy)))))")

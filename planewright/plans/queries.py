@@ -88,6 +88,16 @@ def circle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.filter(G.circles_overlap(G.circle(F.col("pa"), F.col("ra")), G.circle(F.col("pb"), F.col("rb")))).select("a", "b", F.round(G.distance(F.col("pa"), F.col("pb")) - F.col("ra") - F.col("rb"), 6).alias("gap"))
 
 
+@query("circle_overlaps", f"""{W}, c AS (SELECT id, x, y, abs(e[3]) + 0.05 AS r FROM pts)
+ SELECT a.id AS a, b.id AS b, round(sqrt((a.x-b.x)**2+(a.y-b.y)**2) - a.r - b.r, 6) AS gap FROM c a JOIN c b ON a.id < b.id WHERE sqrt((a.x-b.x)**2+(a.y-b.y)**2) <= a.r + b.r""")
+def circle_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of circles that overlap; ``circle_pairs`` has only those with centers at most 0.2 apart."""
+    c = points(spark, sf_dir).select("id", G.circle(F.col("p"), F.abs(F.col("e")[2]) + 0.05).alias("c"))
+    a, b = (c.select(F.col("id").alias(n), F.col("c").alias(f"c{n}")) for n in "ab")
+    near = S.overlapping_circles(a, b, "ca", "cb").filter("a < b")
+    return near.select("a", "b", F.round(G.distance(F.col("ca.center"), F.col("cb.center")) - F.col("ca.radius") - F.col("cb.radius"), 6).alias("gap"))
+
+
 @query("circumcircles", f"""{W}, s AS (SELECT id, e, 2*((e[3]-e[1])*(e[6]-e[2])-(e[4]-e[2])*(e[5]-e[1])) AS k, (e[3]-e[1])**2+(e[4]-e[2])**2 AS bb, (e[5]-e[1])**2+(e[6]-e[2])**2 AS cc FROM pts)
  SELECT id, round(sqrt((((e[6]-e[2])*bb-(e[4]-e[2])*cc)/k)**2 + (((e[3]-e[1])*cc-(e[5]-e[1])*bb)/k)**2), 4) AS radius FROM s WHERE abs(k) > 0.01""")
 def circumcircles(spark: SparkSession, sf_dir: str) -> DataFrame:

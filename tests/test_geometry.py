@@ -86,6 +86,23 @@ def test_nearest_with_few_points(spark):
     assert S.nearest(q, p.limit(0), 5, 0.5).count() == 0
 
 
+def test_circles_of_unlike_radii_overlap(spark):
+    r = np.random.default_rng(7)
+    n = 300
+    x, y, radius = r.uniform(-50, 50, n), r.uniform(-50, 50, n), 10 ** r.uniform(-5, 1.3, n)
+    radius[:3], x[3:5], y[3:5], radius[3:5] = 0, [0, 8], 0, 4  # points, and a pair that touches
+    c = spark.createDataFrame([*((i, float(x[i]), float(y[i]), float(radius[i])) for i in range(n)), (n, 0.0, 0.0, None), (n + 1, 0.0, 0.0, -1.0)], "i int, x double, y double, r double").select("i", G.circle(G.point(F.col("x"), F.col("y")), F.col("r")).alias("c"))
+    got = S.overlapping_circles(c, c.select(F.col("i").alias("j"), F.col("c").alias("d"))).select("i", "j").collect()
+    d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)
+    assert sorted(map(tuple, got)) == list(zip(*(k.tolist() for k in np.nonzero(d <= radius[:, None] + radius)), strict=True))
+    assert S.overlapping_circles(c.limit(0), c.select(F.col("c").alias("d"))).count() == 0
+
+
+def test_circle_overlaps_reach_beyond_circle_pairs(spark):
+    every, near = (set(map(tuple, catalog.QUERIES[q](spark, SF).collect())) for q in ("circle_overlaps", "circle_pairs"))
+    assert near < every
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 20)] + [(30, 31), (31, 32), (40, 40)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
