@@ -5,13 +5,15 @@ text's ids are those of any pieces whose borders are pre-token borders. Borders
 context are found with numpy on a block's bytes (before a space and a visible character, around a
 lone line feed, between letters, digits and marks). Each distinct piece is encoded once per worker
 by the library and kept as packed ids under its 64-bit fingerprint; a block then costs a few array
-passes and lookups. ``tests/llm/test_tokens.py`` holds the result against ``Tokenizer.encode`` on
+passes and lookups. Added tokens (``<|endoftext|>``) that stand in a text are cut out first and get
+their own ids, as the library does by default. ``tests/llm/test_tokens.py`` holds the result against ``Tokenizer.encode`` on
 whole texts.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -78,16 +80,22 @@ def piece_starts(data: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """UTF-8 texts to ids of ``dtype``."""
+    """UTF-8 texts to ids of ``dtype``; without ``added``, special tokens in a text are letters like any others."""
 
-    def __init__(self, path: str, pieces: int = TABLE_PIECES):
+    def __init__(self, path: str, pieces: int = TABLE_PIECES, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        if json.loads(self.tokenizer.to_str())["pre_tokenizer"]["type"] != "ByteLevel":
+        parts = json.loads(self.tokenizer.to_str())
+        if parts["pre_tokenizer"]["type"] != "ByteLevel":
             raise ValueError("a byte-level BPE is needed")
+        tokens = parts["added_tokens"] if added else []
+        if tokens and (parts["normalizer"] or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens)):
+            raise ValueError("added tokens must stand for their letters alone")
+        self.added = {t["content"].encode(): t["id"] for t in tokens}
+        self.marks = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
         self.alphabet = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.most = pieces
@@ -172,6 +180,22 @@ class PieceEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts laid end to end, and the texts' borders in them (one more than the texts)."""
+        raw = memoryview(np.ascontiguousarray(data))
+        found = [m for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.marks.finditer(raw, a, b)] if self.added else []
+        if not found:
+            return self._encode(data, offsets)
+        # each mark is a text of its own, whose ids then give way to one
+        start, end = (np.array([f(m) for m in found], np.int64) for f in (re.Match.start, re.Match.end))
+        cuts = np.sort(np.concatenate([offsets, start, end]))
+        ids, borders = self._encode(data, cuts)
+        first, last = borders[np.searchsorted(cuts, start, "right") - 1], borders[np.searchsorted(cuts, end, "left")]
+        kept = np.ones(len(ids) + 1, np.int64)
+        for a, b, m in zip(first.tolist(), last.tolist(), found, strict=True):
+            ids[a], kept[a + 1 : b] = self.added[m[0]], 0
+        return ids[kept[:-1] > 0], (np.cumsum(kept) - kept)[borders[np.searchsorted(cuts, offsets, "left")]]
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         out, borders = [np.zeros(0, self.dtype)], np.zeros(len(offsets), np.int64)
         i, total, n = 0, 0, len(offsets) - 1
         while i < n:
@@ -226,7 +250,7 @@ class PieceEncoder:
 def encoder(path: str) -> PieceEncoder:
     """This worker's encoder, made on first use."""
     if (found := _WORKER.get(path)) is None:
-        found = _WORKER[path] = PieceEncoder(path)
+        found = _WORKER[path] = PieceEncoder(path, added=True)
     return found
 
 

@@ -67,6 +67,27 @@ def test_encoder_equals_library(bpe, monkeypatch):
             assert ids[borders[k] : borders[k + 1]].tolist() == bpe.encode(t or "", add_special_tokens=False).ids
 
 
+def test_added_tokens_equal_library(spark, monkeypatch):
+    library = Tokenizer.from_file(tokens.tokenizer_path())
+    want = lambda t: library.encode(t or "", add_special_tokens=False).ids
+    mark = "<|endoftext|>"
+    assert want(f"end of one{mark}start") == [437, 286, 530, 50256, 9688]
+    r = random.Random(3)
+    parts = ["a", "é", " ", "  ", "\n", "'s", "1", "!", "中", "<|", "|>", "<|endof", "text|>", mark, mark, mark + mark, mark.upper()]
+    texts = [*("".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(3000)), None, "<|endof", "text|>", "", mark, "", "word " * 500 + mark + " tail" * 500]
+    for block in (1 << 20, 200):
+        monkeypatch.setattr(tokens, "BLOCK", block)
+        ids, borders = tokens.PieceEncoder(tokens.tokenizer_path(), pieces=500, added=True).encode(*tokens.utf8(pa.array(texts)))
+        for k, t in enumerate(texts):
+            assert ids[borders[k] : borders[k + 1]].tolist() == want(t)
+    docs = spark.createDataFrame([(1, f"end of one{mark}start"), (2, f"{mark} two"), (3, "three")], "doc_id long, text string")
+    sizes = {d: len(want(t)) + 1 for d, t in docs.collect()}
+    assert {r["doc_id"]: r["doc_tokens"] for r in packing.pack(docs).collect()} == sizes
+    kept = {r["doc_id"]: r for r in token_store.read_store(spark, token_store.write_store(docs)).collect()}
+    for d, t in docs.collect():
+        assert (kept[d]["n_tokens"], kept[d]["ids_crc32"]) == (sizes[d], zlib.crc32(np.array([*want(t), 2], "<u4").tobytes()))
+
+
 def test_token_store(spark, docs, none, bpe):
     got = token_store.read_store(spark, token_store.write_store(docs, shards=3)).collect()
     want, start = [], 0
