@@ -127,6 +127,30 @@ class Model:
                 got[k] = self.ids[int(one[k])] = base + i
         return np.array(got, np.int64)[back]
 
+    def texts(self, data: np.ndarray, borders: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Text numbers, and scores and letter counts of their words; copied before the next words may empty the table."""
+        i, n = 0, len(borders) - 1
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(borders, borders[i] + BLOCK, "right")) - 1)
+            part, inner = data[borders[i] : borders[j]], borders[i : j + 1] - borders[i]
+            if j == i + 1 and len(part) > BLOCK:
+                scores, letters = [self.scores[:0]], [self.letters[:0]]
+                for own, start, end, h, _ in sections(part, _LETTERS, 1, BLOCK):
+                    if len(h):
+                        rows = self.numbers(own, start, end, h)
+                        scores.append(self.scores[rows])
+                        letters.append(self.letters[rows])
+                yield i, np.concatenate(scores), np.concatenate(letters)
+            else:
+                apart = np.insert(part, inner[1:-1], 32)
+                start, end, h = words(apart, _LETTERS)
+                rows = self.numbers(apart, start, end, h) if len(h) else np.zeros(0, np.int64)
+                cut = np.searchsorted(start, np.concatenate([inner[:1], inner[1:-1] + np.arange(1, len(inner) - 1), [len(apart) + 1]]))
+                for k in range(j - i):
+                    own = rows[cut[k] : cut[k + 1]]
+                    yield i + k, self.scores[own], self.letters[own]
+            i = j
+
 
 def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     """The best label of every row of each score matrix, texts side by side."""
@@ -224,25 +248,6 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     kind = docs.schema[id_column].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def texts(batch) -> Iterator[tuple[int, np.ndarray]]:
-        """Text numbers and word rows, lot by lot."""
-        data, borders = utf8(batch.column(2))
-        i, n, m = 0, len(batch), held.value
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(borders, borders[i] + BLOCK, "right")) - 1)
-            part, inner = data[borders[i] : borders[j]], borders[i : j + 1] - borders[i]
-            if j == i + 1 and len(part) > BLOCK:
-                rows = [m.numbers(own, start, end, h) for own, start, end, h, _ in sections(part, _LETTERS, 1, BLOCK) if len(h)]
-                yield i, np.concatenate([np.zeros(0, np.int64), *rows])
-            else:
-                apart = np.insert(part, inner[1:-1], 32)
-                start, end, h = words(apart, _LETTERS)
-                rows = m.numbers(apart, start, end, h) if len(h) else np.zeros(0, np.int64)
-                cut = np.searchsorted(start, np.concatenate([inner[:1], inner[1:-1] + np.arange(1, len(inner) - 1), [len(apart) + 1]]))
-                for k in range(j - i):
-                    yield i + k, rows[cut[k] : cut[k + 1]]
-            i = j
-
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -262,10 +267,9 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
                     spans[k] = [{"lang": m.languages[names[a]], "start": a, "end": b} for a, b in zip(edge, [*edge[1:], len(names)], strict=True)]
 
             found = []
-            for k, rows in texts(batch) if m.languages else ():
-                letters = m.letters[rows]
+            for k, scores, letters in m.texts(*utf8(batch.column(2))) if m.languages else ():
                 if letters.sum():
-                    found.append((k, m.scores[rows], letters))
+                    found.append((k, scores, letters))
             found.sort(key=lambda x: len(x[1]))
             size = 0
             for x in found:

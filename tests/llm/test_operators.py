@@ -310,6 +310,22 @@ def test_languages(spark, docs, none):
     assert language_id.script_of("1٣") == -2 and language_id.SCRIPTS[language_id.script_of("Привет")][0] == "cyrillic"
 
 
+def test_long_texts_keep_their_words_scores(monkeypatch):
+    r = random.Random(8)
+    monkeypatch.setattr(language_id, "BLOCK", 200)
+    lexicon = ["".join(r.choice("abcdeéñ") for _ in range(r.randint(1, 9))) for _ in range(400)]
+    texts = pa.array([" ".join(r.choice(lexicon) for _ in range(n)) for n in (3, 2000, 0, 20, 5, 700)])
+    draw = np.random.default_rng(8)
+    counts, scripts = draw.integers(0, 50, (3, language_id.BUCKETS)), np.ones((3, len(language_id.SCRIPTS)))
+    found = {}
+    for most in (10**6, 10):
+        monkeypatch.setattr(language_id, "WORDS_KEPT", most)
+        model = language_id.Model(["a", "b", "c"], counts, scripts)
+        found[most] = [(k, s.tolist(), n.tolist()) for k, s, n in model.texts(*tokens.utf8(texts))]
+        assert found[most] and len(found[most][1][1]) == 2000
+    assert found[10] == found[10**6]
+
+
 def test_viterbi_equals_enumeration():
     r = np.random.default_rng(4)
     scores = [r.normal(size=(n, 3)) * 3 for n in (1, 6, 4)]
