@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is absent (local tests), a temporary folder becomes the setting.
+    Where the setting is absent, a temporary folder becomes the setting if driver and executors are
+    one process (master ``local``); on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[(?!.*cluster)|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
@@ -62,21 +66,41 @@ def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
 
 # --------------------------------------------------------------------------- byte hashing
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+#: Fingerprints are polynomials modulo the prime 2**61 - 1 at a point drawn at random: two different
+#: sequences of n symbols share one with a chance of at most n / 2**61, whatever they look like.
+_M = np.uint64((1 << 61) - 1)
+_POINT = 0x0B5A1E6D93C7F42B
+_POWERS: dict[bool, np.ndarray] = {}
+_LOW = np.uint64((1 << 32) - 1)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo 2**61 - 1."""
+    x = (x & _M) + (x >> np.uint64(61))
+    np.subtract(x, _M, out=x, where=x >= _M)
+    return x
+
+
+def modular_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, by halves of 31 and 30 bits."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    out = (a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30))
+    out += (middle & np.uint64((1 << 30) - 1)) << half
+    out += a0 * b0
+    return _folded(out)
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """P**0 .. P**(n-1) modulo 2**64, or those of P's inverse; kept between calls."""
-    name = "inv" if inverse else "pow"
-    have = _POWERS.get(name)
+    """Powers 0 .. n - 1 of the point, or of its inverse; kept between calls."""
+    have = _POWERS.get(inverse)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        have = np.full(size, _P_INV if inverse else _P, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _POWERS[name] = have
+        point = pow(_POINT, -1, int(_M)) if inverse else _POINT
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, modular_product(have, np.uint64(pow(point, len(have), int(_M))))])
+        _POWERS[inverse] = have
     return have[:n]
 
 
@@ -91,16 +115,48 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums S with S[i] = sum of (data[j] + 1) * P**j over j < i, so that spans can be hashed in constant time."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=out[1:])
+    """Two rows of running sums of (symbol + 1) * point**position, in upper and lower 32 bits.
+
+    Symbols are bytes or 64-bit fingerprints. Sums may wrap around; those of a span of up to 2**22
+    symbols are their difference.
+    """
+    power = powers(len(data))
+    out = np.zeros((2, len(data) + 1), np.uint64)
+    if data.dtype == np.uint8:
+        symbol = data.astype(np.uint64) + np.uint64(1)
+        high, low = symbol * (power >> np.uint64(32)), symbol * (power & _LOW)
+    else:
+        term = modular_product(_folded(data.view(np.uint64)) + np.uint64(1), power)
+        high, low = term >> np.uint64(32), term & _LOW
+    np.cumsum(high, out=out[0, 1:])
+    np.cumsum(low, out=out[1, 1:])
+    return out
+
+
+def _named(high: np.ndarray, low: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    value = (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)) + _folded(low)
+    return mix(modular_product(_folded(value), unit))
+
+
+def _by_parts(n: int, part, size: int = 1 << 15) -> np.ndarray:
+    """part(a, b) for consecutive ranges of 0 .. n, which stay in a core's cache."""
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, size):
+        b = min(n, a + size)
+        out[a:b] = part(a, b)
     return out
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of data[start:end], equal for equal bytes wherever they stand."""
-    raw = (sums[end] - sums[start]) * powers(len(sums), inverse=True)[start]
-    return mix(raw + (end - start).astype(np.uint64))
+    """Fingerprints of data[start:end], equal for equal spans wherever they stand."""
+    unit = powers(sums.shape[1], inverse=True)
+    return _by_parts(len(start), lambda a, b: _named(*(row[end[a:b]] - row[start[a:b]] for row in sums), unit[start[a:b]]))
+
+
+def rolling_hash(sums: np.ndarray, width: int) -> np.ndarray:
+    """Fingerprints of every ``width`` consecutive symbols."""
+    unit = powers(sums.shape[1], inverse=True)
+    return _by_parts(sums.shape[1] - width, lambda a, b: _named(*(row[a + width : b + width] - row[a:b] for row in sums), unit[a:b]))
 
 
 _FOLD = np.arange(256, dtype=np.uint8)

@@ -4,9 +4,9 @@ The pre-tokenizer of a byte-level BPE cuts a text into pre-tokens that are encod
 text's ids are those of any pieces whose borders are pre-token borders. Borders that hold in every
 context are found with numpy on a block's bytes (before a space and a visible character, around a
 lone line feed, between letters, digits and marks). Each distinct piece is encoded once per worker
-by the library and kept as packed ids under its 64-bit fingerprint; a block then costs a few array
-passes and lookups. Added tokens (``<|endoftext|>``) that stand in a text are cut out first and get
-their own ids, as the library does by default. ``tests/llm/test_tokens.py`` holds the result against ``Tokenizer.encode`` on
+by the library and kept as packed ids under its fingerprint, with its bytes, which every hit is held
+against; a block then costs a few array passes and lookups. Added tokens (``<|endoftext|>``) that stand in a text are cut out first and get
+their own ids, as the library does by default. ``tests/llm`` holds the result against ``Tokenizer.encode`` on
 whole texts.
 """
 
@@ -107,6 +107,7 @@ class PieceEncoder:
         self.at = np.zeros(1 << 17, np.int64)
         self.size = np.zeros(1 << 17, np.int32)
         self.pool = np.zeros(1 << 18, self.dtype)
+        self.spelt, self.spelt_at, self.spelt_size, self.spelt_used = np.zeros(1 << 18, np.uint8), np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int32), 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Slots of the fingerprints, or of the free slot that ends their search."""
@@ -144,22 +145,40 @@ class PieceEncoder:
             self._empty()
         while (self.n + len(h)) * 2 > len(self.keys):
             old = np.flatnonzero(self.keys)
-            keys, at, size = self.keys[old], self.at[old], self.size[old]
+            columns = (self.at, self.size, self.spelt_at, self.spelt_size)
+            keys, columns = self.keys[old], [c[old] for c in columns]
             self.keys = np.zeros(len(self.keys) * 2, np.uint64)
-            self.at, self.size = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int32)
+            self.at, self.size, self.spelt_at, self.spelt_size = (np.zeros(len(self.keys), c.dtype) for c in columns)
             slot = self._place(keys)
-            self.at[slot], self.size[slot] = at, size
+            self.at[slot], self.size[slot], self.spelt_at[slot], self.spelt_size[slot] = columns
         ids = [self._ids(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), self.dtype, int(sizes.sum()))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
-        slot = self._place(h)
+        bytes_ = np.frombuffer(b"".join(data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint8)
+        while self.spelt_used + len(bytes_) > len(self.spelt):
+            self.spelt = np.concatenate([self.spelt, np.zeros_like(self.spelt)])
+        self.spelt[self.spelt_used : self.spelt_used + len(bytes_)] = bytes_
+        slot, length = self._place(h), end - start
         self.at[slot], self.size[slot] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.spelt_at[slot], self.spelt_size[slot] = self.spelt_used + np.cumsum(length) - length, length
         self.used += len(flat)
+        self.spelt_used += len(bytes_)
         self.n += len(h)
 
+    def _unlike(self, slot: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Pieces whose bytes aren't those kept in their slots."""
+        length = end - start
+        wrong = self.spelt_size[slot] != length
+        at = np.where(wrong, 0, self.spelt_at[slot]) - start
+        where = np.repeat(at, length) + np.arange(len(data))
+        other = np.flatnonzero(self.spelt[np.minimum(where, len(self.spelt) - 1)] != data)
+        if len(other):
+            wrong[np.searchsorted(start, other, "right") - 1] = True
+        return np.flatnonzero(wrong)
+
     def _block(self, data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block cut at ``start``, and how many each piece has."""
         end = np.append(start[1:], len(data))
@@ -174,9 +193,12 @@ class PieceEncoder:
             if self.n < emptied:
                 return self._block(data, start)
             slot = self._find(h)
-        size, at = self.size[slot].astype(np.int64), self.at[slot]
+        size, at, pool = self.size[slot].astype(np.int64), self.at[slot], self.pool
+        for k in self._unlike(slot, data, start, end).tolist():  # another piece has the same fingerprint
+            own = np.array(self._ids(data[start[k] : end[k]].tobytes()), self.dtype)
+            at[k], size[k], pool = len(pool), len(own), np.concatenate([pool, own])
         ends = np.cumsum(size)
-        return self.pool[np.repeat(at - ends + size, size) + np.arange(ends[-1])], size
+        return pool[np.repeat(at - ends + size, size) + np.arange(ends[-1])], size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts laid end to end, and the texts' borders in them (one more than the texts)."""

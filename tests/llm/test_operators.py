@@ -265,17 +265,33 @@ def test_superminhash_equals_definition():
         assert row.tolist() == want
 
 
-def test_repeats(docs, none, monkeypatch):
-    rows = [(d, (t or "").encode()) for d, t, *_ in corpus()]
-    starts = collections.Counter(t[k : k + 400] for _, t in rows for k in range(len(t) - 399))
+def repeats_by_force(rows):
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeat_words from all windows."""
+    rows = [(d, (t or "").encode(), re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower())) for d, t in rows]
+
+    def covered(sequences, size):
+        starts = collections.Counter(tuple(s[k : k + size]) if isinstance(s, list) else s[k : k + size] for s in sequences for k in range(len(s) - size + 1))
+        for s in sequences:
+            gone = np.zeros(len(s), bool)
+            for k in range(len(s) - size + 1):
+                if starts[tuple(s[k : k + size]) if isinstance(s, list) else s[k : k + size]] > 1:
+                    gone[k : k + size] = True
+            yield gone
+
     want = []
-    for doc, t in rows:
-        gone = np.zeros(len(t), bool)
-        for k in range(len(t) - 399):
-            if starts[t[k : k + 400]] > 1:
-                gone[k : k + 400] = True
+    for (doc, t, _), gone, words_ in zip(rows, covered([t for _, t, _ in rows], 400), covered([w for *_, w in rows], 50), strict=True):
         runs = int((np.diff(np.append(0, gone.astype(int))) == 1).sum())
-        want.append((doc, len(t), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+        want.append((doc, len(t), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest(), int(words_.sum())))
+    return want
+
+
+def thue_morse(n=2048):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_repeats(spark, docs, none, monkeypatch):
+    want = repeats_by_force([(d, t) for d, t, *_ in corpus()])
     for group, block in ((1024, 1 << 20), (2, 1000)):
         monkeypatch.setattr(repeats, "GROUP", group)
         monkeypatch.setattr(repeats, "BLOCK", block)
@@ -283,6 +299,22 @@ def test_repeats(docs, none, monkeypatch):
     assert repeats.without_repeats(none).count() == 0
 
 
+def test_repeats_in_periodic_and_contested_texts(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("aeioustrnl") for _ in range(r.randint(1, 7)))
+    shared = [word() for _ in range(120)]
+    texts = ["of. " * 400, "of. " * 150 + "end", "ab" * 700, *thue_morse(), thue_morse()[0][:900], " ".join(["x y z"] * 60)]
+    for _ in range(30):  # one passage in many contexts, whole or in part
+        a, b = sorted(r.sample(range(121), 2))
+        texts.append(" ".join([word() for _ in range(r.randint(0, 60))] + shared[a:b] + [word() for _ in range(r.randint(0, 60))]))
+    rows = list(enumerate(texts))
+    small = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for group, hot in ((1024, 4096), (4, 4096), (1, 1 << 40)):
+        monkeypatch.setattr(repeats, "GROUP", group)
+        monkeypatch.setattr(repeats, "HOT", hot)
+        assert bag(repeats.without_repeats(small).drop("kept").collect()) == bag(repeats_by_force(rows))
+
+
 def test_sections_cut_anywhere():
     r = random.Random(2)
     for _ in range(100):
