@@ -27,11 +27,22 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again; cuts lineage and outlives executors."""
+    """``df`` written as Parquet in the shared folder and read again; cuts lineage and outlives executors.
+
+    Shuffle files of the writing are removed as soon as it is done.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, kind)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
