@@ -55,6 +55,23 @@ def dropped(spark: SparkSession, *paths: str) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys with more than the HOT-th part of all rows (there are fewer than HOT of them) are broadcast instead of shuffled.
+HOT, HOT_ROWS = 4096, 8192
+
+
+def with_keys(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner", bound: int | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` on ``key``, or with ``how`` "left_anti" those without a partner.
+
+    ``table`` has one row for a key and in ``n`` how many of the ``total`` rows have it; ``n`` is left
+    out of the result. Partners of more than the HOT-th part of the rows are fewer than HOT and are
+    broadcast, so that their rows stay where they are; all others meet by a shuffle.
+    """
+    bound = max(HOT_ROWS, total // HOT) if bound is None else bound
+    hot, cold = F.broadcast(table.filter(F.col("n") > bound).drop("n")), table.filter(F.col("n") <= bound).drop("n")
+    rest = rows.join(hot, key, "left_anti")
+    return rest.join(cold, key, "left_anti") if how == "left_anti" else rows.join(hot, key).unionByName(rest.join(cold, key))
+
+
 def text_of(column: str = "text") -> Column:
     """The text column with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))

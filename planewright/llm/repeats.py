@@ -13,7 +13,7 @@ between passages of different triggers isn't needed and isn't made.
 A group of too many phrases is first split by what its passages have in common, half of the offsets
 at a time; phrases alike in a whole half are settled there and then and one goes on for all, until
 each part fits one task. Copies inside a batch of texts are settled before anything is shuffled, and
-triggers with a large share of all rows are told apart through a broadcast of at most ``HOT`` keys.
+triggers with a large share of all rows are told apart through a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewright.llm.common import SPACED, dropped, mix, prefix_hash, row_key, sections, span_hash, text_of, words, written
+from planewright.llm.common import SPACED, dropped, mix, prefix_hash, row_key, sections, span_hash, text_of, with_keys, words, written
 from planewright.llm.tokens import utf8
 
 #: Bytes of a passage and of a trigger.
@@ -35,8 +35,6 @@ PASSAGE_WORDS, TRIGGER_WORDS = 50, 8
 BLOCK = 1 << 20
 #: Phrases of one trigger that a task orders at once.
 GROUP = 8192
-#: Keys with more than the HOT-th part of all rows (there are fewer than HOT) are broadcast instead of shuffled.
-HOT = 4096
 
 
 def sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -196,18 +194,6 @@ def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 # ------------------------------------------------------------------------------ Spark
 
 
-def _of_keys(rows: DataFrame, counts: DataFrame, key: str, total: int, inside: bool = True) -> DataFrame:
-    """``rows`` whose key is in ``counts`` (key, n: the key's rows), or those whose key isn't.
-
-    Keys with more than the HOT-th part of the rows are fewer than HOT; they are broadcast, so that
-    their rows stay where they are. All others are joined by a shuffle.
-    """
-    bound = max(GROUP, total // HOT)
-    hot, cold = F.broadcast(counts.filter(F.col("n") > bound).select(key)), counts.filter(F.col("n") <= bound).select(key)
-    rest = rows.join(hot, key, "left_anti")
-    return rows.join(hot, key, "left_semi").unionByName(rest.join(cold, key, "left_semi")) if inside else rest.join(cold, key, "left_anti")
-
-
 def _phrases(texts: DataFrame, passage: int, trigger: int, unit: str) -> DataFrame:
     """The phrases named by ``wanted`` (structs grp, pos) of each text."""
     width = 1 if unit == "bytes" else 8
@@ -343,7 +329,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     rows = parsed.filter("pos >= 0")
     total = parsed.count()
     common = kept(rows.groupBy("trigger").agg(F.count("*").alias("n")).filter("n > 1"), "common")
-    shared = kept(_of_keys(rows, common, "trigger", total), "shared")
+    shared = kept(with_keys(rows, common, "trigger", total), "shared")
     marks = kept(parsed.filter("pos < 0").select("key", "start", "end"), "marks")
     dropped(spark, *_folders(parsed, common))
     entries = kept(shared.groupBy("trigger", "phrase").agg(F.count("*").alias("copies"), F.min(F.struct("key", "pos")).alias("place")), "dictionary")
@@ -351,7 +337,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     marks = marks.unionByName(kept(whole.select("key", "start", "end"), "marks"))
 
     contested = kept(entries.groupBy("trigger").agg(F.count("*").alias("n")).filter("n > 1"), "contested")
-    wanted = _of_keys(entries, contested, "trigger", total).select(F.col("place.key").alias("key"), F.struct(F.col("trigger").alias("grp"), F.col("place.pos").alias("pos")).alias("x"))
+    wanted = with_keys(entries, contested, "trigger", total).select(F.col("place.key").alias("key"), F.struct(F.col("trigger").alias("grp"), F.col("place.pos").alias("pos")).alias("x"))
     texts = source.join(wanted.groupBy("key").agg(F.collect_list("x").alias("wanted")), "key").dropDuplicates(["key"]).select("key", "text", "wanted")
     phrases = kept(_phrases(texts, passage, trigger, unit), "phrases").withColumns({"low": F.lit(0), "high": F.lit(passage - trigger + 1)})
     dropped(spark, *_folders(shared, entries, contested))
@@ -360,14 +346,14 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         if large.isEmpty():
             marks = marks.unionByName(kept(_ordered(phrases, passage, width), "marks"))
             break
-        marks = marks.unionByName(kept(_ordered(_of_keys(phrases, large, "grp", total, inside=False), passage, width), "marks"))
-        halves = kept(_halved(_of_keys(phrases, large, "grp", total), passage, width), "halves")
+        marks = marks.unionByName(kept(_ordered(with_keys(phrases, large, "grp", total, "left_anti"), passage, width), "marks"))
+        halves = kept(_halved(with_keys(phrases, large, "grp", total), passage, width), "halves")
         # phrases alike in all passages of the half repeat each other in all of them, and one stands for them from here on
         alike = kept(halves.groupBy("grp", "whole").agg(F.count("*").alias("copies"), F.first(F.struct("key", "pos", "before", "low", "high", "phrase")).alias("one")), "alike")
         settled = halves.join(alike.filter("copies > 1").select("grp", "whole"), ["grp", "whole"], "left_semi")
         marks = marks.unionByName(kept(settled.select("key", "start", "end"), "marks"))
         open_ = kept(alike.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1"), "open")
-        phrases = _of_keys(alike, open_, "grp", total).select("grp", "one.*")
+        phrases = with_keys(alike, open_, "grp", total).select("grp", "one.*")
     found = written(marks, "found")
     dropped(spark, *_folders(*tables))
     return found

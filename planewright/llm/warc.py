@@ -12,12 +12,13 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planewright.llm.common import shared_folder
+from planewright.llm.common import HOT, HOT_ROWS, shared_folder, with_keys, written
 
 #: Blocks are split into records of so many bytes.
 SEGMENT_BYTES = 32 << 10
@@ -28,7 +29,8 @@ REVISIT_BYTES = 1000
 FILE_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the namespace of URLs
+HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+HTTP = {"Content-Type": "application/http; msgtype=response"}
 
 
 # ------------------------------------------------------------------------------ framing
@@ -90,29 +92,62 @@ def records(stream: io.IOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-def page_records(page_id: object, url: str | None, payload: bytes, digest: str, target: object, segment: int, number: int) -> Iterator[bytes]:
-    """The records of one page: a revisit of ``target``, or a response in one or more segments."""
-    name = lambda k: f"<urn:uuid:{uuid.uuid5(NAMESPACE, str(k))}>"
-    own = name(f"{page_id}/{number}")
-    base = {"WARC-Target-URI": (url or "").replace("\r", " ").replace("\n", " ") or None, "WARC-Date": DATE, "X-Page-Id": page_id}
-    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-    http = {"Content-Type": "application/http; msgtype=response"}
-    paid = {"WARC-Payload-Digest": f"sha1:{digest}"}
-    if target is not None and target != page_id:
-        more = {"WARC-Refers-To": name(target), "X-Refers-To-Page": target, "WARC-Profile": PROFILE, "X-Payload-Length": len(payload)}
-        yield record({"WARC-Type": "revisit", "WARC-Record-ID": own, **base, **paid, **more, **http}, head)
-        return
-    block = head + chunked(payload)
+def page_records(page_id: object, url: str | None, payload: bytes, digest: str, segment: int) -> tuple[str, list[bytes]]:
+    """Record id and records of a response, in one or more segments; ids are new each time."""
+    own = f"<urn:uuid:{uuid.uuid4()}>"
+    base, paid = _common(page_id, url), {"WARC-Payload-Digest": f"sha1:{digest}"}
+    block = HEAD + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= segment:
-        yield record({"WARC-Type": "response", "WARC-Record-ID": own, **base, **paid, **http}, block)
-        return
+        return own, [record({"WARC-Type": "response", "WARC-Record-ID": own, **base, **paid, **HTTP}, block)]
+    out = []
     for k, at in enumerate(range(0, len(block), segment), 1):
         last = {"WARC-Segment-Total-Length": len(block)} if at + segment >= len(block) else {}
         part = {"WARC-Segment-Number": k, **last}
         if k == 1:
-            yield record({"WARC-Type": "response", "WARC-Record-ID": own, **base, **paid, **part, **http}, block[:segment])
+            out.append(record({"WARC-Type": "response", "WARC-Record-ID": own, **base, **paid, **part, **HTTP}, block[:segment]))
         else:
-            yield record({"WARC-Type": "continuation", "WARC-Record-ID": name(f"{page_id}/{number}/{k}"), "WARC-Segment-Origin-ID": own, **base, **part}, block[at : at + segment])
+            out.append(record({"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Segment-Origin-ID": own, **base, **part}, block[at : at + segment]))
+    return own, out
+
+
+def revisit_record(page_id: object, url: str | None, size: int, digest: str, target: str) -> bytes:
+    """A revisit of the response whose record id is ``target``."""
+    more = {"WARC-Payload-Digest": f"sha1:{digest}", "WARC-Refers-To": target, "WARC-Profile": PROFILE, "X-Payload-Length": size}
+    return record({"WARC-Type": "revisit", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", **_common(page_id, url), **more, **HTTP}, HEAD + b"\r\n")
+
+
+def _common(page_id: object, url: str | None) -> dict[str, object]:
+    return {"WARC-Target-URI": (url or "").replace("\r", " ").replace("\n", " ") or None, "WARC-Date": DATE, "X-Page-Id": page_id}
+
+
+class Archives:
+    """Gzipped archives of one task attempt, under names of their own; a new file after so many bytes."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.folder, self.fs, self.out = folder, fs.FileSystem, None
+        self.paths: list[str] = []
+        self.counts: list[int] = []
+        self.size = 0
+
+    def add(self, data: bytes) -> None:
+        if self.out is None or self.size >= FILE_BYTES:
+            self.close()
+            files, where = self.fs.from_uri(f"{self.folder}/{uuid.uuid4().hex}.warc.gz")
+            files.create_dir(where.rpartition("/")[0])
+            self.out, self.size = files.open_output_stream(where, compression=None, buffer_size=1 << 20), 0
+            self.paths.append(f"{self.folder}/{where.rpartition('/')[2]}")
+            self.counts.append(0)
+        deflate = zlib.compressobj(3, zlib.DEFLATED, 31)
+        data = deflate.compress(data) + deflate.flush()
+        self.out.write(data)
+        self.size += len(data)
+        self.counts[-1] += 1
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
 
 
 # ------------------------------------------------------------------------------ Spark
@@ -121,125 +156,131 @@ def page_records(page_id: object, url: str | None, payload: bytes, digest: str,
 def write_archives(pages: DataFrame, folder: str | None = None, segment: int = SEGMENT_BYTES, least: int = REVISIT_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as gzipped archives; returns their table (path, n_records).
 
-    Null html is an empty payload, a null url leaves its field out; rows that repeat a page id with
-    the same payload are all responses; a page without an id counts as the smallest of its group; an
-    empty table gives no archive; further columns are ignored. Each attempt of a task writes files
-    of its own names and the table lists those of the accepted attempts.
+    Page ids are integers (others count as null). Null html is an empty payload, a null url leaves its
+    field out; rows that repeat a page id with the same payload are all responses, of which revisits
+    name one; a page without an id counts as the smallest of its group; very long pages go in segments;
+    an empty table gives no archive; further columns are ignored. Responses are written first and tell
+    their record ids, then the revisits that refer to them. Each attempt of a task writes files of its
+    own names and the table lists those of the accepted attempts.
     """
     spark = pages.sparkSession
     folder = folder or shared_folder(spark, "warc")
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    slim = pages.select(F.expr("try_cast(page_id AS bigint)").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     slim = slim.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
-    groups = slim.filter(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = slim.join(groups, "digest", "left").select("page_id", "url", "payload", "digest", "target")
-
-    def write(batches: Iterator) -> Iterator:
-        import zlib
+    groups = written(slim.filter(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).filter("n > 1"), "groups")
+    total = int(groups.agg(F.sum("n")).first()[0] or 0)
+    again = "page_id IS NULL AND target IS NOT NULL OR page_id <> target"
+    alone = slim.join(F.broadcast(groups.filter(F.col("n") > max(HOT_ROWS, total // HOT)).drop("n")), "digest", "left").withColumn("hot", F.col("target").isNotNull())
+    marked = alone.filter("hot").unionByName(alone.filter("NOT hot").drop("target").join(groups.filter(F.col("n") <= max(HOT_ROWS, total // HOT)).drop("n"), "digest", "left"))
+    first = marked.filter(f"NOT coalesce({again}, false)").select("page_id", "url", "payload", "digest", F.col("target").isNotNull().alias("named"))
+
+    def responses(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        archives = Archives(folder)
+        for batch in batches:
+            named = ([], [])
+            for page_id, url, payload, digest, is_target in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                own, parts = page_records(page_id, url, payload, digest, segment)
+                for data in parts:
+                    archives.add(data)
+                if is_target:
+                    named[0].append(digest)
+                    named[1].append(own)
+            if named[0]:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(named[0]), pa.string()), pa.nulls(len(named[0]), pa.int64()), *map(pa.array, named)], ["path", "n_records", "digest", "record"])
+        archives.close()
+        if archives.paths:
+            n = len(archives.paths)
+            yield pa.RecordBatch.from_arrays([pa.array(archives.paths), pa.array(archives.counts, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], ["path", "n_records", "digest", "record"])
+
+    def revisits(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyarrow import fs
 
-        files, where = fs.FileSystem.from_uri(folder)
-        files.create_dir(where)
-        paths, counts, out, size, number = [], [], None, 0, 0
+        archives = Archives(folder)
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if out is None or size >= FILE_BYTES:
-                    if out:
-                        out.close()
-                    paths.append(f"{folder}/{uuid.uuid4().hex}.warc.gz")
-                    counts.append(0)
-                    size, out = 0, files.open_output_stream(fs.FileSystem.from_uri(paths[-1])[1], compression=None, buffer_size=1 << 20)
-                number += 1
-                for data in page_records(*row, segment, number):
-                    deflate = zlib.compressobj(3, zlib.DEFLATED, 31)
-                    data = deflate.compress(data) + deflate.flush()
-                    out.write(data)
-                    size += len(data)
-                    counts[-1] += 1
-        if out:
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(counts, pa.int64())], ["path", "n_records"])
-
-    table = rows.mapInArrow(write, "path string, n_records long").collect()
-    return spark.createDataFrame(table, "path string, n_records long")
+                archives.add(revisit_record(*row))
+        archives.close()
+        if archives.paths:
+            yield pa.RecordBatch.from_arrays([pa.array(archives.paths), pa.array(archives.counts, pa.int64())], ["path", "n_records"])
+
+    done = written(first.mapInArrow(responses, "path string, n_records long, digest string, record string"), "responses")
+    known = done.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("record").alias("record"))
+    targets = written(groups.join(known, "digest"), "targets")
+    light = slim.filter(F.col("size") >= least).select("page_id", "url", F.col("size").cast("long").alias("size"), "digest")
+    later = with_keys(light, targets, "digest", total).filter(again).select("page_id", "url", "size", "digest", "record")
+    table = written(later.mapInArrow(revisits, "path string, n_records long"), "revisits")
+    return done.filter("path IS NOT NULL").select("path", "n_records").unionByName(table)
 
 
 def read_archives(spark: SparkSession, table: DataFrame) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of the archives in ``table.path``.
 
-    Segments of a record are put together wherever they stand; a record whose segments don't add up
-    to the stated length, or whose digest differs from the stated one, fails the query.
+    Every archive is read once. Segments of a record are put together wherever they stand; a record
+    whose segments don't add up to the stated length, or whose digest differs from the stated one,
+    fails the query. ``refers_to`` is the page of the record that a revisit names, null if no archive
+    has it.
     """
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     paths = table.select("path").repartition(n, "path")
+    fields = [("kind", "string"), ("record", "string"), ("refers", "string"), ("number", "int"), ("total", "long"), ("page_id", "long"), ("url", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("payload", "binary")]
 
-    def opened(path: str):
-        from pyarrow import fs
+    def batch_of(rows: list[tuple]):
+        import pyarrow as pa
 
-        files, where = fs.FileSystem.from_uri(path)
-        return files.open_input_file(where)
+        kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [name for name, _ in fields])
 
     def number(x: str | None) -> int | None:
         return int(x) if x not in (None, "None") else None
 
-    def finished(page: int | None, url: str | None, block: bytes, stated: str | None) -> tuple:
+    def checked(page: int | None, block: bytes, stated: str | None) -> tuple[int, str, bytes]:
         payload = payload_of(block)
         digest = hashlib.sha1(payload).hexdigest()
         if stated and stated != digest:
             raise ValueError(f"page {page}: the payload's digest is {digest}, not {stated}")
-        return page, url, "response", None, len(payload), digest, payload
-
-    def out(rows: list[tuple]):
-        import pyarrow as pa
-
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema.replace(",", "").split()[::2])
+        return len(payload), digest, payload
 
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+    def parts(batches: Iterator) -> Iterator:
+        from pyarrow import fs
 
-    def whole(batches: Iterator) -> Iterator:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows, held = [], 0
-                with opened(path) as f:
+                files, where = fs.FileSystem.from_uri(path)
+                with files.open_input_file(where) as f:
                     for x, block in records(f):
-                        if "warc-segment-number" in x:
-                            continue
                         page, url, stated = number(x.get("x-page-id")), x.get("warc-target-uri"), x.get("warc-payload-digest", "").removeprefix("sha1:")
-                        if x["warc-type"] == "revisit":
-                            rows.append((page, url, "revisit", number(x.get("x-refers-to-page")), number(x.get("x-payload-length")), stated, None))
+                        if "warc-segment-number" in x:
+                            rows.append(("segment", x.get("warc-segment-origin-id", x["warc-record-id"]), None, int(x["warc-segment-number"]), number(x.get("warc-segment-total-length")), page, url, None, stated, block))
+                        elif x["warc-type"] == "revisit":
+                            rows.append(("revisit", x["warc-record-id"], x.get("warc-refers-to"), None, None, page, url, number(x.get("x-payload-length")), stated, None))
                         elif x["warc-type"] == "response":
-                            rows.append(finished(page, url, block, stated))
+                            rows.append(("response", x["warc-record-id"], None, None, None, page, url, *checked(page, block, stated)))
                         held += len(block)
                         if held > 4 << 20:
-                            yield out(rows)
+                            yield batch_of(rows)
                             rows, held = [], 0
                 if rows:
-                    yield out(rows)
-
-    def segments(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        names = ["origin", "number", "total", "page_id", "url", "stated", "block"]
-        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                with opened(path) as f:
-                    for x, block in records(f):
-                        if "warc-segment-number" in x:
-                            row = (x.get("warc-segment-origin-id", x["warc-record-id"]), int(x["warc-segment-number"]), number(x.get("warc-segment-total-length")), number(x.get("x-page-id")), x.get("warc-target-uri"), x.get("warc-payload-digest", "").removeprefix("sha1:"), block)
-                            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+                    yield batch_of(rows)
 
     def assemble(batches: Iterator) -> Iterator:
         for batch in batches:
-            for parts in batch.column(0).to_pylist():
-                block = b"".join(p["block"] for p in parts)
-                if [p["number"] for p in parts] != list(range(1, len(parts) + 1)) or parts[-1]["total"] != len(block):
-                    raise ValueError(f"page {parts[0]['page_id']}: segments are missing or don't add up to the stated length")
-                yield out([finished(parts[0]["page_id"], parts[0]["url"], block, parts[0]["stated"])])
-
-    parts = paths.mapInArrow(segments, "origin string, number int, total long, page_id long, url string, stated string, block binary")
-    grouped = parts.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("number", "total", "page_id", "url", "stated", "block"))).alias("parts"))
-    joined = grouped.select("parts").mapInArrow(assemble, schema)
-    return paths.mapInArrow(whole, schema).unionByName(joined)
+            for origin, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                block, page = b"".join(p["payload"] for p in found), found[0]["page_id"]
+                if [p["number"] for p in found] != list(range(1, len(found) + 1)) or found[-1]["total"] != len(block):
+                    raise ValueError(f"page {page}: segments are missing or don't add up to the stated length")
+                yield batch_of([("response", origin, None, None, None, page, found[0]["url"], *checked(page, block, found[0]["payload_digest"]))])
+
+    schema = ", ".join(f"{name} {kind}" for name, kind in fields)
+    read = written(paths.mapInArrow(parts, schema), "records")
+    grouped = read.filter("kind = 'segment'").groupBy("record").agg(F.array_sort(F.collect_list(F.struct("number", "total", "page_id", "url", "payload_digest", "payload"))).alias("found"))
+    whole = read.filter("kind = 'response'").unionByName(grouped.mapInArrow(assemble, schema))
+    revisits = read.filter("kind = 'revisit'")
+    asked = revisits.groupBy("refers").agg(F.count("*").alias("n"))
+    origins = read.filter("kind = 'response' OR number = 1").select(F.col("record").alias("refers"), F.col("page_id").alias("refers_to"))
+    targets = written(asked.join(origins, "refers", "left"), "origins")
+    referred = with_keys(revisits.filter("refers IS NOT NULL"), targets.filter("refers IS NOT NULL"), "refers", int(targets.agg(F.sum("n")).first()[0] or 0))
+    out = whole.unionByName(revisits.filter("refers IS NULL")).withColumn("refers_to", F.lit(None).cast("long")).unionByName(referred)
+    return out.select("page_id", "url", F.col("kind").alias("record_type"), "refers_to", "payload_bytes", "payload_digest", "payload")

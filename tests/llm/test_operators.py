@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from planewright.llm import decontamination, html_extract, language_id, minhash, packing, quality_rules, repeats, secret_scan, token_store, tokens, warc
+from planewright.llm import common, decontamination, html_extract, language_id, minhash, packing, quality_rules, repeats, secret_scan, token_store, tokens, warc
 from planewright.llm.common import SPACED, mix, sections, words
 from planewright.llm.queries import QUERIES
 
@@ -309,9 +309,9 @@ def test_repeats_in_periodic_and_contested_texts(spark, monkeypatch):
         texts.append(" ".join([word() for _ in range(r.randint(0, 60))] + shared[a:b] + [word() for _ in range(r.randint(0, 60))]))
     rows = list(enumerate(texts))
     small = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for group, hot in ((1024, 4096), (4, 4096), (1, 1 << 40)):
+    for group, hot in ((1024, 8192), (4, 1)):
         monkeypatch.setattr(repeats, "GROUP", group)
-        monkeypatch.setattr(repeats, "HOT", hot)
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
         assert bag(repeats.without_repeats(small).drop("kept").collect()) == bag(repeats_by_force(rows))
 
 
@@ -397,7 +397,7 @@ def test_html(spark):
         assert (sides[0] - sides[1]) / 2e-3 == pytest.approx(grad[name][at], rel=0.05)
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     big = "<p>" + "0123456789é" * 9000
     rows = [(1, "http://a/1", big), (2, "http://a/2\nx", big), (3, None, "x" * 999), (4, "u", "x" * 999), (5, "u", None), (6, "u", ""), (7, "u", "y" * 1000), (7, "u", "y" * 1000), (None, "u", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -411,6 +411,21 @@ def test_warc(spark):
     assert bag((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == bag(want)
     assert {bytes(r["payload"]) for r in got if r["record_type"] == "response"} == {(h or "").encode() for _, _, h in rows}
     assert warc.read_archives(spark, warc.write_archives(pages.limit(0))).count() == 0
+    # one id with several long pages, written by different tasks: own record ids, and revisits that name existing ones
+    other = [(7, "a", "z" * 50_000), (7, "b", "w" * 50_000), (7, "c", "z" * 50_000), (3, "d", "z" * 50_000), (2, "e", "w" * 50_000)]
+    apart = spark.createDataFrame(other, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "record": F.lit("r"), "size": F.lit(0)}).repartition(5)
+    for hot in (common.HOT_ROWS, 0):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        monkeypatch.setattr(warc, "HOT_ROWS", hot)
+        monkeypatch.setattr(common, "HOT", 1 << 40 if hot == 0 else common.HOT)
+        monkeypatch.setattr(warc, "HOT", common.HOT)
+        table = warc.write_archives(apart, segment=7000)
+        got = warc.read_archives(spark, table).collect()
+        assert bag((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in got) == bag([(7, "a", "response", None), (7, "b", "response", None), (7, "c", "response", None), (3, "d", "revisit", 7), (2, "e", "revisit", 7)])
+        heads = [x for r in table.collect() for x, _ in warc.records(open(r["path"].removeprefix("file:"), "rb"))]
+        ids = [x["warc-record-id"] for x in heads]
+        assert len(set(ids)) == len(ids) == sum(r["n_records"] for r in table.collect())
+        assert {x["warc-refers-to"] for x in heads if x["warc-type"] == "revisit"} <= {x["warc-record-id"] for x in heads if x["warc-type"] == "response"}
     body = warc.chunked(b"abc" * 9000, 100)
     assert warc.unchunked(body) == b"abc" * 9000 and warc.unchunked(b"3;x=y\r\nabc\r\n0\r\n\r\n") == b"abc"
     with pytest.raises(ValueError):
