@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -367,11 +368,17 @@ def test_viterbi_equals_enumeration():
         assert value(tuple(got.tolist())) == pytest.approx(value(best), abs=1e-4)
 
 
-def test_html(spark):
+def test_html(spark, monkeypatch):
     model = html_extract.trained()
     fresh = html_extract.labelled_pages(150, seed=77)
-    x, sizes = html_extract.features([b for b, _ in fresh])
-    assert (model.probabilities(x, sizes).round() == np.concatenate([y for _, y in fresh])).mean() > 0.98
+    got = model.probabilities([p for p, _ in fresh])
+    assert (got.round() == np.concatenate([y for _, y in fresh])).mean() > 0.98
+    # sparse embeddings equal the dense ones, and parts of a page hand on the state
+    x, _ = html_extract.features([p for p, _ in fresh])
+    assert np.allclose(model._embedded([p for p, _ in fresh]), np.tanh(x @ model.p["E"] + model.p["e"]), atol=1e-4)
+    monkeypatch.setattr(html_extract, "PART", 7)
+    assert np.allclose(got, model.probabilities([p for p, _ in fresh]), atol=1e-4)
+    monkeypatch.undo()
     page = "<html><body><nav><ul><li><a href=/>Home</a><li><a href=/x>News</a></ul></nav><div class=cookie-banner><p>We use cookies.</p></div><article><h1>A &amp; B</h1><p>First  para&#103;raph\nof the text, long enough to read.<p>Second <b>one</b> follows here, with more words.</p><div class='ad'>Buy now!</div></article><div id=comments><div class=comment><p>Nice!</p></div></div><footer>&copy; 2024</footer><script>var t='<p>no</p>'</script>"
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (3, "u", ""), (None, "u", "<p>broken <b"), (4, "u", "plain text &lt;only")]
     got = {r["page_id"]: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -397,6 +404,19 @@ def test_html(spark):
         assert (sides[0] - sides[1]) / 2e-3 == pytest.approx(grad[name][at], rel=0.05)
 
 
+def test_html_of_hostile_pages(spark):
+    n = 60_000
+    shapes = ["<div>x" * n, "<div>" * n + "x", "<a " * n, '<a "' * n, "<a href='" * n, "<b>" * n + "<p>x</p>" * n, "<span>" * n + "</div>" * n, "<div>" + "<span>" * n + "</b>" * n, "<script " * n, "<!--" * n, "&#" + "1" * n + ";", "<p>" + "y" * 20 * n, "<![CDATA[" * n, "<p class='" + "ab " * n + "'>z"]
+    began = time.time()
+    found = [html_extract.blocks_of(x) for x in shapes]
+    assert time.time() - began < 60  # each takes a second or so; quadratic ones would take hours
+    assert [len(p.blocks) for p in found[:2]] == [n, 1] and found[5].blocks[0].text == "x" and found[10].blocks[0].text == "\ufffd"
+    tables = [(k, "u", x, 1, "t") for k, x in enumerate(shapes) if k not in (0,)] + [(99, "u", "<article><p>" + "A long sentence of some words, and more. " * 40_000 + "</p></article>", 1, "t")]
+    got = {r["page_id"]: r for r in html_extract.extract(spark.createDataFrame(tables, "page_id long, url string, html string, n_chars int, text string")).collect()}
+    assert len(got) == len(tables) and all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_warc(spark, monkeypatch):
     big = "<p>" + "0123456789é" * 9000
     rows = [(1, "http://a/1", big), (2, "http://a/2\nx", big), (3, None, "x" * 999), (4, "u", "x" * 999), (5, "u", None), (6, "u", ""), (7, "u", "y" * 1000), (7, "u", "y" * 1000), (None, "u", big)]
