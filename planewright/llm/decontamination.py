@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planewright.llm.common import ALNUM, row_key, sections, text_of, words
@@ -22,48 +22,40 @@ from planewright.llm.tokens import utf8
 WINDOW = 10
 #: Bytes of documents in one suffix array; longer documents go in sections that overlap.
 BLOCK = 4 << 20
-#: Bytes of benchmark text that one round holds in each worker.
-ROUND_BYTES = 64 << 20
+#: Windows of the benchmark that one round holds in each worker, in flat arrays of about 100 bytes a window.
+ROUND_WINDOWS = 2_000_000
 
 
 class Windows:
     """The windows of a round's items, ready for binary search."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int = WINDOW):
+        """``items`` are names and word fingerprints."""
         self.window = window
-        texts = [words(np.frombuffer(t, np.uint8), ALNUM)[2] for _, t in items]
-        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *texts]))
+        self.names = [name for name, _ in items]
+        lengths = np.array([len(h) for _, h in items], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in items)])
+        self.vocabulary, ids = np.unique(flat, return_inverse=True)
         self.bits = max(1, int(len(self.vocabulary) + 1).bit_length())
         self.per = 64 // self.bits
-        self.columns = -(-window // self.per)
-        #: (item, offset) pairs of each distinct window
-        self.places: list[list[tuple[str, int]]] = []
-        found: dict[tuple[int, ...], int] = {}
-        for (name, _), h in zip(items, texts, strict=True):
-            ids = (np.searchsorted(self.vocabulary, h) + 1).tolist()
-            for at in range(max(1, len(ids) - window + 1)) if ids else ():
-                k = found.setdefault(tuple(ids[at : at + window]), len(found))
-                if k == len(self.places):
-                    self.places.append([])
-                self.places[k].append((name, at))
-        rows = list(found)
-        self.sizes = np.array([len(r) for r in rows], np.int64)
-        padded = np.zeros((len(rows), window), np.uint64)
-        for k, r in enumerate(rows):
-            padded[k, : len(r)] = r
-        self.low = self._keys(padded)
-        if len(rows):
-            padded[np.arange(len(rows)), self.sizes - 1] += np.uint64(1)
-        self.high = self._keys(padded)
-        if len(rows):
-            padded[np.arange(len(rows)), self.sizes - 1] -= np.uint64(1)
-        self.ones = np.unique(padded[self.sizes == 1, 0]) if len(rows) else np.zeros(0, np.uint64)
-        two = padded[self.sizes > 1]
-        self.twos = np.unique((two[:, 0] << np.uint64(32)) | two[:, 1]) if window > 1 else np.zeros(0, np.uint64)
-
-    def _keys(self, ids: np.ndarray) -> np.ndarray:
-        """Word ids (a row each) as byte strings that sort as the rows do."""
-        return self.joined([ids[:, k] for k in range(ids.shape[1])])
+        counts = np.where(lengths > 0, np.maximum(1, lengths - window + 1), 0)
+        item = np.repeat(np.arange(len(items)), counts)
+        offset = np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts)
+        start, sizes = (np.cumsum(lengths) - lengths)[item] + offset, np.minimum(window, lengths[item])
+        ids = np.append(ids.astype(np.uint64) + np.uint64(1), np.zeros(window, np.uint64))
+        columns = [np.where(k < sizes, ids[start + k], 0).astype(np.uint64) for k in range(window)]
+        self.ones = np.unique(columns[0][sizes == 1])
+        self.twos = np.unique((columns[0][sizes > 1] << np.uint64(32)) | columns[1][sizes > 1]) if window > 1 else np.zeros(0, np.uint64)
+        #: distinct windows in order, and where each stands: items and offsets from ``border`` on
+        self.low, first, which = np.unique(self.strings(self.packed(columns)), return_index=True, return_inverse=True)
+        self.sizes = sizes[first]
+        order = np.argsort(which, kind="stable")
+        self.border = np.searchsorted(which[order], np.arange(len(self.low) + 1))
+        self.item, self.offset = item[order].astype(np.int32), offset[order].astype(np.int32)
+        #: a window shorter than the keys ends below its successor in its last word
+        self.short = np.flatnonzero(self.sizes < window)
+        after = [c[first[self.short]] + (self.sizes[self.short] - 1 == k).astype(np.uint64) for k, c in enumerate(columns)]
+        self.short_high = self.strings(self.packed(after))
 
     def packed(self, ids: list[np.ndarray]) -> list[np.ndarray]:
         out = []
@@ -74,9 +66,6 @@ class Windows:
             out.append(part)
         return out
 
-    def joined(self, ids: list[np.ndarray]) -> np.ndarray:
-        return self.strings(self.packed(ids))
-
     @staticmethod
     def strings(columns: list[np.ndarray]) -> np.ndarray:
         flat = np.stack(columns, 1).astype(">u8")
@@ -109,7 +98,8 @@ class Windows:
         columns = self.packed([more[place + k] for k in range(self.window)])
         order = np.lexsort(columns[::-1])
         array, keys = place[order], self.strings([c[order] for c in columns])  # the block's suffix array
-        low, high = np.searchsorted(keys, self.low), np.searchsorted(keys, self.high)
+        low, high = np.searchsorted(keys, self.low), np.searchsorted(keys, self.low, "right")
+        high[self.short] = np.searchsorted(keys, self.short_high)
         hits = high - low
         which = np.repeat(np.arange(len(hits)), hits)
         spot = array[np.repeat(low - (np.cumsum(hits) - hits), hits) + np.arange(len(which))]
@@ -122,9 +112,9 @@ class Windows:
     def summary(self, spot: np.ndarray, which: np.ndarray) -> tuple[list[tuple[int, int]], set[str], int]:
         """Merged word spans, item names and the longest verbatim match of one document's places."""
         spans: list[list[int]] = []
-        names: set[str] = set()
+        names: set[int] = set()
         longest, runs, last = 0, {}, None
-        now: dict[tuple[str, int], int] = {}
+        now: dict[tuple[int, int], int] = {}
         for p, k in zip(spot.tolist(), which.tolist(), strict=True):
             size = int(self.sizes[k])
             if spans and p <= spans[-1][1]:
@@ -134,11 +124,12 @@ class Windows:
             if p != last:
                 runs, now = (now if last is not None and p == last + 1 else {}), {}
                 last = p
-            for name, at in self.places[k]:
-                names.add(name)
-                now[name, at] = runs.get((name, at - 1), size - 1) + 1
-                longest = max(longest, now[name, at])
-        return [tuple(s) for s in spans], names, longest
+            a, b = self.border[k : k + 2].tolist()
+            for place in zip(self.item[a:b].tolist(), self.offset[a:b].tolist(), strict=True):
+                names.add(place[0])
+                now[place] = runs.get((place[0], place[1] - 1), size - 1) + 1
+                longest = max(longest, now[place])
+        return [tuple(s) for s in spans], {self.names[k] for k in names}, longest
 
 
 def scan(test: Windows, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, list, list, list[int]]:
@@ -174,26 +165,39 @@ def scan(test: Windows, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarr
     return counts, spans, names, longest
 
 
-def rounds(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in lists of at most ROUND_BYTES of text (or one item)."""
+def rounds(benchmark: DataFrame, id_column: str, text_column: str, window: int = WINDOW) -> Iterator[Windows]:
+    """The items' windows, at most ROUND_WINDOWS at a time (or one item's)."""
     rows = benchmark.select(F.coalesce(F.col(id_column).cast("string"), F.lit("null")), text_of(text_column))
     held, size = [], 0
     for name, text in rows.toLocalIterator():
-        data = text.encode()
-        if held and size + len(data) > ROUND_BYTES:
-            yield held
+        h = words(np.frombuffer(text.encode(), np.uint8), ALNUM)[2]
+        if held and size + len(h) > ROUND_WINDOWS:
+            yield Windows(held, window)
             held, size = [], 0
-        held.append((name, data))
-        size += len(data)
-    yield held
+        held.append((name, h))
+        size += len(h)
+    yield Windows(held, window)
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """``rows`` with the spans of their last column sorted and merged where they touch or overlap."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        for batch in batches:
+            out = []
+            for found in batch.column(batch.num_columns - 1).to_pylist():
+                spans: list[dict[str, int]] = []
+                for x in sorted(found, key=lambda x: (x["start"], x["end"])):
+                    if spans and x["start"] <= spans[-1]["end"]:
+                        spans[-1]["end"] = max(spans[-1]["end"], x["end"])
+                    else:
+                        spans.append(x)
+                out.append(spans)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, batch.schema.types[-1])], batch.schema.names)
 
-def merged(spans: str) -> Column:
-    """SQL array of spans (start, end), sorted and merged where they touch or overlap."""
-    return F.expr(
-        f"aggregate(array_sort({spans}), cast(array() AS array<struct<start: bigint, end: bigint>>), (a, x) -> if(size(a) > 0 AND x.start <= element_at(a, -1).end,"
-        " concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start AS start, greatest(element_at(a, -1).end, x.end) AS end))), array_append(a, x)))"
-    )
+    return rows.mapInArrow(run, rows.schema)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
@@ -201,7 +205,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
 
     Null and empty texts have no words and match nothing; an item without words matches nothing, one
     shorter than the window is a window by itself; items that repeat an id count once; repeated
-    documents have a row each; empty tables on either side give no rows or no matches; further
+    documents have a row each; documents beyond BLOCK bytes are searched in sections that overlap;
+    empty tables on either side give no rows or no matches; further
     columns are ignored. ``key`` tells documents that share an id apart.
     """
     spark = docs.sparkSession
@@ -209,8 +214,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
     schema = f"doc_id {kind}, key long, n_words long, spans array<struct<start: bigint, end: bigint>>, items array<string>, longest long"
     source = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"), row_key(id_column, text_column).alias("key"))
     out = []
-    for items in rounds(benchmark, "item_id", "text"):
-        index = spark.sparkContext.broadcast(Windows(items, window))
+    for index in map(spark.sparkContext.broadcast, rounds(benchmark, "item_id", "text", window)):
 
         def run(batches: Iterator, index=index) -> Iterator:
             import pyarrow as pa
@@ -229,15 +233,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
         rows = rows.unionByName(more)
     # each round has every document once; repeated rows come as often as they occur and stay as many
     copies = rows.groupBy("doc_id", "key").agg((F.count("*") / len(out)).cast("int").alias("copies"), F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("longest").alias("longest"))
-    return copies.withColumn("spans", merged("spans")).withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+    each = _merged(copies.select("doc_id", "key", "copies", "n_words", "items", "longest", "spans"))
+    return each.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "key", "n_words", "spans", "items", "longest")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` without those in which a benchmark window occurs; rows and columns kept stay as they are."""
     at = docs.columns.index(text_column)
     schema = docs.schema
-    for items in rounds(benchmark, "item_id", "text"):
-        index = docs.sparkSession.sparkContext.broadcast(Windows(items, window))
+    for index in map(docs.sparkSession.sparkContext.broadcast, rounds(benchmark, "item_id", "text", window)):
 
         def run(batches: Iterator, index=index) -> Iterator:
             import pyarrow as pa

@@ -220,14 +220,15 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8) if len(text.as_buffer()) else np.zeros(0, np.uint8)
-                start, end, _ = words(data, _LETTERS)
+                start, end, h = words(data, _LETTERS)
                 raw = data.tobytes()
                 found = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
                 if found:
                     counts[number[lang]] += np.bincount(ngrams(found)[1], minlength=BUCKETS)
-                    for w in found[::7]:
-                        if (s := script_of(w.decode("utf-8", "replace"))) >= 0:
-                            scripts[number[lang], s] += 1
+                    _, first, times = np.unique(h, return_index=True, return_counts=True)
+                    for k, n in zip(first.tolist(), times.tolist(), strict=True):
+                        if (s := script_of(found[k].decode("utf-8", "replace"))) >= 0:
+                            scripts[number[lang], s] += n
         for table, shift in ((counts, 0), (scripts, BUCKETS)):
             k, b = np.nonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b + shift), pa.array(table[k, b])], ["k", "b", "n"])
@@ -242,8 +243,9 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     """Per document: doc_id, held_out, lang_pred, score (share of letters in its spans) and spans (lang, first word, last word + 1).
 
     Null texts and texts without a letter are ``und`` with score 0, as are all if nothing was
-    learned; repeated rows have a row each; an empty table gives no rows; further columns are
-    ignored, labels too.
+    learned; of languages with as many letters the first in order is taken; very long texts are read
+    in sections and labelled whole; repeated rows have a row each; an empty table gives no rows;
+    further columns are ignored, labels too.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(model)

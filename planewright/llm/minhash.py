@@ -328,8 +328,9 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     Null and empty texts and texts without words have an empty set and no link; texts of fewer words
     than a shingle are one shingle; equal sets are linked; repeated rows have a row each; a document
-    without an id is in a component of its own (null); an empty table gives no rows; further columns
-    are ignored. Texts that share an id count as one document for the links.
+    without an id is in a component of its own (null); very long texts have all their shingles; an
+    empty table gives no rows; further columns are ignored. Texts that share an id count as one
+    document for the links. Ids are integers; component ids are long.
     """
     spark = docs.sparkSession
     sketches = written(sketch(docs, id_column, text_column, shingle), "sketch")

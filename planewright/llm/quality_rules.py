@@ -80,14 +80,15 @@ def _repeated_words() -> Column:
     before, after = same % ("k", "k - 1", "k", "k - 1"), same % ("k", "k + 1", "k", "k + 1")
     # each single-element array binds a name for the step above it
     packed = f"array(array_sort(transform(__h, (x, i) -> shiftleft(shiftright(x, {bits}), {bits}) | i)))"
-    flagged = f"transform({packed}, s -> sort_array(transform(filter(sequence(0, size(s) - 1), k -> (k > 0 AND {before}) OR (k < size(s) - 1 AND {after})), k -> s[k] & {mask})))"
+    # different windows that share the packed bits may part equal ones: then the whole hashes are sorted
+    mixed = f"exists(sequence(1, size(s) - 1), k -> shiftright(s[k], {bits}) = shiftright(s[k - 1], {bits}) AND __h[cast(s[k] & {mask} AS int)] <> __h[cast(s[k - 1] & {mask} AS int)])"
+    flagged = f"transform({packed}, s -> if({mixed}, NULL, sort_array(transform(filter(sequence(0, size(s) - 1), k -> (k > 0 AND {before}) OR (k < size(s) - 1 AND {after})), k -> s[k] & {mask}))))[0]"
     wide_packed = "array(array_sort(transform(__h, (x, i) -> struct(x AS x, i AS i))))"
-    wide = f"transform({wide_packed}, s -> sort_array(transform(filter(sequence(0, size(s) - 1), k -> (k > 0 AND s[k].x = s[k - 1].x) OR (k < size(s) - 1 AND s[k].x = s[k + 1].x)), k -> cast(s[k].i AS bigint))))"
+    wide = f"transform({wide_packed}, s -> sort_array(transform(filter(sequence(0, size(s) - 1), k -> (k > 0 AND s[k].x = s[k - 1].x) OR (k < size(s) - 1 AND s[k].x = s[k + 1].x)), k -> cast(s[k].i AS bigint))))[0]"
     spread = "aggregate(if(size(p) > 1, sequence(1, size(p) - 1), array()), 3L, (a, i) -> a + least(3L, p[i] - p[i - 1]))"
     return F.expr(
-        f"CASE WHEN size(__h) < 2 OR size(array_distinct(__h)) = size(__h) THEN 0L"
-        f" WHEN size(__h) < {mask} THEN transform({flagged}, p -> {spread})[0]"
-        f" ELSE transform({wide}, p -> {spread})[0] END"
+        "CASE WHEN size(__h) < 2 OR size(array_distinct(__h)) = size(__h) THEN 0L"
+        f" ELSE transform(array(coalesce(if(size(__h) < {mask}, {flagged}, NULL), {wide})), p -> {spread})[0] END"
     )
 
 
@@ -100,7 +101,8 @@ def kept(docs: DataFrame, ratios: list[float], text_column: str = "text") -> Dat
 def with_rules(docs: DataFrame, ratios: list[float], text_column: str = "text", into: str = "__rules", buckets: int = BUCKETS) -> DataFrame:
     """``docs`` with a struct of the rule counts, the score and the verdict in column ``into`` (and a row number, ``__row``).
 
-    Null and empty texts have no words and fail; ties and repeated rows are judged alike, each by
+    Null and empty texts have no words and fail; very long texts are counted whole (sorting their
+    windows is the only step that isn't in proportion to their length); ties and repeated rows are judged alike, each by
     itself; an empty table stays empty; all other columns stay as they are (one named ``into`` is
     replaced).
     """

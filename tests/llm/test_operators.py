@@ -68,6 +68,16 @@ def test_encoder_equals_library(bpe, monkeypatch):
             assert ids[borders[k] : borders[k + 1]].tolist() == bpe.encode(t or "", add_special_tokens=False).ids
 
 
+def test_pieces_with_one_fingerprint_keep_their_own_ids(bpe, monkeypatch):
+    texts = ["one two three", "two one three", "alpha beta gamma delta", "delta gamma", None, "", *thue_morse(), *(t for _, t, *_ in corpus())]
+    weak = lambda sums, start, end: (end - start).astype(np.uint64) % np.uint64(5) * np.uint64(8)
+    for hashed in (tokens.span_hash, weak):
+        monkeypatch.setattr(tokens, "span_hash", hashed)
+        ids, borders = tokens.PieceEncoder(tokens.tokenizer_path()).encode(*tokens.utf8(pa.array(texts)))
+        for k, t in enumerate(texts):
+            assert ids[borders[k] : borders[k + 1]].tolist() == bpe.encode(t or "", add_special_tokens=False).ids
+
+
 def test_added_tokens_equal_library(spark, monkeypatch):
     library = Tokenizer.from_file(tokens.tokenizer_path())
     want = lambda t: library.encode(t or "", add_special_tokens=False).ids
@@ -163,13 +173,29 @@ def test_secrets(spark, docs, none):
             at = max(at, b)
         assert r["text"] == ("".join([*want, r["was"][at:]]) if spans else r["was"])
     assert secret_scan.with_secrets(none, ratios).count() == 0
+    clash = spark.createDataFrame([(1, "token=abcdef12", "a", 2, 3), (2, None, "b", 2, 3), (3, "", "c", 2, 3)], "doc_id long, text string, start string, end int, kind int")
+    assert secret_scan.masked(secret_scan.with_secrets(clash, ratios)).select("start", "end", "kind", "text").collect() == [("a", 2, 3, "[SECRET]"), ("b", 2, 3, None), ("c", 2, 3, "")]
+    # very many overlapping and separate spans in one text
+    parts = [f"token={k:08d}{'0f' * 14 if k % 3 else ''}" for k in range(3000)]
+    one = spark.createDataFrame([(1, " ".join(parts))], "doc_id long, text string")
+    assert secret_scan.masked(secret_scan.with_secrets(one, ratios)).first()["text"] == " ".join(["[SECRET]"] * 3000)
+
+
+def test_models_tell_fresh_samples_apart(spark):
+    ratios = secret_scan.train(secret_scan.labelled_samples(spark))
+    fresh = secret_scan.labelled_samples(spark, 3000, first=secret_scan.SAMPLES)
+    rows = fresh.select("random", F.col("token").alias("text"))
+    judged = secret_scan.with_secrets(rows, ratios).select("random", (F.size("__secrets") > 0).alias("found"), F.length("text").alias("n")).filter("n >= 20")
+    share = {r["random"]: r["s"] for r in judged.groupBy("random").agg(F.avg(F.col("found").cast("int")).alias("s")).collect()}
+    print(share)
+    assert share[True] > 0.99 and share[False] < 0.001
 
 
 def test_quality_rules(spark, docs, none):
     labels = spark.createDataFrame([(5, 1, 0), (9, 1, 0), (None, 1, 0), (11, 0, 0)], "doc_id long, quality int, toxic int")
     ratios = quality_rules.log_ratios(docs, labels)
     word = re.compile(r"[^\x20\x09-\x0D]+")
-    for bits in (22, 1):  # packed windows, and the wider form
+    for bits in (22, 1, 60):  # packed windows, the wider form, and packed ones that often share their bits
         quality_rules._POSITION_BITS, before = bits, quality_rules._POSITION_BITS
         for r in quality_rules.with_rules(docs, ratios).collect():
             t = r["text"] or ""
@@ -207,9 +233,9 @@ def test_decontamination(spark, docs, none, monkeypatch):
                     hit.update(range(k, k + len(x)))
                     items |= names
         want.append((doc, len(w), len(hit), tuple(sorted(items))))
-    for block, most in ((4 << 20, 64 << 20), (300, 64 << 20), (4 << 20, 100)):
+    for block, most in ((4 << 20, 1 << 20), (300, 1 << 20), (4 << 20, 15)):
         monkeypatch.setattr(decontamination, "BLOCK", block)
-        monkeypatch.setattr(decontamination, "ROUND_BYTES", most)
+        monkeypatch.setattr(decontamination, "ROUND_WINDOWS", most)
         got = decontamination.matches(docs, table).collect()
         assert bag((r["doc_id"], r["n_words"], sum(x["end"] - x["start"] for x in r["spans"]), tuple(r["items"])) for r in got) == bag(want)
         assert decontamination.clean(docs, table).count() == sum(not x[2] for x in want)
