@@ -10,8 +10,8 @@ there on). Both suffix arrays with their common-prefix lengths together give the
 passages that hold the trigger, and equal neighbours in it are repeats. No hash decides here. Order
 between passages of different triggers isn't needed and isn't made.
 
-A group of too many phrases is first split by what its passages have in common, half of the offsets
-at a time; phrases alike in a whole half are settled there and then and one goes on for all, until
+A group of too many phrases is first split by what its passages have in common, a sixth of the offsets
+at a time; phrases alike in a whole part are settled there and then and one goes on for all, until
 each part fits one task. Copies inside a batch of texts are settled before anything is shuffled, and
 triggers with a large share of all rows are told apart through a broadcast of bounded size.
 """
@@ -35,6 +35,8 @@ PASSAGE_WORDS, TRIGGER_WORDS = 50, 8
 BLOCK = 1 << 20
 #: Phrases of one trigger that a task orders at once.
 GROUP = 8192
+#: A group of more is parted by so many ranges of offsets: 201 offsets are down to single ones in three rounds.
+WAYS = 6
 
 
 def sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -250,10 +252,10 @@ def _ordered(phrases: DataFrame, passage: int, width: int) -> DataFrame:
     return dealt.select("grp", "key", "pos", "before", "low", "high", "phrase").mapInArrow(run, "key long, start long, end long")
 
 
-def _halved(phrases: DataFrame, passage: int, width: int) -> DataFrame:
-    """Each phrase once for either half of its offsets, grouped anew by the symbols that all passages of the half share.
+def _parted(phrases: DataFrame, passage: int, width: int) -> DataFrame:
+    """Each phrase once for each of WAYS parts of its offsets, grouped anew by the symbols that all passages of the part share.
 
-    ``whole`` is a 128-bit digest of all symbols that the phrase's passages of the half cover,
+    ``whole`` is a 128-bit digest of all symbols that the phrase's passages of the part cover,
     [start, end) their place.
     """
     columns = ["grp", "key", "pos", "before", "low", "high", "phrase"]
@@ -268,8 +270,8 @@ def _halved(phrases: DataFrame, passage: int, width: int) -> DataFrame:
         for batch in batches:
             rows = []
             for grp, key, pos, before, low, high, phrase in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                mid = (low + high) // 2
-                for lo, hi in ((low, mid), (mid, high)):
+                step = -(-(high - low) // WAYS)
+                for lo, hi in ((x, min(x + step, high)) for x in range(low, high, step)):
                     a, b = max(lo, passage - (len(phrase) // width - before)), min(hi, before + 1)  # offsets that the phrase has room for
                     if a < b:
                         core = name(phrase[(before - lo) * width : (before + passage - hi + 1) * width], grp, lo, hi)
@@ -347,10 +349,10 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             marks = marks.unionByName(kept(_ordered(phrases, passage, width), "marks"))
             break
         marks = marks.unionByName(kept(_ordered(with_keys(phrases, large, "grp", total, "left_anti"), passage, width), "marks"))
-        halves = kept(_halved(with_keys(phrases, large, "grp", total), passage, width), "halves")
-        # phrases alike in all passages of the half repeat each other in all of them, and one stands for them from here on
-        alike = kept(halves.groupBy("grp", "whole").agg(F.count("*").alias("copies"), F.first(F.struct("key", "pos", "before", "low", "high", "phrase")).alias("one")), "alike")
-        settled = halves.join(alike.filter("copies > 1").select("grp", "whole"), ["grp", "whole"], "left_semi")
+        parts = kept(_parted(with_keys(phrases, large, "grp", total), passage, width), "parts")
+        # phrases alike in all passages of the part repeat each other in all of them, and one stands for them from here on
+        alike = kept(parts.groupBy("grp", "whole").agg(F.count("*").alias("copies"), F.first(F.struct("key", "pos", "before", "low", "high", "phrase")).alias("one")), "alike")
+        settled = parts.join(alike.filter("copies > 1").select("grp", "whole"), ["grp", "whole"], "left_semi")
         marks = marks.unionByName(kept(settled.select("key", "start", "end"), "marks"))
         open_ = kept(alike.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1"), "open")
         phrases = with_keys(alike, open_, "grp", total).select("grp", "one.*")
