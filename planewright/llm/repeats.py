@@ -33,8 +33,8 @@ PASSAGE, TRIGGER = 400, 200
 #: Words of a passage and of a trigger.
 PASSAGE_WORDS, TRIGGER_WORDS = 50, 8
 BLOCK = 1 << 20
-#: Phrases of one trigger that a task orders at once.
-GROUP = 8192
+#: Phrases of one trigger that a task orders at once; with its two orders a phrase takes about 3 KB, so this is 100 MB.
+GROUP = 32768
 #: A group of more is parted by so many ranges of offsets: 201 offsets are down to single ones in three rounds.
 WAYS = 6
 
@@ -277,6 +277,9 @@ def _parted(phrases: DataFrame, passage: int, width: int) -> DataFrame:
                         core = name(phrase[(before - lo) * width : (before + passage - hi + 1) * width], grp, lo, hi)
                         whole = name(phrase[(before - b + 1) * width : (before - a + passage) * width], a, b)
                         rows.append((int.from_bytes(core[:8], "little", signed=True), key, pos, before, lo, hi, phrase, whole, pos - b + 1, pos - a + passage))
+                if len(rows) > 8192:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*columns, "whole", "start", "end"])
+                    rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*columns, "whole", "start", "end"])
 
