@@ -22,6 +22,11 @@ def segment(a: Column, b: Column) -> Column:
     return F.struct(a.alias("start"), b.alias("end"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, where naming it by a column of its own isn't possible."""
+    return F.transform(F.array(value), body)[0]
+
+
 # ------------------------------------------------------------------ vectors and points
 
 

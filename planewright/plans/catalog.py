@@ -1,7 +1,8 @@
 """Every geometry query of the library, gathered from the modules that define them."""
 
 from planewright.plans import more_queries as _more
+from planewright.plans import primitive_queries as _primitive
 from planewright.plans import queries as _queries
 from planewright.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "_more", "_queries"]
+__all__ = ["ORACLES", "QUERIES", "_more", "_primitive", "_queries"]
