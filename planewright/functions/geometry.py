@@ -361,13 +361,35 @@ def radical_inverse(i: Column | str, base: int) -> Column:
     return F.expr(f"aggregate({digits}, 0D, (s, k) -> s + (cast(floor({name} / power({base}D, k)) AS bigint) % {base}) / power({base}D, k + 1))")
 
 
+def radical_inverse_mirrored(i: str, base: int) -> Column:
+    """The same with the digits above 2 mirrored (digit d is base - 1 - d), leading zeros left out."""
+    if base == 2:
+        return radical_inverse(i, 2)
+    digit = f"(cast(floor({i} / power({base}D, k)) AS bigint) % {base})"
+    return F.expr(f"aggregate(filter(sequence(0, cast(ceil(log({base}, {i} + 1)) AS int)), k -> power({base}D, k) <= {i}), 0D, (s, k) -> s + (({base} - 1 - {digit}) % {base}) / power({base}D, k + 1))")
+
+
+#: Bases of the Halton sequence's dimensions.
+PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29)
+
+
+def halton(i: str, dimensions: int) -> Column:
+    """A point of the sequence in up to ten dimensions, as an array."""
+    return F.array(*(radical_inverse(i, b) for b in PRIMES[:dimensions]))
+
+
+def in_rect(p: Column, b: Column) -> Column:
+    """A point of the unit square moved into a box."""
+    return point(b.min_x + p.x * (b.max_x - b.min_x), b.min_y + p.y * (b.max_y - b.min_y))
+
+
 def sobol(i: str, direction: list[int]) -> Column:
     """One dimension in Gray-code order from 32-bit direction numbers."""
     words = ", ".join(f"{d}L" for d in direction)
     return F.expr(f"aggregate(sequence(0, {len(direction) - 1}), 0L, (s, k) -> s ^ if(shiftright({i} ^ shiftright({i}, 1), k) % 2 = 1, array({words})[k], 0L)) / 4294967296D")
 
 
-def sobol_directions(m: list[int], step: int = 0, bits: int = 16) -> list[int]:
+def sobol_directions(m: list[int], step: int = 0, bits: int = 32) -> list[int]:
     """32-bit direction numbers: first values ``m``, then m[i] = 2 m[i-1] ^ m[i-2]; ``step`` 1 leaves all m at 1."""
     while len(m) < bits:
         m = [*m, 1 if step else (2 * m[-1]) ^ m[-2]]

@@ -71,11 +71,11 @@ def triples(line: Column | str, kernel: str) -> Column:
     return F.pandas_udf(run, "array<struct<a: int, b: int, c: int>>")(line)
 
 
-def pair_number(a: Column | str, b: Column | str, kernel: str) -> Column:
+def pair_number(a: Column | str, b: Column | str, kernel: str, **options: object) -> Column:
     """A number from two lines."""
 
     def run(first: pd.Series, second: pd.Series) -> pd.Series:
-        return pd.Series([getattr(K, kernel)(as_array(p), as_array(q)) for p, q in zip(first, second, strict=True)], dtype="float64")
+        return pd.Series([getattr(K, kernel)(as_array(p), as_array(q), **options) for p, q in zip(first, second, strict=True)], dtype="float64")
 
     return F.pandas_udf(run, "double")(a, b)
 

@@ -89,3 +89,78 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, first_radius: float,
         if left.isEmpty():
             return reduce(DataFrame.unionByName, out)
         radius = radius * 4 if radius * 4 < span else span
+
+
+def _covered(b: str, size: float) -> Column:
+    """All cells that a box covers."""
+    return F.expr(f"flatten(transform(sequence(cast(floor({b}.min_x / {size}) AS bigint), cast(floor({b}.max_x / {size}) AS bigint)), i -> transform(sequence(cast(floor({b}.min_y / {size}) AS bigint), cast(floor({b}.max_y / {size}) AS bigint)), j -> struct(i AS cx, j AS cy))))")
+
+
+def boxes_meeting(left: DataFrame, right: DataFrame, size: float, l: str = "b", r: str = "o") -> DataFrame:
+    """Pairs of rows whose closed boxes share a point.
+
+    Both go to the cells that they cover and a pair counts in the cell of its shared part's lower
+    left corner only. Column names must not clash.
+    """
+    spread = lambda df, b: df.withColumn("__c", F.explode(_covered(b, size))).withColumns({"cx": F.col("__c.cx"), "cy": F.col("__c.cy")}).drop("__c")
+    both = spread(left, l).join(spread(right, r), ["cx", "cy"])
+    corner = (F.col("cx") == cell(F.greatest(F.col(f"{l}.min_x"), F.col(f"{r}.min_x")), size)) & (F.col("cy") == cell(F.greatest(F.col(f"{l}.min_y"), F.col(f"{r}.min_y")), size))
+    return both.filter(corner & G.boxes_meet(F.col(l), F.col(r))).drop("cx", "cy")
+
+
+def first_hits(hits: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """At most n rows a query, the smallest of ``order``: a report, not a cap on what is searched."""
+    ranked = hits.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    return ranked.filter(F.col("__r") <= n).drop("__r")
+
+
+def nearest_boxes(queries: DataFrame, boxes: DataFrame, k: int, first_radius: float, qid: str = "qid", qp: str = "q", bid: str = "id", b: str = "b") -> DataFrame:
+    """(qid, id, distance, rank): the k nearest boxes of each query point, ties by the smaller id.
+
+    As ``nearest``: the search box round a query grows until k boxes lie within its reach.
+    """
+    from functools import reduce
+
+    n, lo_x, lo_y, hi_x, hi_y = boxes.agg(F.count("*"), F.min(f"{b}.min_x"), F.min(f"{b}.min_y"), F.max(f"{b}.max_x"), F.max(f"{b}.max_y")).first()
+    schema = queries.select(qid, F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("rank"))
+    if not n:
+        return schema.limit(0)
+    span = queries.agg(F.max(F.greatest(F.abs(F.col(f"{qp}.x") - lo_x), F.abs(F.col(f"{qp}.x") - hi_x)) + F.greatest(F.abs(F.col(f"{qp}.y") - lo_y), F.abs(F.col(f"{qp}.y") - hi_y)))).first()[0] or 0.0
+    order = Window.partitionBy(qid).orderBy("distance", "id")
+    target = boxes.select(F.col(bid).alias("id"), F.col(b).alias("__b"))
+    out, left, radius = [], queries.select(F.col(qid), F.col(qp).alias("__q")), first_radius
+    while True:
+        q = F.col("__q")
+        search = left.withColumn("__s", G.box(q.x - radius, q.y - radius, q.x + radius, q.y + radius))
+        found = boxes_meeting(search, target, max(radius, 1e-9), "__s", "__b").select(qid, "id", G.box_distance(F.col("__b"), q).alias("distance")).filter(F.col("distance") <= radius)
+        ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        if radius >= span:
+            out.append(ranked)
+            return reduce(DataFrame.unionByName, out)
+        served = ranked.groupBy(qid).agg(F.count("*").alias("__n")).filter(F.col("__n") >= min(k, n)).select(qid)
+        out.append(ranked.join(served, qid, "left_semi"))
+        left = left.join(served, qid, "left_anti")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        radius = radius * 4 if radius * 4 < span else span
+
+
+def welded(points: DataFrame, eps: float, pid: str = "id", p: str = "p") -> DataFrame:
+    """(id, cluster): points at most ``eps`` apart are one cluster, over any number of steps; its name is the smallest id."""
+    from planewright.operators.components import components
+
+    a, b = (points.select(F.col(pid).alias(n), F.col(p).alias(f"p{n}")) for n in "ab")
+    label = components(within_distance(a, b, eps, "pa", "pb").filter("a < b").select("a", "b"))
+    return points.join(label, points[pid] == label["node"], "left").select(F.col(pid).alias("id"), F.coalesce("root", pid).alias("cluster"))
+
+
+def welded_points(points: DataFrame, eps: float, pid: str = "id", p: str = "p", keep_first: bool = False) -> DataFrame:
+    """(cluster, n, x, y): each cluster's mean point, or the point of its smallest id."""
+    rows = welded(points, eps, pid, p).join(points.select(F.col(pid).alias("id"), F.col(p).alias("__p")), "id")
+    at = (lambda f: F.min_by(f"__p.{f}", "id")) if keep_first else (lambda f: F.avg(f"__p.{f}"))
+    return rows.groupBy("cluster").agg(F.count("*").alias("n"), at("x").alias("x"), at("y").alias("y"))
+
+
+def snapped(p: Column, size: float) -> Column:
+    """The nearest grid point."""
+    return G.point(F.round(p.x / size) * size, F.round(p.y / size) * size)

@@ -46,11 +46,11 @@ def bspline_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _at(points(spark, sf_dir)).select("id", "t", r6(G.uniform_bspline(F.col("t"), _e(0, 1), _e(2, 3), _e(4, 5), _e(6, 7)).x).alias("x"))
 
 
-@query("bezier_curvature", f"""{W}, d AS (SELECT id, 3*(e[3]-e[1]) AS dx, 3*(e[4]-e[2]) AS dy, 6*(e[5]-2*e[3]+e[1]) AS ex, 6*(e[6]-2*e[4]+e[2]) AS ey FROM pts) SELECT id, round((dx*ey-dy*ex)/sqrt(dx*dx+dy*dy)**3, 3) + 0.0 AS k FROM d WHERE dx*dx+dy*dy > 0.05""")
+@query("bezier_curvature", f"""{W}, d AS (SELECT id, 3*(e[3]-e[1]) AS dx, 3*(e[4]-e[2]) AS dy, 6*(e[5]-2*e[3]+e[1]) AS ex, 6*(e[6]-2*e[4]+e[2]) AS ey FROM pts), k AS (SELECT id, (dx*ey-dy*ex)/sqrt(dx*dx+dy*dy)**3 AS k FROM d) SELECT id, round(k/(1+abs(k)), 6) + 0.0 AS k FROM k""")
 def bezier_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = (_e(0, 1), _e(2, 3), _e(4, 5), _e(6, 7))
-    d = G.bezier_derivative(0.0, *c)
-    return points(spark, sf_dir).filter(G.dot(d, d) > 0.05).select("id", (F.round(G.curvature(F.lit(0.0), *c), 3) + 0.0).alias("k"))
+    """Every row, compared as x / (1 + |x|); null where the curve stands still."""
+    k = G.curvature(F.lit(0.0), _e(0, 1), _e(2, 3), _e(4, 5), _e(6, 7))
+    return points(spark, sf_dir).select("id", r6(k / (1 + F.abs(k))).alias("k"))
 
 
 @query("bezier_flatten")
@@ -86,8 +86,10 @@ def visibility_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("label", (F.abs(seen("ring", "c.x", "c.y") - G.ring_area("ring")) < 1e-6).alias("whole"))
 
 
-@query("sobol_2d", """WITH m AS (SELECT [1,3,7,13,29,55,115,209,465,883] AS v) SELECT i, list_sum([CASE WHEN ((xor(i, i >> 1)) >> k) % 2 = 1 THEN 1.0::DOUBLE / (2 << k) ELSE 0.0 END FOR k IN range(10)]) AS x,
- list_reduce([CASE WHEN ((xor(i, i >> 1)) >> k) % 2 = 1 THEN CAST(v[k + 1] AS BIGINT) << (31 - k) ELSE 0 END FOR k IN range(10)], lambda a, b: xor(a, b)) / 4294967296.0::DOUBLE AS y FROM range(1000) r(i), m""")
+@query("sobol_2d", """WITH v AS (WITH RECURSIVE r(k, a, b) AS (SELECT 0, 1::BIGINT, 3::BIGINT UNION ALL SELECT k + 1, b, xor(2 * b, a) FROM r WHERE k < 31) SELECT list(a ORDER BY k) AS v FROM r)
+ SELECT i, list_sum([CASE WHEN ((xor(i, i >> 1)) >> k) % 2 = 1 THEN 1.0::DOUBLE / (2::BIGINT << k) ELSE 0.0 END FOR k IN range(20)]) AS x,
+ list_reduce([CASE WHEN ((xor(i, i >> 1)) >> k) % 2 = 1 THEN CAST(v[k + 1] AS BIGINT) << (31 - k) ELSE 0 END FOR k IN range(20)], lambda a, b: xor(a, b)) / 4294967296.0::DOUBLE AS y FROM (SELECT range AS i FROM range(1000) UNION ALL SELECT range AS i FROM range(65536, 66536)) r, v""")
 def sobol_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = spark.range(1000).withColumnRenamed("id", "i")
-    return i.select("i", G.sobol("i", G.sobol_directions([1, 1], 1, 10)).alias("x"), G.sobol("i", G.sobol_directions([1, 3], 0, 10)).alias("y"))
+    """The first thousand points, and a thousand beyond index 2**16."""
+    i = spark.range(1000).union(spark.range(65536, 66536)).withColumnRenamed("id", "i")
+    return i.select("i", G.sobol("i", G.sobol_directions([1, 1], 1)).alias("x"), G.sobol("i", G.sobol_directions([1, 3], 0)).alias("y"))

@@ -65,13 +65,12 @@ def segment_closest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("id", r6(G.segment_parameter(s, p)).alias("t"), r6(c.x).alias("x"), r6(c.y).alias("y"), r6(G.segment_point_distance(s, p)).alias("d"))
 
 
-@query("line_intersections", f"""{W}, s AS (SELECT id, e, (e[3]-e[1])*(e[8]-e[6])-(e[4]-e[2])*(e[7]-e[5]) AS k FROM pts)
- SELECT id, round(((e[5]-e[1])*(e[8]-e[6])-(e[6]-e[2])*(e[7]-e[5]))/k, 6) + 0.0 AS t, round(((e[5]-e[1])*(e[4]-e[2])-(e[6]-e[2])*(e[3]-e[1]))/k, 6) + 0.0 AS u FROM s WHERE abs(k) > 0.001""")
+@query("line_intersections", f"""{W}, s AS (SELECT id, e, (e[3]-e[1])*(e[8]-e[6])-(e[4]-e[2])*(e[7]-e[5]) AS k FROM pts), c AS (SELECT id, ((e[5]-e[1])*(e[8]-e[6])-(e[6]-e[2])*(e[7]-e[5]))/k AS t, ((e[5]-e[1])*(e[4]-e[2])-(e[6]-e[2])*(e[3]-e[1]))/k AS u FROM s)
+ SELECT id, round(t/(1+abs(t)), 6) + 0.0 AS t, round(u/(1+abs(u)), 6) + 0.0 AS u FROM c""")
 def line_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, o = G.segment(_e(0, 1), _e(2, 3)), G.segment(_e(4, 5), _e(6, 7))
-    c = G.line_crossing(s, o)
-    rows = points(spark, sf_dir).filter(F.abs(G.cross(G.sub(_e(2, 3), _e(0, 1)), G.sub(_e(6, 7), _e(4, 5)))) > 0.001)
-    return rows.select("id", r6(c.t).alias("t"), r6(c.u).alias("u"))
+    """Every row; far crossings are compared as x / (1 + |x|), parallel lines have null."""
+    c = G.line_crossing(G.segment(_e(0, 1), _e(2, 3)), G.segment(_e(4, 5), _e(6, 7)))
+    return points(spark, sf_dir).select("id", r6(c.t / (1 + F.abs(c.t))).alias("t"), r6(c.u / (1 + F.abs(c.u))).alias("u"))
 
 
 @query("orient2d", f"""{W}, s AS (SELECT id, (e[3]-e[1])*(e[6]-e[2])-(e[4]-e[2])*(e[5]-e[1]) AS k FROM pts) SELECT CASE WHEN k > 0.01 THEN 'ccw' WHEN k < -0.01 THEN 'cw' ELSE 'collinear' END AS turn, count(*) AS n FROM s GROUP BY 1""")
@@ -80,29 +79,27 @@ def orient2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("circle_pairs", f"""{W}, c AS (SELECT id, x, y, abs(e[3]) + 0.05 AS r FROM pts)
- SELECT a.id AS a, b.id AS b, round(sqrt((a.x-b.x)**2+(a.y-b.y)**2) - a.r - b.r, 6) AS gap FROM c a JOIN c b ON a.id < b.id WHERE sqrt((a.x-b.x)**2+(a.y-b.y)**2) <= a.r + b.r AND sqrt((a.x-b.x)**2+(a.y-b.y)**2) <= 0.2""")
+ SELECT a.id AS a, b.id AS b, round(sqrt((a.x-b.x)**2+(a.y-b.y)**2) - a.r - b.r, 6) AS gap FROM c a JOIN c b ON a.id < b.id WHERE sqrt((a.x-b.x)**2+(a.y-b.y)**2) <= a.r + b.r""")
 def circle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = points(spark, sf_dir).select("id", "p", (F.abs(F.col("e")[2]) + 0.05).alias("r"))
-    a, b = (c.select(F.col("id").alias(n), F.col("p").alias(f"p{n}"), F.col("r").alias(f"r{n}")) for n in "ab")
-    near = S.within_distance(a, b, 0.2, "pa", "pb").filter("a < b")
-    return near.filter(G.circles_overlap(G.circle(F.col("pa"), F.col("ra")), G.circle(F.col("pb"), F.col("rb")))).select("a", "b", F.round(G.distance(F.col("pa"), F.col("pb")) - F.col("ra") - F.col("rb"), 6).alias("gap"))
+    return circle_overlaps(spark, sf_dir)
 
 
 @query("circle_overlaps", f"""{W}, c AS (SELECT id, x, y, abs(e[3]) + 0.05 AS r FROM pts)
  SELECT a.id AS a, b.id AS b, round(sqrt((a.x-b.x)**2+(a.y-b.y)**2) - a.r - b.r, 6) AS gap FROM c a JOIN c b ON a.id < b.id WHERE sqrt((a.x-b.x)**2+(a.y-b.y)**2) <= a.r + b.r""")
 def circle_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of circles that overlap; ``circle_pairs`` has only those with centers at most 0.2 apart."""
+    """All pairs of circles that overlap, however far apart their centers are."""
     c = points(spark, sf_dir).select("id", G.circle(F.col("p"), F.abs(F.col("e")[2]) + 0.05).alias("c"))
     a, b = (c.select(F.col("id").alias(n), F.col("c").alias(f"c{n}")) for n in "ab")
     near = S.overlapping_circles(a, b, "ca", "cb").filter("a < b")
     return near.select("a", "b", F.round(G.distance(F.col("ca.center"), F.col("cb.center")) - F.col("ca.radius") - F.col("cb.radius"), 6).alias("gap"))
 
 
-@query("circumcircles", f"""{W}, s AS (SELECT id, e, 2*((e[3]-e[1])*(e[6]-e[2])-(e[4]-e[2])*(e[5]-e[1])) AS k, (e[3]-e[1])**2+(e[4]-e[2])**2 AS bb, (e[5]-e[1])**2+(e[6]-e[2])**2 AS cc FROM pts)
- SELECT id, round(sqrt((((e[6]-e[2])*bb-(e[4]-e[2])*cc)/k)**2 + (((e[3]-e[1])*cc-(e[5]-e[1])*bb)/k)**2), 4) AS radius FROM s WHERE abs(k) > 0.01""")
+@query("circumcircles", f"""{W}, s AS (SELECT id, e, 2*((e[3]-e[1])*(e[6]-e[2])-(e[4]-e[2])*(e[5]-e[1])) AS k, (e[3]-e[1])**2+(e[4]-e[2])**2 AS bb, (e[5]-e[1])**2+(e[6]-e[2])**2 AS cc FROM pts), r AS (SELECT id, sqrt((((e[6]-e[2])*bb-(e[4]-e[2])*cc)/k)**2 + (((e[3]-e[1])*cc-(e[5]-e[1])*bb)/k)**2) AS r FROM s)
+ SELECT id, round(r/(1+r), 6) AS radius FROM r""")
 def circumcircles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b, c = _e(0, 1), _e(2, 3), _e(4, 5)
-    return points(spark, sf_dir).filter(F.abs(2 * G.turn(a, b, c)) > 0.01).select("id", F.round(G.circumcircle(a, b, c).radius, 4).alias("radius"))
+    """Every row, compared as x / (1 + x); null on a line."""
+    r = G.circumcircle(_e(0, 1), _e(2, 3), _e(4, 5)).radius
+    return points(spark, sf_dir).select("id", F.round(r / (1 + r), 6).alias("radius"))
 
 
 @query("affine_round_trip", f"{W} SELECT id, round(2*x - 0.5*y + 1, 6) + 0.0 AS u, round(0.25*x + 1.5*y - 2, 6) + 0.0 AS v, round(x, 6) + 0.0 AS back_x, round(y, 6) + 0.0 AS back_y FROM pts")
