@@ -83,3 +83,17 @@ def pair_number(a: Column | str, b: Column | str, kernel: str, **options: object
 def picked(line: str, kept: str) -> Column:
     """The points of a line at kept indexes."""
     return F.expr(f"transform({kept}, i -> {line}[i])")
+
+
+KINDS = {"points": POINTS, "rings": f"array<{POINTS}>", "double": "double", "int": "int", "boolean": "boolean"}
+
+
+def made(kind: str, kernel, *columns: Column | str) -> Column:
+    """A kernel's result for each row: ``kind`` is points, rings, double, int or boolean; the kernel takes an array of points for each column."""
+    done = {"points": _points, "rings": lambda r: [_points(p) for p in r], "double": float, "int": int, "boolean": bool}[kind]
+
+    def run(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([done(kernel(*map(as_array, row))) for row in rows.itertuples(index=False)], dtype=None if len(rows) else object)
+
+    packed = F.struct(*((F.col(c) if isinstance(c, str) else c).alias(f"c{k}") for k, c in enumerate(columns)))
+    return F.pandas_udf(run, KINDS[kind])(packed)
