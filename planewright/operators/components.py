@@ -18,19 +18,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once: checkpointed to the shared folder in ``spark.checkpoint.dir``, or persisted where none is set."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for edges (a, b): large-star and small-star steps until nothing changes; roots have no row.
 
     Each round is checkpointed to the shared folder in ``spark.checkpoint.dir`` where one is set.
     """
-    spark = edges.sparkSession
-    cut = (lambda df: df.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) else (lambda df: df.persist())
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     edges = cut(edges.filter("a <> b").distinct())
     now = mark(edges)
     while True:
-        edges = cut(_star(_star(edges, True), False))
+        edges, before = cut(_star(_star(edges, True), False)), edges
         after = mark(edges)
+        before.unpersist()
         if after == now:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         now = after

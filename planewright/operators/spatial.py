@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planewright.functions import geometry as G
+from planewright.operators.components import components, cut
 
 
 def cell(v: Column, size: float) -> Column:
@@ -79,13 +80,13 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, first_radius: float,
     target = points.select(F.col(pid).alias("id"), F.col(pp).alias("__p"))
     while True:
         found = within_distance(q(left), target, radius, "__q", "__p").select(qid, "id", G.distance(F.col("__q"), F.col("__p")).alias("distance"))
-        ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        ranked = cut(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
         if radius >= span:
             out.append(ranked)
             return reduce(DataFrame.unionByName, out)
         served = ranked.groupBy(qid).agg(F.count("*").alias("__n")).filter(F.col("__n") >= min(k, n)).select(qid)
         out.append(ranked.join(served, qid, "left_semi"))
-        left = left.join(served, qid, "left_anti")
+        left = cut(left.join(served, qid, "left_anti"))
         if left.isEmpty():
             return reduce(DataFrame.unionByName, out)
         radius = radius * 4 if radius * 4 < span else span
@@ -133,13 +134,13 @@ def nearest_boxes(queries: DataFrame, boxes: DataFrame, k: int, first_radius: fl
         q = F.col("__q")
         search = left.withColumn("__s", G.box(q.x - radius, q.y - radius, q.x + radius, q.y + radius))
         found = boxes_meeting(search, target, max(radius, 1e-9), "__s", "__b").select(qid, "id", G.box_distance(F.col("__b"), q).alias("distance")).filter(F.col("distance") <= radius)
-        ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        ranked = cut(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
         if radius >= span:
             out.append(ranked)
             return reduce(DataFrame.unionByName, out)
         served = ranked.groupBy(qid).agg(F.count("*").alias("__n")).filter(F.col("__n") >= min(k, n)).select(qid)
         out.append(ranked.join(served, qid, "left_semi"))
-        left = left.join(served, qid, "left_anti")
+        left = cut(left.join(served, qid, "left_anti"))
         if left.isEmpty():
             return reduce(DataFrame.unionByName, out)
         radius = radius * 4 if radius * 4 < span else span
@@ -147,8 +148,6 @@ def nearest_boxes(queries: DataFrame, boxes: DataFrame, k: int, first_radius: fl
 
 def welded(points: DataFrame, eps: float, pid: str = "id", p: str = "p") -> DataFrame:
     """(id, cluster): points at most ``eps`` apart are one cluster, over any number of steps; its name is the smallest id."""
-    from planewright.operators.components import components
-
     a, b = (points.select(F.col(pid).alias(n), F.col(p).alias(f"p{n}")) for n in "ab")
     label = components(within_distance(a, b, eps, "pa", "pb").filter("a < b").select("a", "b"))
     return points.join(label, points[pid] == label["node"], "left").select(F.col(pid).alias("id"), F.coalesce("root", pid).alias("cluster"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planewright.functions import geometry as G
 from planewright.operators import per_geometry as P
 from planewright.operators import spatial as S
+from planewright.operators.hulls import hulls
 from planewright.operators.tables import SQL, points, polylines, read, trajectories
 from planewright.plans.registry import query
 
@@ -152,28 +153,32 @@ _HULL = f"""{W}, edge AS (SELECT a.label, a.id, a.x AS x0, a.y AS y0, b.x AS x1,
 
 @query("hull_area_perimeter", f"{_HULL} SELECT label, count(*) AS n_vertices, round(sum(x0*y1-x1*y0)/2, 5) AS area, round(sum(sqrt((x1-x0)**2+(y1-y0)**2)), 5) AS perimeter FROM edge GROUP BY 1")
 def hull_area_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _groups(spark, sf_dir).withColumn("kept", P.indexes("line", "convex_hull")).withColumn("ring", P.picked("line", "kept"))
+    h = _hull_rings(spark, sf_dir)
     return h.select("label", F.size("ring").cast("long").alias("n_vertices"), F.round(G.ring_area("ring"), 5).alias("area"), F.round(G.ring_perimeter("ring"), 5).alias("perimeter"))
 
 
-@query("min_enclosing_circle")
+@query("min_enclosing_circle", f"""{W}, two AS (SELECT a.label, (a.x+b.x)/2 AS x, (a.y+b.y)/2 AS y, ((a.x-b.x)**2+(a.y-b.y)**2)/4 AS r2 FROM edge_points a JOIN edge_points b ON a.label = b.label AND a.id < b.id),
+ k AS (SELECT a.label, a.x AS ax, a.y AS ay, b.x-a.x AS bx, b.y-a.y AS by_, c.x-a.x AS cx, c.y-a.y AS cy, 2*((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x)) AS d FROM edge_points a JOIN edge_points b ON a.label = b.label AND a.id < b.id JOIN edge_points c ON a.label = c.label AND b.id < c.id),
+ three AS (SELECT label, ax + (cy*(bx*bx+by_*by_)-by_*(cx*cx+cy*cy))/d AS x, ay + (bx*(cx*cx+cy*cy)-cx*(bx*bx+by_*by_))/d AS y, ((cy*(bx*bx+by_*by_)-by_*(cx*cx+cy*cy))/d)**2+((bx*(cx*cx+cy*cy)-cx*(bx*bx+by_*by_))/d)**2 AS r2 FROM k WHERE d <> 0),
+ every AS (SELECT * FROM two UNION ALL SELECT * FROM three), fits AS (SELECT e.label, e.x, e.y, e.r2 FROM every e WHERE NOT EXISTS (SELECT 1 FROM edge_points p WHERE p.label = e.label AND (p.x-e.x)**2+(p.y-e.y)**2 > e.r2 + 1e-12))
+ SELECT label, round(min_by(x, r2), 6) + 0.0 AS x, round(min_by(y, r2), 6) + 0.0 AS y, round(sqrt(min(r2)), 6) AS radius FROM fits GROUP BY 1""".replace(", two AS", ", edge_points AS (SELECT p.* FROM pts p WHERE EXISTS (SELECT 1 FROM pts b WHERE b.label = p.label AND (b.x <> p.x OR b.y <> p.y) AND NOT EXISTS (SELECT 1 FROM pts c WHERE c.label = p.label AND (b.x-p.x)*(c.y-p.y)-(b.y-p.y)*(c.x-p.x) < 0))), two AS", 1))
 def min_enclosing_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest circle round each label's points."""
-    c = _groups(spark, sf_dir).withColumn("c", P.numbers("line", "enclosing_circle", ["x", "y", "radius"]))
+    c = _hull_rings(spark, sf_dir).withColumn("c", P.numbers("ring", "enclosing_circle", ["x", "y", "radius"]))
     return c.select("label", r6(F.col("c.x")).alias("x"), r6(F.col("c.y")).alias("y"), r6(F.col("c.radius")).alias("radius"))
 
 
 @query("obb_optimal", f"""{_HULL}, spun AS (SELECT e.label, e.x0, e.y0, e.x1, e.y1, ((h.x0-e.x0)*(e.x1-e.x0)+(h.y0-e.y0)*(e.y1-e.y0))/sqrt((e.x1-e.x0)**2+(e.y1-e.y0)**2) AS u, ((h.y0-e.y0)*(e.x1-e.x0)-(h.x0-e.x0)*(e.y1-e.y0))/sqrt((e.x1-e.x0)**2+(e.y1-e.y0)**2) AS v FROM edge e JOIN edge h USING (label)),
  boxes AS (SELECT label, (max(u)-min(u))*(max(v)-min(v)) AS area FROM spun GROUP BY label, x0, y0, x1, y1) SELECT label, round(min(area), 5) AS area FROM boxes GROUP BY 1""")
 def obb_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _groups(spark, sf_dir).withColumn("b", P.numbers("line", "smallest_box", ["x", "y", "half_width", "half_height", "angle"]))
+    b = _hull_rings(spark, sf_dir).withColumn("b", P.numbers("ring", "smallest_box", ["x", "y", "half_width", "half_height", "angle"]))
     return b.select("label", F.round(4 * F.col("b.half_width") * F.col("b.half_height"), 5).alias("area"))
 
 
 @query("farthest_pair", f"{W} SELECT a.label, round(sqrt(max((a.x-b.x)**2+(a.y-b.y)**2)), 6) AS diameter FROM pts a JOIN pts b ON a.label = b.label GROUP BY 1")
 def farthest_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spine of a capsule: the farthest two points of a set lie on its hull."""
-    h = _groups(spark, sf_dir).withColumn("h", P.indexes("line", "convex_hull")).withColumn("ring", P.picked("line", "h"))
+    h = _hull_rings(spark, sf_dir)
     d = F.expr("array_max(transform(ring, a -> array_max(transform(ring, b -> power(a.x - b.x, 2) + power(a.y - b.y, 2)))))")
     return h.select("label", r6(F.sqrt(d)).alias("diameter"))
 
@@ -294,7 +299,7 @@ def point_in_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ear_clip_area", f"{_HULL} SELECT label, count(*) - 2 AS n_triangles, round(sum(x0*y1-x1*y0)/2, 5) AS area FROM edge GROUP BY 1")
 def ear_clip_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _groups(spark, sf_dir).withColumn("kept", P.indexes("line", "convex_hull")).withColumn("ring", P.picked("line", "kept")).withColumn("t", P.triples("ring", "triangulate"))
+    h = _hull_rings(spark, sf_dir).withColumn("t", P.triples("ring", "triangulate"))
     area = F.expr("aggregate(t, 0D, (s, t) -> s + abs((ring[t.b].x - ring[t.a].x) * (ring[t.c].y - ring[t.a].y) - (ring[t.b].y - ring[t.a].y) * (ring[t.c].x - ring[t.a].x)) / 2)")
     return h.select("label", F.size("t").cast("long").alias("n_triangles"), F.round(area, 5).alias("area"))
 
@@ -308,7 +313,8 @@ def delaunay_small(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hull_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _groups(spark, sf_dir).withColumn("kept", P.indexes("line", "convex_hull")).select("label", P.picked("line", "kept").alias("ring"))
+    """Each label's hull, from the hulls of the partitions."""
+    return hulls(points(spark, sf_dir), "label")
 
 
 @query("clip_convex_area")
