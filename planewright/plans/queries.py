@@ -455,6 +455,19 @@ def svg_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("c", svg.parse("path")).select("size", F.size("c").cast("long").alias("n_commands"), (svg.write("c") == F.col("path")).alias("same"))
 
 
+@query("svg_lines", "SELECT p_size AS size, 2 AS n_lines, round(4.0::DOUBLE * p_size, 2) AS square, round(5 * pi() + 10, 2) AS rest, NULL::VARCHAR AS fault, 'wrong number of arguments' AS broken FROM (SELECT DISTINCT p_size FROM part)")
+def svg_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square in relative and absolute steps, then an arc (flags without gaps) with a straight curve after it."""
+    from planewright.sources import svg
+
+    s = read(spark, sf_dir, "part").select(F.col("p_size").alias("size")).distinct()
+    text = F.format_string("M %1$d 0h%1$dv%1$dH%1$dz m.5-3a5 5 0 0110 0q5,0 10,0", F.col("size").cast("int"))
+    t = s.withColumn("path", text).withColumn("bad", F.concat("path", F.lit(" L 3"))).withColumn("c", svg.parse("path")).withColumn("lines", svg.lines_of("c", 1e-5))
+    t = t.select("size", svg.fault("path").alias("fault"), svg.fault("bad").alias("broken"), F.size("lines").alias("n_lines"), F.col("lines")[0].alias("one"), F.col("lines")[1].alias("two"))
+    length = lambda v: F.round(G.ring_perimeter(v, closed=False), 2)
+    return t.select("size", "n_lines", length("one").alias("square"), length("two").alias("rest"), "fault", "broken")
+
+
 @query("f32_distances", f"{W} SELECT label, count(*) FILTER (x*x + y*y <= 0.01) AS n FROM pts GROUP BY 1")
 def f32_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-precision batch: points within a radius of the origin."""

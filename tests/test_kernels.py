@@ -158,3 +158,22 @@ def test_frechet_forms():
         d = K.frechet(p, q)
         assert K.frechet_within(p, q, d + 1e-9) and not K.frechet_within(p, q, d - 1e-9)
         assert K.frechet_resampled(p, q, 1) == pytest.approx(d)
+
+
+def test_svg_paths_are_drawn():
+    from planewright.sources.svg import drawn
+
+    one = drawn([("M", [0, 0]), ("C", [1, 2, 3, 2, 4, 0]), ("s", [3, 2, 4, 0]), ("Z", [])], 1e-4)
+    assert len(one) == 1 and np.allclose(one[0][[0, -1]], 0) and any(np.allclose(x, [8, 0]) for x in one[0])
+    mirrored = C.bezier_points(np.array([[4, 0], [5, -2], [7, 2], [8, 0]], float), [0.5])[0]
+    assert np.hypot(*(one[0] - mirrored).T).min() < 0.01
+    for large in (0, 1):
+        for sweep in (0, 1):
+            arc = drawn([("M", [0, 0]), ("A", [5, 3, 30, large, sweep, 4, 2])], 1e-4)[0]
+            t = np.radians(30)
+            local = arc @ np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
+            # all points on one ellipse of these radii: the distance to a centre in its frame is one
+            a = np.stack([local[:, 0] / 25, local[:, 1] / 9, np.ones(len(arc))], 1)
+            fit, *_ = np.linalg.lstsq(2 * a, (local[:, 0] / 5) ** 2 + (local[:, 1] / 3) ** 2, rcond=None)
+            assert np.allclose(2 * a @ fit, (local[:, 0] / 5) ** 2 + (local[:, 1] / 3) ** 2)
+    assert drawn([("L", [1, 1])], 0.1)[0].tolist() == [[0, 0], [1, 1]] and drawn([("M", [1, 1])], 0.1) == []
