@@ -118,7 +118,7 @@ _ANGLE = {k: f"(({v[1]}1-{v[0]}1)*({v[2]}2-{v[1]}2)-({v[1]}2-{v[0]}2)*({v[2]}1-{
 
 
 @family("concave_rings", {
-    "is_convex": f"least({', '.join(_ANGLE.values())}) > 0 OR greatest({', '.join(_ANGLE.values())}) < 0", "triangles": _ELL, "parts": _ELL, "n_triangles": "4", "seen_all": _ELL, "seen_part": f"0.625*{_LW}*{_LH}",
+    "is_convex": f"least({', '.join(_ANGLE.values())}) > 0 OR greatest({', '.join(_ANGLE.values())}) < 0", "triangles": _ELL, "parts": _ELL, "n_triangles": "4", "seen_all": _ELL, "seen_part": f"0.65*{_LW}*{_LH}",
 })
 def _(keep, a, b, c, d):
     """Convexity of four-point rings; triangles, convex parts and visible areas of L-shaped rings, all or a part of which is seen."""
@@ -129,7 +129,7 @@ def _(keep, a, b, c, d):
     area = lambda p, t: abs(K.signed_area(p[list(t)]))
     seen = lambda x, y: keep(P.made("double", lambda p, e: abs(K.signed_area(K.visible_area(p, tuple(e[0])))), ell, F.array(at(x, y))))
     return {"is_convex": G.ring_is_convex("ring"), "triangles": keep(P.made("double", lambda p: sum(area(p, t) for t in K.triangulate(p)), ell)), "parts": keep(P.made("double", lambda p: sum(area(p, t) for t in K.convex_parts(p)), ell)),
-            "n_triangles": keep(P.made("int", lambda p: len(K.triangulate(p)), ell)), "seen_all": seen(0.25, 0.25), "seen_part": seen(0.25, 0.75)}
+            "n_triangles": keep(P.made("int", lambda p: len(K.triangulate(p)), ell)), "seen_all": seen(0.25, 0.25), "seen_part": seen(0.25, 0.7)}
 
 
 _AB = "sqrt((b1-a1)**2+(b2-a2)**2)"
