@@ -60,7 +60,7 @@ def tight_bounds(*p: Column) -> Column:
 NODES = ((0.0, 128 / 225), *((s * math.sqrt(5 - k * 2 * math.sqrt(10 / 7)) / 3, (322 + k * 13 * math.sqrt(70)) / 900) for k in (1, -1) for s in (1, -1)))
 
 
-def curve_length(*p: Column, parts: int = 16) -> Column:
+def curve_length(*p: Column, parts: int = 48) -> Column:
     """Arc length by quadrature of the speed over equal parts of the parameter."""
     speeds = F.array(*(F.struct(F.lit((i + (1 + x) / 2) / parts).alias("t"), F.lit(w / (2 * parts)).alias("w")) for i in range(parts) for x, w in NODES))
 

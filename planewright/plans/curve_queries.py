@@ -36,7 +36,7 @@ _QT = "((a1-b1)/(a1-2*b1+c1))"
 
 @family("quadratic_ops", {
     "x": _quadratic("0.3", 1), "y": _quadratic("0.3", 2), "dx": "2*(0.7*(b1-a1)+0.3*(c1-b1))", "dy": "2*(0.7*(b2-a2)+0.3*(c2-b2))", "flat": f"sqrt({_d2('b', 'a', 'c')})", "control_x": "least(a1, b1, c1)", "control_y": "greatest(a2, b2, c2)", "split_x": "a1+0.3*(b1-a1)",
-    "split_y": "b2+0.3*(c2-b2)", "low": f"CASE WHEN {_QT} > 0 AND {_QT} < 1 THEN least(a1, c1, {_quadratic(_QT, 1)}) ELSE least(a1, c1) END", "high": "round(hy, 3)", "length": "round(len, 3)", "near": "round(near, 3)",
+    "split_y": "b2+0.3*(c2-b2)", "low": f"CASE WHEN {_QT} > 0 AND {_QT} < 1 THEN least(a1, c1, {_quadratic(_QT, 1)}) ELSE least(a1, c1) END", "high": "round(hy, 3)", "length": "round(len, 2)", "near": "round(near, 3)",
     "n_line": "9", "line_x": _quadratic("0.25", 1), "offset_x": f"{_quadratic('0.5', 1)}-0.1*(c2-a2)/sqrt((c1-a1)**2+(c2-a2)**2)", "curvature": "4*((b1-a1)*(a2-2*b2+c2)-(b2-a2)*(a1-2*b1+c1))/(sqrt(4*((b1-a1)**2+(b2-a2)**2))**3)",
 }, _frames(_quadratic), "zm")
 def _(keep, a, b, c, d):
@@ -46,7 +46,7 @@ def _(keep, a, b, c, d):
     second = keep(G.scale(G.add(G.sub(a, G.scale(b, 2.0)), c), 2.0))
     speed = keep(G.bezier_derivative(0.0, *p))
     return {"x": G.bezier(0.3, *p).x, "y": G.bezier(0.3, *p).y, "dx": G.bezier_derivative(0.3, *p).x, "dy": G.bezier_derivative(0.3, *p).y, "flat": U.flatness(*p), "control_x": U.control_bounds(*p).min_x, "control_y": U.control_bounds(*p).max_y, "split_x": left[1].x, "split_y": right[1].y,
-            "low": bounds.min_x, "high": _rough(bounds.max_y), "length": _rough(U.curve_length(*p)), "near": _rough(U.curve_nearest(d, *p).d), "n_line": F.size(line), "line_x": line[2].x, "offset_x": U.offset_point(0.5, 0.1, *p).x,
+            "low": bounds.min_x, "high": _rough(bounds.max_y), "length": F.round(U.curve_length(*p), 2), "near": _rough(U.curve_nearest(d, *p).d), "n_line": F.size(line), "line_x": line[2].x, "offset_x": U.offset_point(0.5, 0.1, *p).x,
             "curvature": F.try_divide(G.cross(speed, second), F.pow(G.magnitude(speed), F.lit(3.0)))}
 
 
@@ -58,13 +58,13 @@ _IS_LOOP = f"({_SR} > 0 AND ({_SS}-sqrt({_SR}))/2 >= 0 AND ({_SS}+sqrt({_SR}))/2
 
 
 @family("cubic_ops", {
-    "flat": f"sqrt(greatest({_d2('b', 'a', 'd')}, {_d2('c', 'a', 'd')}))", "control_x": "greatest(a1, b1, c1, d1)", "low": "round(lx, 3)", "high": "round(hy, 3)", "length": "round(len, 3)", "near": "round(near, 3)", "line_x": _cubic("0.25", 1),
+    "flat": f"sqrt(greatest({_d2('b', 'a', 'd')}, {_d2('c', 'a', 'd')}))", "control_x": "greatest(a1, b1, c1, d1)", "low": "round(lx, 3)", "high": "round(hy, 3)", "length": "round(len, 2)", "near": "round(near, 3)", "line_x": _cubic("0.25", 1),
     "offset_y": f"{_cubic('0.5', 2)}+0.1*(d1+c1-b1-a1)/sqrt((d1+c1-b1-a1)**2+(d2+c2-b2-a2)**2)", "is_loop": f"coalesce({_IS_LOOP}, false)", "loop_t": f"CASE WHEN {_IS_LOOP} THEN ({_SS}-sqrt({_SR}))/2 END", "turn_x": "3*(0.49*(b1-a1)+0.42*(c1-b1)+0.09*(d1-c1))",
 }, _frames(_cubic), "zm")
 def _(keep, a, b, c, d):
     p = (a, b, c, d)
     bounds, loop = keep(U.tight_bounds(*p)), keep(U.self_crossing(*p))
-    return {"flat": U.flatness(*p), "control_x": U.control_bounds(*p).max_x, "low": _rough(bounds.min_x), "high": _rough(bounds.max_y), "length": _rough(U.curve_length(*p)), "near": _rough(U.curve_nearest(G.point(0.1, 0.2), *p).d), "line_x": U.sampled(8, *p)[2].x,
+    return {"flat": U.flatness(*p), "control_x": U.control_bounds(*p).max_x, "low": _rough(bounds.min_x), "high": _rough(bounds.max_y), "length": F.round(U.curve_length(*p), 2), "near": _rough(U.curve_nearest(G.point(0.1, 0.2), *p).d), "line_x": U.sampled(8, *p)[2].x,
             "offset_y": U.offset_line(4, 0.1, *p)[2].y, "is_loop": loop.isNotNull(), "loop_t": loop.t, "turn_x": G.bezier_derivative(0.3, *p).x}
 
 

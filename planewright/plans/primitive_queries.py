@@ -188,7 +188,7 @@ def _(keep, a, b, c, d):
             "line_x": F.get(hits, F.lit(1)).p.x}
 
 
-_NEAR = f""", s AS (SELECT id, k, CAST(sqrt(({_MA}*cos(2*pi()*k/8192)-{_QX})**2+({_MI}*sin(2*pi()*k/8192)-{_QY})**2) AS DOUBLE) AS d FROM z, range(8192) r(k)), near AS (SELECT id, min(d) AS d FROM s GROUP BY 1)"""
+_NEAR = f""", s AS (SELECT id, k, CAST(sqrt(({_MA}*cos(2*pi()*k/65536)-{_QX})**2+({_MI}*sin(2*pi()*k/65536)-{_QY})**2) AS DOUBLE) AS d FROM z, range(65536) r(k)), near AS (SELECT id, min(d) AS d FROM s GROUP BY 1)"""
 
 
 def _abcd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +198,7 @@ def _abcd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ellipse_distance", f"{ABCD}{_NEAR} SELECT id, round(CASE WHEN {_LV} <= 1 THEN -d ELSE d END, 3) + 0.0 AS d FROM z JOIN near USING (id)")
 def ellipse_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed distance of a point to an ellipse; the twin takes the least of 8,192 samples."""
+    """Signed distance of a point to an ellipse; the twin takes the least of 65,536 samples."""
     a, b, c, d = map(F.col, "abcd")
     t = _abcd(spark, sf_dir).withColumn("o", C.ellipse(a, F.abs(b.x) + F.abs(b.y) + 0.3, F.abs(b.y) + 0.1, d.x))
     return t.select("id", (F.round(C.ellipse_distance(F.col("o"), c), 3) + 0.0).alias("d"))
