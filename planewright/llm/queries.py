@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planewright.llm import decontamination, html_extract, language_id, minhash, packing, quality_rules, repeats, secret_scan, token_store, warc
+from planewright.llm import decontamination, html_extract, language_id, merkle, minhash, packing, quality_rules, repeats, secret_scan, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a manifest, each proved against its root, some after tampering."""
+    manifest = merkle.write_manifest(table(spark, sf_dir, "documents"))
+    leaf, root = F.coalesce("other", "hash"), F.lit(manifest.root)
+    found = merkle.proofs(manifest).select("doc_id", F.col("hash").alias("leaf"), "subroot", root.alias("root"), merkle.siblings(F.col("path")).alias("proof_sha256"), merkle.folded(leaf, F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op7_decontamination"] = rf"""
