@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planewright.llm import decontamination, html_extract, language_id, merkle, minhash, packing, quality_rules, repeats, secret_scan, token_store, warc
+from planewright.llm import decontamination, html_extract, language_id, merkle, minhash, packing, quality_model, quality_rules, repeats, secret_scan, token_store, vector_codes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +102,21 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@register
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors by two rounds of Lloyd's method with heaps."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    found = vector_codes.with_label_errors(coded)
+    return found.select(F.col("id").alias("vec_id"), F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+@register
+def op13_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op7_decontamination"] = rf"""
@@ -132,3 +147,60 @@ WITH page AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(h
 top AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS t FROM page)
 SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN t = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN t <> page_id THEN t END AS refers_to FROM top
 """
+
+
+def _crc_table() -> list[int]:
+    """The CRC-32 of every byte, from the polynomial 0xEDB88320."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in out]
+    return out
+
+
+def _framed(text: str) -> str:
+    values = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+_LEVELS = """{name} AS (
+  SELECT tree, 0 AS level, i, h FROM {base} UNION ALL
+  SELECT tree, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}) WHERE n > 1 GROUP BY tree, level, i // 3),
+{name}_top AS (SELECT tree, arg_max(h, level) AS h, max(level) AS height FROM {name} WHERE i = 0 GROUP BY tree),
+{name}_run AS (SELECT l.tree, level, i // 3 AS p, list(l.h ORDER BY i) AS run FROM {name} l JOIN {name}_top t ON l.tree IS NOT DISTINCT FROM t.tree WHERE level < height GROUP BY l.tree, level, i // 3)"""
+_WALK = """{name} AS (
+  SELECT id, tree, 0 AS level, i, proof, f FROM {base} UNION ALL
+  SELECT id, w.tree, w.level + 1, i // 3, proof || array_to_string(run[1 : i % 3], '') || array_to_string(run[i % 3 + 2 :], ''), sha256(array_to_string(run[1 : i % 3], '') || f || array_to_string(run[i % 3 + 2 :], ''))
+  FROM {name} w JOIN {runs} r ON w.tree IS NOT DISTINCT FROM r.tree AND w.level = r.level AND w.i // 3 = r.p),
+{name}_end AS (SELECT id, arg_max(proof, level) AS proof, arg_max(f, level) AS f FROM {name} GROUP BY id)"""
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, source, {_framed("text")} AS h,
+  CASE WHEN (list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))), (c, x) -> xor(c >> 8, {_crc_table()}[1 + (xor(c, x) & 255)])) & 1) = 1
+       THEN {_framed("replace(text, chr(10), '')")} END AS other FROM documents),
+leaf AS (SELECT row_number() OVER () AS id, doc_id, source AS tree, h, coalesce(other, h) AS f, '' AS proof, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM doc),
+{_LEVELS.format(name="lower_tree", base="leaf")},
+subroot AS (SELECT '' AS tree, tree AS source, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i FROM lower_tree_top),
+{_LEVELS.format(name="upper_tree", base="subroot")},
+{_WALK.format(name="low", base="leaf", runs="lower_tree_run")},
+middle AS (SELECT e.id, '' AS tree, s.i, e.proof, e.f FROM low_end e JOIN leaf l USING (id) JOIN subroot s ON l.tree IS NOT DISTINCT FROM s.source),
+{_WALK.format(name="high", base="middle", runs="upper_tree_run")}
+SELECT doc_id, l.h AS leaf, s.h AS subroot, t.h AS root, sha256(e.proof) AS proof_sha256, e.f AS folded_root, e.f = t.h AS verified
+FROM leaf l JOIN high_end e USING (id) JOIN subroot s ON l.tree IS NOT DISTINCT FROM s.source, upper_tree_top t
+"""
+
+_CODED = """near{k} AS MATERIALIZED (SELECT vec_id, label, p, v, min(d * 64 + e) AS m FROM (
+    SELECT x.vec_id, x.label, x.p, x.v, e, CAST(list_dot_product(x.v, x.v) - 2 * list_dot_product(x.v, b.v) + list_dot_product(b.v, b.v) AS BIGINT) AS d FROM part x JOIN book{k} b USING (p)) GROUP BY ALL)"""
+_MOVED = """mean{n} AS (SELECT p, e, list(x ORDER BY j) AS v FROM (
+    SELECT p, m % 64 AS e, j, floor(sum(v[j]) / count(*)) AS x FROM near{k}, range(1, (SELECT max(len(v)) FROM part) + 1) AS r(j) GROUP BY p, m % 64, j) GROUP BY p, e),
+book{n} AS MATERIALIZED (SELECT p, e, coalesce(mean{n}.v, book{k}.v) AS v FROM book{k} LEFT JOIN mean{n} USING (p, e))"""
+
+ORACLES["op12_vector_codes"] = f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT vec_id, label, p, q[p * (len(q) // 16) + 1 : (p + 1) * (len(q) // 16)] AS v FROM kept, range(16) AS r(p)),
+book0 AS MATERIALIZED (SELECT p, e, v FROM part JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 64) USING (vec_id)),
+{_CODED.format(k=0)}, {_MOVED.format(k=0, n=1)}, {_CODED.format(k=1)}, {_MOVED.format(k=1, n=2)}, {_CODED.format(k=2)},
+done AS (SELECT vec_id, label, string_agg(printf('%02x', m % 64), '' ORDER BY p) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM near2 GROUP BY vec_id, label),
+digest AS (SELECT sha256(string_agg(array_to_string(list_transform(v, x -> CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS d FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, d AS codebooks_sha256 FROM done, digest
+"""
