@@ -175,7 +175,7 @@ _WALK = """{name} AS (
 
 ORACLES["op11_merkle_manifest"] = f"""
 WITH RECURSIVE doc AS (SELECT doc_id, source, {_framed("text")} AS h,
-  CASE WHEN (list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))), (c, x) -> xor(c >> 8, {_crc_table()}[1 + (xor(c, x) & 255)])) & 1) = 1
+  CASE WHEN (list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(c >> 8, {_crc_table()}[1 + (xor(c, x) & 255)])) & 1) = 1
        THEN {_framed("replace(text, chr(10), '')")} END AS other FROM documents),
 leaf AS (SELECT row_number() OVER () AS id, doc_id, source AS tree, h, coalesce(other, h) AS f, '' AS proof, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM doc),
 {_LEVELS.format(name="lower_tree", base="leaf")},
@@ -195,12 +195,12 @@ _MOVED = """mean{n} AS (SELECT p, e, list(x ORDER BY j) AS v FROM (
 book{n} AS MATERIALIZED (SELECT p, e, coalesce(mean{n}.v, book{k}.v) AS v FROM book{k} LEFT JOIN mean{n} USING (p, e))"""
 
 ORACLES["op12_vector_codes"] = f"""
-WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 part AS MATERIALIZED (SELECT vec_id, label, p, q[p * (len(q) // 16) + 1 : (p + 1) * (len(q) // 16)] AS v FROM kept, range(16) AS r(p)),
 book0 AS MATERIALIZED (SELECT p, e, v FROM part JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 64) USING (vec_id)),
 {_CODED.format(k=0)}, {_MOVED.format(k=0, n=1)}, {_CODED.format(k=1)}, {_MOVED.format(k=1, n=2)}, {_CODED.format(k=2)},
 done AS (SELECT vec_id, label, string_agg(printf('%02x', m % 64), '' ORDER BY p) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM near2 GROUP BY vec_id, label),
-digest AS (SELECT sha256(string_agg(array_to_string(list_transform(v, x -> CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS d FROM book2)
+digest AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS d FROM book2)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, d AS codebooks_sha256 FROM done, digest
 """
