@@ -237,28 +237,30 @@ def stroked_ring(p: np.ndarray, width: float) -> list[np.ndarray]:
     return [K.offset_ring(p, width / 2), K.offset_ring(p, -width / 2)[::-1]]
 
 
+def voronoi_cell(site: np.ndarray, near: np.ndarray, low: tuple[float, float], high: tuple[float, float]) -> np.ndarray:
+    """The part of a box that is nearer to a site than to any of its neighbours."""
+    cell = np.array([low, (high[0], low[1]), high, (low[0], high[1])], float)
+    for other in near:
+        d, m = other - site, (other + site) / 2
+        side = (cell - m) @ d
+        out = []
+        for k in range(len(cell)):
+            a, b, x, y = cell[k], cell[(k + 1) % len(cell)], side[k], side[(k + 1) % len(cell)]
+            if x <= 0:
+                out.append(a)
+            if x * y < 0:
+                out.append(a + (b - a) * (x / (x - y)))
+        cell = np.array(out).reshape(-1, 2)
+        if not len(cell):
+            break
+    return cell
+
+
 def voronoi_cells(p: np.ndarray, low: tuple[float, float], high: tuple[float, float]) -> list[np.ndarray]:
     """Each site's cell inside a box, cut out by the bisectors towards the sites that touch it in the Delaunay triangulation."""
     near: list[set[int]] = [set() for _ in p]
     for t in K.delaunay(p):
         for a in t:
             near[a].update(b for b in t if b != a)
-    box = np.array([low, (high[0], low[1]), high, (low[0], high[1])], float)
-    cells = []
-    for i, site in enumerate(p):
-        cell = box
-        for j in near[i] or set(range(len(p))) - {i}:
-            d, m = p[j] - site, (p[j] + site) / 2
-            side = (cell - m) @ d
-            out = []
-            for k in range(len(cell)):
-                a, b, x, y = cell[k], cell[(k + 1) % len(cell)], side[k], side[(k + 1) % len(cell)]
-                if x <= 0:
-                    out.append(a)
-                if x * y < 0:
-                    out.append(a + (b - a) * (x / (x - y)))
-            cell = np.array(out).reshape(-1, 2)
-            if not len(cell):
-                break
-        cells.append(cell)
-    return cells
+    every = set(range(len(p)))
+    return [voronoi_cell(site, p[sorted(near[i] or every - {i})], low, high) for i, site in enumerate(p)]

@@ -4,35 +4,95 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planewright.functions import geometry as G
 
 
-def _transform(cells: DataFrame, combined: Callable[[Column, Column], Column], finished: Callable[[Column], Column], feature: str, out: str) -> DataFrame:
+def euclidean_row(xs: np.ndarray, vs: np.ndarray) -> np.ndarray:
+    """Distances along a row of cells at ascending places whose columns' nearest features are ``vs`` steps away (-1: none); NaN without any.
+
+    The lower envelope of the parabolas over the columns, in time proportional to the row: a parabola
+    leaves the stack when the next one meets the one below it further left.
+    """
+    at, height = xs[vs >= 0].tolist(), (vs[vs >= 0] ** 2).tolist()
+    if not at:
+        return np.full(len(xs), np.nan)
+    stack, starts = [0], [-np.inf]
+    for k in range(1, len(at)):
+        while True:
+            j = stack[-1]
+            meet = (height[k] + at[k] * at[k] - height[j] - at[j] * at[j]) / (2 * (at[k] - at[j]))
+            if meet > starts[-1]:
+                break
+            stack.pop()
+            starts.pop()
+        stack.append(k)
+        starts.append(meet)
+    best = np.array(stack)[np.searchsorted(np.array(starts), xs, "right") - 1]
+    return np.sqrt(((xs - np.array(at)[best]) ** 2 + np.array(height)[best]).astype(np.float64))
+
+
+def chamfer_row(xs: np.ndarray, vs: np.ndarray) -> np.ndarray:
+    """The same with steps of 3 and 4, in units of a straight step.
+
+    The best column moves right with the cell, so halving the row halves what each half must look at:
+    all middle cells of one depth look at little more than the row.
+    """
+    at, up = xs[vs >= 0], vs[vs >= 0]
+    out = np.full(len(xs), np.nan)
+    if not len(at):
+        return out
+    first, last = np.zeros(1, np.int64), np.array([len(xs) - 1])  # parts of the row, and of the columns that may serve them
+    low, high = np.zeros(1, np.int64), np.array([len(at) - 1])
+    while len(first):
+        mid, size = (first + last) // 2, high - low + 1
+        begin = np.cumsum(size) - size
+        k = np.arange(size.sum()) - np.repeat(begin - low, size)
+        x = np.abs(np.repeat(xs[mid], size) - at[k])
+        d = 3 * np.maximum(x, up[k]) + np.minimum(x, up[k])
+        least = np.minimum.reduceat(d, begin)
+        hit = np.flatnonzero(d == np.repeat(least, size))
+        own = np.repeat(np.arange(len(mid)), size)[hit]
+        best = k[hit[np.append(True, own[1:] != own[:-1])]]
+        out[mid] = least / 3.0
+        first, last, low, high = (np.concatenate(x) for x in ((first, mid + 1), (mid - 1, last), (low, best), (best, high)))
+        keep = first <= last
+        first, last, low, high = first[keep], last[keep], low[keep], high[keep]
+    return out
+
+
+def _transform(cells: DataFrame, along: Callable[[np.ndarray, np.ndarray], np.ndarray], feature: str, out: str) -> DataFrame:
     """In two passes: the nearest feature in each cell's column (two windows), then the best column of each row.
 
-    ``combined`` joins the steps along the row and those along the column; it must grow with both.
+    ``along`` gives the distances of a row's cells from their places and their columns' steps.
     Cells of a raster without a feature have null. A task holds one row of one raster at a time.
     """
     mark = F.when(F.col(feature), F.col("gy"))
     up, down = (Window.partitionBy("grid_id", "gx").orderBy(o) for o in (F.col("gy").asc(), F.col("gy").desc()))
     steps = F.least(F.col("gy") - F.last(mark, True).over(up), F.last(mark, True).over(down) - F.col("gy"))
     near = cells.select("grid_id", "gx", "gy", steps.alias("v"))
-    rows = near.groupBy("grid_id", "gy").agg(F.collect_list("gx").alias("xs"), F.collect_list(F.when(F.col("v").isNotNull(), F.struct("gx", "v"))).alias("c"))
-    each = rows.select("grid_id", "gy", F.explode("xs").alias("gx"), "c")
-    return each.select("grid_id", "gx", "gy", finished(F.array_min(F.transform("c", lambda k: combined(F.abs(k.gx - F.col("gx")), k.v)))).alias(out))
+    rows = near.groupBy("grid_id", "gy").agg(F.array_sort(F.collect_list(F.struct(F.col("gx").cast("long").alias("gx"), F.coalesce("v", F.lit(-1)).cast("long").alias("v")))).alias("c"))
+    rows = rows.select("grid_id", "gy", F.col("c.gx").alias("xs"), F.col("c.v").alias("vs"))
+
+    def run(xs: pd.Series, vs: pd.Series) -> pd.Series:
+        return pd.Series([along(np.asarray(x, np.int64), np.asarray(v, np.int64)) for x, v in zip(xs, vs, strict=True)], dtype=object)
+
+    each = rows.withColumn("ds", F.pandas_udf(run, "array<double>")("xs", "vs")).select("grid_id", "gy", F.explode(F.arrays_zip("xs", "ds")).alias("k"))
+    return each.select("grid_id", F.col("k.xs").alias("gx"), "gy", F.nanvl("k.ds", F.lit(None).cast("double")).alias(out))
 
 
 def distance_transform(cells: DataFrame, feature: str = "feature", out: str = "distance") -> DataFrame:
     """Exact Euclidean distance of every cell to the nearest feature cell."""
-    return _transform(cells, lambda x, y: x * x + y * y, lambda d: F.sqrt(d.cast("double")), feature, out)
+    return _transform(cells, euclidean_row, feature, out)
 
 
 def chamfer_transform(cells: DataFrame, feature: str = "feature", out: str = "distance") -> DataFrame:
     """Chamfer distance with steps of 3 (straight) and 4 (diagonal), in units of a straight step."""
-    return _transform(cells, lambda x, y: 3 * F.greatest(x, y) + F.least(x, y), lambda d: d / 3.0, feature, out)
+    return _transform(cells, chamfer_row, feature, out)
 
 
 def signed_transform(cells: DataFrame, feature: str = "feature", out: str = "distance") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,60 +54,74 @@ def overlapping_circles(left: DataFrame, right: DataFrame, l: str = "c", r: str
     return lefts.join(rights, ["__k", "__m", "cx", "cy"]).filter(G.circles_overlap(F.col(l), F.col(r))).drop("__k", "__m", "cx", "cy")
 
 
-def in_boxes(boxes: DataFrame, points: DataFrame, size: float, b: str = "b", p: str = "p") -> DataFrame:
-    """(box, point) rows with the point in the closed box; a box goes to all cells that it covers."""
-    spread = F.expr(f"explode(flatten(transform(sequence(cast(floor({b}.min_x / {size}) AS bigint), cast(floor({b}.max_x / {size}) AS bigint)), i -> transform(sequence(cast(floor({b}.min_y / {size}) AS bigint), cast(floor({b}.max_y / {size}) AS bigint)), j -> struct(i AS cx, j AS cy)))))")
-    l = boxes.withColumn("__c", spread).withColumns({"cx": F.col("__c.cx"), "cy": F.col("__c.cy")}).drop("__c")
-    r = points.withColumns({"cx": cell(F.col(f"{p}.x"), size), "cy": cell(F.col(f"{p}.y"), size)})
-    return l.join(r, ["cx", "cy"]).filter(G.box_contains(F.col(b), F.col(p))).drop("cx", "cy")
+#: Levels of box sizes below the largest that are told apart, and boxes of a level that are broadcast at most.
+LEVELS, FEW = 20, 8192
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, first_radius: float, qid: str = "qid", qp: str = "q", pid: str = "id", pp: str = "p") -> DataFrame:
-    """(qid, id, distance, rank): the k nearest points of each query, ties by the smaller id.
+def _level(b: str) -> Column:
+    """The power of two that holds a box's longer side; null for a point."""
+    side = F.greatest(F.col(f"{b}.max_x") - F.col(f"{b}.min_x"), F.col(f"{b}.max_y") - F.col(f"{b}.min_y"))
+    return F.when(side > 0, F.ceil(F.log2(side)).cast("int"))
+
+
+def _levels(boxes: DataFrame, b: str) -> tuple[DataFrame, dict[int, int]]:
+    """Boxes with ``__l``, their level, and how many there are of each; boxes below LEVELS levels count with the lowest."""
+    boxes = boxes.filter(F.col(f"{b}.min_x") <= F.col(f"{b}.max_x")).filter(F.col(f"{b}.min_y") <= F.col(f"{b}.max_y"))
+    top = boxes.agg(F.max(_level(b))).first()[0]
+    level = F.lit(0) if top is None else F.coalesce(F.greatest(_level(b), F.lit(top - LEVELS)), F.lit(top - LEVELS))
+    boxes = boxes.withColumn("__l", level)
+    return boxes, {r[0]: r[1] for r in boxes.groupBy("__l").agg(F.count("*")).collect()}
 
-    Searches a radius, keeps the queries that found k inside it and doubles the radius for the
-    others, until all are served or the radius spans all points. Each round joins on grid cells.
-    """
-    from functools import reduce
-
-    whole = points.agg(F.count("*").alias("n"), F.min(f"{pp}.x"), F.max(f"{pp}.x"), F.min(f"{pp}.y"), F.max(f"{pp}.y")).first()
-    n, lo_x, hi_x, lo_y, hi_y = whole
-    if not n:
-        return queries.select(qid, F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("rank")).limit(0)
-    span = queries.agg(F.max(F.greatest(F.abs(F.col(f"{qp}.x") - lo_x), F.abs(F.col(f"{qp}.x") - hi_x)) + F.greatest(F.abs(F.col(f"{qp}.y") - lo_y), F.abs(F.col(f"{qp}.y") - hi_y)))).first()[0] or 0.0
-    order = Window.partitionBy(qid).orderBy("distance", "id")
-    out, left, radius = [], queries, first_radius
-    q = lambda df: df.select(F.col(qid), F.col(qp).alias("__q"))
-    target = points.select(F.col(pid).alias("id"), F.col(pp).alias("__p"))
-    while True:
-        found = within_distance(q(left), target, radius, "__q", "__p").select(qid, "id", G.distance(F.col("__q"), F.col("__p")).alias("distance"))
-        ranked = cut(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
-        if radius >= span:
-            out.append(ranked)
-            return reduce(DataFrame.unionByName, out)
-        served = ranked.groupBy(qid).agg(F.count("*").alias("__n")).filter(F.col("__n") >= min(k, n)).select(qid)
-        out.append(ranked.join(served, qid, "left_semi"))
-        left = cut(left.join(served, qid, "left_anti"))
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, out)
-        radius = radius * 4 if radius * 4 < span else span
 
+def _at_level(v: str, level: str) -> str:
+    return f"cast(floor({v} / pow(2D, {level})) AS bigint)"
 
-def _covered(b: str, size: float) -> Column:
-    """All cells that a box covers."""
-    return F.expr(f"flatten(transform(sequence(cast(floor({b}.min_x / {size}) AS bigint), cast(floor({b}.max_x / {size}) AS bigint)), i -> transform(sequence(cast(floor({b}.min_y / {size}) AS bigint), cast(floor({b}.max_y / {size}) AS bigint)), j -> struct(i AS cx, j AS cy))))")
 
+def _own_cells(boxes: DataFrame, b: str, level: str) -> DataFrame:
+    """Each box in the cells of a level that it touches: four at the most, as no box is wider than a cell."""
+    along = lambda x: f"sequence({_at_level(f'{b}.min_{x}', level)}, {_at_level(f'{b}.max_{x}', level)})"
+    return boxes.withColumn("__c", F.expr(f"explode(flatten(transform({along('x')}, i -> transform({along('y')}, j -> struct(i AS cx, j AS cy)))))")).withColumns({"cx": F.col("__c.cx"), "cy": F.col("__c.cy")}).drop("__c")
 
-def boxes_meeting(left: DataFrame, right: DataFrame, size: float, l: str = "b", r: str = "o") -> DataFrame:
-    """Pairs of rows whose closed boxes share a point.
 
-    Both go to the cells that they cover and a pair counts in the cell of its shared part's lower
-    left corner only. Column names must not clash.
+def _levels_of(known: dict[int, int]) -> Column:
+    return F.explode(F.array(*(F.lit(k) for k in sorted(known))))
+
+
+def in_boxes(boxes: DataFrame, points: DataFrame, b: str = "b", p: str = "p") -> DataFrame:
+    """(box, point) rows with the point in the closed box. Column names must not clash.
+
+    A box lies in at most four cells of a grid as coarse as the box, whatever its size; a point is
+    looked up once on each level that has boxes. Levels of few boxes, such as the largest, which
+    hold a large share of all points in a cell, are broadcast, so that the points stay where they are.
+    """
+    boxes, known = _levels(boxes, b)
+    points = points.filter(F.col(f"{p}.x").isNotNull() & F.col(f"{p}.y").isNotNull())
+    few = {k for k, n in known.items() if n <= FEW}
+    out = []
+    for levels, small in ((few, True), (set(known) - few, False)):
+        if levels:
+            held = _own_cells(boxes.filter(F.col("__l").isin(list(levels))), b, "__l")
+            at = points.withColumn("__l", _levels_of(dict.fromkeys(levels, 0))).withColumns({f"c{x}": F.expr(_at_level(f"{p}.{x}", "__l")) for x in "xy"})
+            out.append((F.broadcast(held) if small else held).join(at, ["__l", "cx", "cy"]).filter(G.box_contains(F.col(b), F.col(p))).drop("__l", "cx", "cy"))
+    if not out:
+        return boxes.drop("__l").limit(0).join(points.limit(0), F.lit(False))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def boxes_meeting(left: DataFrame, right: DataFrame, l: str = "b", r: str = "o") -> DataFrame:
+    """Pairs of rows whose closed boxes share a point. Column names must not clash.
+
+    Any two levels of boxes meet on the coarser one's cells, where each box has four at the most; a
+    pair counts in the cell of its shared part's lower left corner only.
     """
-    spread = lambda df, b: df.withColumn("__c", F.explode(_covered(b, size))).withColumns({"cx": F.col("__c.cx"), "cy": F.col("__c.cy")}).drop("__c")
-    both = spread(left, l).join(spread(right, r), ["cx", "cy"])
-    corner = (F.col("cx") == cell(F.greatest(F.col(f"{l}.min_x"), F.col(f"{r}.min_x")), size)) & (F.col("cy") == cell(F.greatest(F.col(f"{l}.min_y"), F.col(f"{r}.min_y")), size))
-    return both.filter(corner & G.boxes_meet(F.col(l), F.col(r))).drop("cx", "cy")
+    (left, lefts), (right, rights) = _levels(left, l), _levels(right, r)
+    if not lefts or not rights:
+        return left.drop("__l").limit(0).join(right.drop("__l").limit(0), F.lit(False))
+    both = F.greatest("__l", "__m")
+    a = _own_cells(left.withColumn("__m", _levels_of(rights)).withColumn("__g", both), l, "__g")
+    b = _own_cells(right.withColumnRenamed("__l", "__m").withColumn("__l", _levels_of(lefts)).withColumn("__g", both), r, "__g").drop("__g")
+    corner = [F.expr(f"c{x} = {_at_level(f'greatest({l}.min_{x}, {r}.min_{x})', '__g')}") for x in "xy"]
+    return a.join(b, ["__l", "__m", "cx", "cy"]).filter(corner[0] & corner[1] & G.boxes_meet(F.col(l), F.col(r))).drop("__l", "__m", "__g", "cx", "cy")
 
 
 def first_hits(hits: DataFrame, by: str, order: str, n: int) -> DataFrame:
@@ -115,42 +130,65 @@ def first_hits(hits: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return ranked.filter(F.col("__r") <= n).drop("__r")
 
 
-def nearest_boxes(queries: DataFrame, boxes: DataFrame, k: int, first_radius: float, qid: str = "qid", qp: str = "q", bid: str = "id", b: str = "b") -> DataFrame:
-    """(qid, id, distance, rank): the k nearest boxes of each query point, ties by the smaller id.
+def _refined(placed: DataFrame, todo: DataFrame, side: float, step: int) -> DataFrame:
+    """Pairs of boxes of points on a grid four times finer than that of ``todo``, the pairs still open."""
+    grid = lambda n, names: {c: F.floor(F.col(v) / side * 4.0**n).cast("decimal(38,0)") for c, v in zip(names, "xy", strict=True)}
+    own = todo.select(F.explode(F.array(*(F.struct(*(F.col(f"{n}_{c}").alias(c) for c in ("cx", "cy", "bx", "by"))) for n in "ab"))).alias("k")).select("k.*").distinct()
+    parts = placed.withColumns(grid(step, ("nx", "ny"))).withColumns(grid(step - 1, ("bx", "by"))).join(own, ["cx", "cy", "bx", "by"], "left_semi")
+    boxes = parts.groupBy("cx", "cy", "bx", "by", "nx", "ny").agg(*_extent())
+    for n in "ab":
+        todo = todo.join(boxes.select(*(F.col(c).alias(f"{n}_{c}") for c in boxes.columns)), [f"{n}_{c}" for c in ("cx", "cy", "bx", "by")])
+    return todo.drop("a_bx", "a_by", "b_bx", "b_by").withColumnsRenamed({f"{n}_n{v}": f"{n}_b{v}" for n in "ab" for v in "xy"})
+
+
+def _extent() -> list[Column]:
+    return [F.min("x").alias("lx"), F.min("y").alias("ly"), F.max("x").alias("hx"), F.max("y").alias("hy")]
 
-    As ``nearest``: the search box round a query grows until k boxes lie within its reach.
-    """
-    from functools import reduce
-
-    n, lo_x, lo_y, hi_x, hi_y = boxes.agg(F.count("*"), F.min(f"{b}.min_x"), F.min(f"{b}.min_y"), F.max(f"{b}.max_x"), F.max(f"{b}.max_y")).first()
-    schema = queries.select(qid, F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("rank"))
-    if not n:
-        return schema.limit(0)
-    span = queries.agg(F.max(F.greatest(F.abs(F.col(f"{qp}.x") - lo_x), F.abs(F.col(f"{qp}.x") - hi_x)) + F.greatest(F.abs(F.col(f"{qp}.y") - lo_y), F.abs(F.col(f"{qp}.y") - hi_y)))).first()[0] or 0.0
-    order = Window.partitionBy(qid).orderBy("distance", "id")
-    target = boxes.select(F.col(bid).alias("id"), F.col(b).alias("__b"))
-    out, left, radius = [], queries.select(F.col(qid), F.col(qp).alias("__q")), first_radius
-    while True:
-        q = F.col("__q")
-        search = left.withColumn("__s", G.box(q.x - radius, q.y - radius, q.x + radius, q.y + radius))
-        found = boxes_meeting(search, target, max(radius, 1e-9), "__s", "__b").select(qid, "id", G.box_distance(F.col("__b"), q).alias("distance")).filter(F.col("distance") <= radius)
-        ranked = cut(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
-        if radius >= span:
-            out.append(ranked)
-            return reduce(DataFrame.unionByName, out)
-        served = ranked.groupBy(qid).agg(F.count("*").alias("__n")).filter(F.col("__n") >= min(k, n)).select(qid)
-        out.append(ranked.join(served, qid, "left_semi"))
-        left = cut(left.join(served, qid, "left_anti"))
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, out)
-        radius = radius * 4 if radius * 4 < span else span
+
+def _judged(pairs: DataFrame, eps: float) -> DataFrame:
+    """Pairs of boxes (a_lx .. b_hy) that may hold points within eps, and in ``sure`` whether all of theirs are."""
+    gap = "sqrt(pow(greatest(0D, a_lx - b_hx, b_lx - a_hx), 2) + pow(greatest(0D, a_ly - b_hy, b_ly - a_hy), 2))"
+    span = "sqrt(pow(greatest(a_hx - b_lx, b_hx - a_lx), 2) + pow(greatest(a_hy - b_ly, b_hy - a_ly), 2))"
+    kept = ["a_root", "b_root", "sure", *(f"{n}_{c}" for n in "ab" for c in ("cx", "cy", "bx", "by"))]
+    return cut(pairs.filter(F.expr(gap) <= eps).withColumn("sure", F.expr(span) <= eps).select(*kept))
 
 
 def welded(points: DataFrame, eps: float, pid: str = "id", p: str = "p") -> DataFrame:
-    """(id, cluster): points at most ``eps`` apart are one cluster, over any number of steps; its name is the smallest id."""
-    a, b = (points.select(F.col(pid).alias(n), F.col(p).alias(f"p{n}")) for n in "ab")
-    label = components(within_distance(a, b, eps, "pa", "pb").filter("a < b").select("a", "b"))
-    return points.join(label, points[pid] == label["node"], "left").select(F.col(pid).alias("id"), F.coalesce("root", pid).alias("cluster"))
+    """(id, cluster): points at most ``eps`` apart are one cluster, over any number of steps; its name is the smallest id.
+
+    The points of a cell whose diagonal is eps are one cluster to begin with, so only cells are
+    linked, with the twenty cells within reach of each. The boxes round the points of two cells tell
+    most links: they are near enough throughout, or too far throughout. What they leave open goes to
+    a grid four times finer, until a link is found or none can be; no step lists pairs of points.
+    Points without a coordinate stay alone.
+    """
+    rows = points.select(F.col(pid).alias("id"), F.col(f"{p}.x").alias("x"), F.col(f"{p}.y").alias("y"))
+    placed = rows.dropna(subset=["x", "y"])
+    if eps <= 0:
+        found = placed.join(placed.groupBy("x", "y").agg(F.min("id").alias("cluster")), ["x", "y"]).select("id", "cluster")
+        return found.unionByName(rows.filter("x IS NULL OR y IS NULL").select("id", F.col("id").alias("cluster")))
+    side = eps / 2**0.5 * (1 - 1e-12)
+    placed = placed.withColumns({f"c{v}": F.floor(F.col(v) / side).cast("long") for v in "xy"})
+    cells = cut(placed.groupBy("cx", "cy").agg(F.min("id").alias("root"), *_extent()))
+    # of the cells within reach those on one side, so that two cells meet once
+    steps = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0) and abs(i) + abs(j) < 4]
+    offset = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps)))
+    a, b = (cells.select(*(F.col(c).alias(f"{n}_{c}") for c in cells.columns)) for n in "ab")
+    a = a.withColumn("o", offset).withColumns({"b_cx": F.col("a_cx") + F.col("o.i"), "b_cy": F.col("a_cy") + F.col("o.j")}).drop("o")
+    pairs = _judged(a.join(b, ["b_cx", "b_cy"]).withColumns({f"{n}_b{v}": F.col(f"{n}_c{v}").cast("decimal(38,0)") for n in "ab" for v in "xy"}), eps)
+    links, step = [], 0
+    while True:
+        sure = pairs.filter("sure").select("a_root", "b_root").distinct()
+        links.append(sure)
+        todo = pairs.filter("NOT sure").join(sure, ["a_root", "b_root"], "left_anti").drop("sure")
+        if todo.isEmpty():
+            break
+        step += 1
+        pairs = _judged(_refined(placed, todo, side, step), eps)
+    label = components(reduce(DataFrame.unionByName, links).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    roots = cells.join(label, cells["root"] == label["node"], "left").select("cx", "cy", F.coalesce(label["root"], cells["root"]).alias("cluster"))
+    found = placed.join(roots, ["cx", "cy"]).select("id", "cluster")
+    return found.unionByName(rows.filter("x IS NULL OR y IS NULL").select("id", F.col("id").alias("cluster")))
 
 
 def welded_points(points: DataFrame, eps: float, pid: str = "id", p: str = "p", keep_first: bool = False) -> DataFrame:

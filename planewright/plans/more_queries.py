@@ -10,7 +10,8 @@ from planewright.functions import geometry as G
 from planewright.functions import kernels as K
 from planewright.operators import per_geometry as P
 from planewright.operators.tables import points, polylines
-from planewright.plans.queries import _T, W, _at, _e, _groups, _hull_rings, r6
+from planewright.operators.triangulation import delaunay_triangles
+from planewright.plans.queries import _T, W, _at, _e, _hull_rings, r6
 from planewright.plans.registry import query
 
 
@@ -70,9 +71,9 @@ def fit_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("voronoi_vertices")
 def voronoi_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centres of the circles round the Delaunay triangles of each label's points."""
-    t = _groups(spark, sf_dir).withColumn("t", F.explode(P.triples("line", "delaunay")))
-    c = G.circumcircle(*(F.element_at("line", F.col(f"t.{k}") + 1) for k in "abc"))
-    return t.select("label", "t.*", r6(c.center.x).alias("x"), r6(c.center.y).alias("y"))
+    t = delaunay_triangles(points(spark, sf_dir), "label")
+    c = G.circumcircle(*(G.point(F.col(f"{k}x"), F.col(f"{k}y")) for k in "abc"))
+    return t.select("label", "a", "b", "c", r6(c.center.x).alias("x"), r6(c.center.y).alias("y"))
 
 
 @query("visibility_area", f"{W} SELECT label, true AS whole FROM pts GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from planewright.functions import geometry as G
 from planewright.functions import similarity as Y
+from planewright.operators import neighbours as B
 from planewright.operators import per_geometry as P
 from planewright.operators import raster as R
 from planewright.operators import spatial as S
@@ -28,19 +29,19 @@ def _boxes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("box_pairs", f"{_BOXES} SELECT a.id AS a_id, b.id AS b_id FROM box a JOIN box b ON a.id < b.id AND {_MEET}")
 def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.boxes_meeting(_boxes(spark, sf_dir, "a"), _boxes(spark, sf_dir, "b"), 0.05, "a", "b").filter("a_id < b_id").select("a_id", "b_id")
+    return S.boxes_meeting(_boxes(spark, sf_dir, "a"), _boxes(spark, sf_dir, "b"), "a", "b").filter("a_id < b_id").select("a_id", "b_id")
 
 
 @query("box_first_hits", f"{_BOXES}, p AS (SELECT a.id AS a_id, b.id AS b_id, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS r FROM box a JOIN box b ON a.id <> b.id AND {_MEET}) SELECT a_id, b_id FROM p WHERE r <= 2")
 def box_first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = S.boxes_meeting(_boxes(spark, sf_dir, "a"), _boxes(spark, sf_dir, "b"), 0.05, "a", "b").filter("a_id <> b_id")
+    pairs = S.boxes_meeting(_boxes(spark, sf_dir, "a"), _boxes(spark, sf_dir, "b"), "a", "b").filter("a_id <> b_id")
     return S.first_hits(pairs, "a_id", "b_id", 2).select("a_id", "b_id")
 
 
 @query("nearest_box", f"{_BOXES}, d AS (SELECT q.id AS qid, b.id, sqrt(greatest(0, b.lx-q.e[5], q.e[5]-b.hx)**2+greatest(0, b.ly-q.e[6], q.e[6]-b.hy)**2) AS d FROM box q, box b), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS k FROM d) SELECT qid, id, round(d, 6) AS d, CAST(k AS INTEGER) AS k FROM r WHERE k <= 2")
 def nearest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = points(spark, sf_dir).select(F.col("id").alias("qid"), G.point(F.col("e")[4], F.col("e")[5]).alias("q"))
-    found = S.nearest_boxes(q, _boxes(spark, sf_dir, "b").withColumnRenamed("b_id", "id"), 2, 0.05)
+    found = B.nearest_boxes(q, _boxes(spark, sf_dir, "b").withColumnRenamed("b_id", "id"), 2)
     return found.select("qid", "id", r6(F.col("distance")).alias("d"), F.col("rank").alias("k"))
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from planewright.functions import geometry as G
 from planewright.operators import per_geometry as P
+from planewright.operators import neighbours as B
 from planewright.operators import spatial as S
 from planewright.operators.hulls import hulls
 from planewright.operators.tables import SQL, points, polylines, read, trajectories
+from planewright.operators.triangulation import delaunay_triangles
 from planewright.plans.registry import query
 
 W = f"WITH {SQL}"
@@ -140,7 +142,7 @@ def point_in_box_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     e = lambda k: F.col("e")[k]
     b = p.select(F.col("id").alias("box_id"), G.box(F.least(e(0), e(2)), F.least(e(1), e(3)), F.greatest(e(0), e(2)), F.greatest(e(1), e(3))).alias("b"))
-    return S.in_boxes(b, p.select("id", "p"), 0.1).groupBy("box_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return S.in_boxes(b, p.select("id", "p")).groupBy("box_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,12 +244,7 @@ def snap_to_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("weld_clusters", f"""{W.replace('WITH', 'WITH RECURSIVE')}, near AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON sqrt((a.x-b.x)**2+(a.y-b.y)**2) <= 0.01),
  r AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM r JOIN near n ON r.b = n.a) SELECT m AS cluster, count(*) AS n FROM (SELECT a, min(b) AS m FROM r GROUP BY 1) GROUP BY 1""")
 def weld_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from planewright.operators.components import components
-
-    p = points(spark, sf_dir).select("id", "p")
-    pairs = S.within_distance(p.select(F.col("id").alias("a"), F.col("p").alias("pa")), p.select(F.col("id").alias("b"), F.col("p").alias("pb")), 0.01, "pa", "pb").filter("a < b")
-    label = components(pairs.select("a", "b"))
-    return p.join(label, p.id == label.node, "left").select(F.coalesce("root", "id").alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n"))
+    return S.welded(points(spark, sf_dir), 0.01).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------ spatial joins
@@ -267,7 +264,7 @@ _KNN = f"""{W}, q AS (SELECT id AS qid, e[3] AS qx, e[4] AS qy FROM pts), r AS (
 def _knn(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     p = points(spark, sf_dir)
     q = p.select(F.col("id").alias("qid"), _e(2, 3).alias("q"))
-    return S.nearest(q, p.select("id", "p"), k, 0.05).select("qid", "id", "rank", r6(F.col("distance")).alias("distance"))
+    return B.nearest(q, p.select("id", "p"), k).select("qid", "id", "rank", r6(F.col("distance")).alias("distance"))
 
 
 query("nearest", _KNN.format(k=1))(lambda spark, sf_dir: _knn(spark, sf_dir, 1))
@@ -309,7 +306,7 @@ def ear_clip_area(spark: SparkSession, sf_dir: str) -> DataFrame:
  WHERE NOT EXISTS (SELECT 1 FROM p d WHERE d.label = a.label AND d.id NOT IN (a.id, b.id, c.id) AND
  ((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x)) * (((a.x-d.x)**2+(a.y-d.y)**2)*((b.x-d.x)*(c.y-d.y)-(c.x-d.x)*(b.y-d.y)) - ((b.x-d.x)**2+(b.y-d.y)**2)*((a.x-d.x)*(c.y-d.y)-(c.x-d.x)*(a.y-d.y)) + ((c.x-d.x)**2+(c.y-d.y)**2)*((a.x-d.x)*(b.y-d.y)-(b.x-d.x)*(a.y-d.y))) > 0) GROUP BY 1""")
 def delaunay_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _groups(spark, sf_dir).withColumn("t", P.triples("line", "delaunay")).select("label", F.size("t").cast("long").alias("n_triangles"))
+    return delaunay_triangles(points(spark, sf_dir), "label").groupBy("label").agg(F.count("*").alias("n_triangles"))
 
 
 def _hull_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,7 +459,7 @@ def svg_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = read(spark, sf_dir, "part").select(F.col("p_size").alias("size")).distinct()
     text = F.format_string("M %1$d 0h%1$dv%1$dH%1$dz m.5-3a5 5 0 0110 0q5,0 10,0", F.col("size").cast("int"))
-    t = s.withColumn("path", text).withColumn("bad", F.concat("path", F.lit(" L 3"))).withColumn("c", svg.parse("path")).withColumn("lines", svg.lines_of("c", 1e-5))
+    t = s.withColumn("path", text).withColumn("bad", F.concat("path", F.lit(" L 3"))).withColumn("lines", svg.lines_of("path", 1e-5))
     t = t.select("size", svg.fault("path").alias("fault"), svg.fault("bad").alias("broken"), F.size("lines").alias("n_lines"), F.col("lines")[0].alias("one"), F.col("lines")[1].alias("two"))
     length = lambda v: F.round(G.ring_perimeter(v, closed=False), 2)
     return t.select("size", "n_lines", length("one").alias("square"), length("two").alias("rest"), "fault", "broken")

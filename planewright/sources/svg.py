@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -127,12 +129,26 @@ def drawn(commands: list, tolerance: float) -> list[np.ndarray]:
     return [np.concatenate(x) for x in lines if len(x) > 1]
 
 
-def lines_of(commands: Column | str, tolerance: float) -> Column:
-    """array<array<struct<x, y>>>: the lines that parsed commands draw, curves and arcs within the tolerance."""
+def commands_of(text: str) -> list[tuple[str, list[float]]]:
+    """The commands of a path's text as pairs of a letter and its numbers, as ``parse`` has them."""
+    out = []
+    for word in re.findall(_WORD, text):
+        if word[0] in "Aa":
+            word = re.sub(_ARC, r"\1 \2 \3 \4 \5 \6 \7 ", word)
+        numbers, n = [float(x) for x in re.findall(_NUMBER, word)], ARGUMENTS[word[0].upper()]
+        for k in range(max(1, -(-len(numbers) // n)) if n else 1):
+            out.append((word[0] if k == 0 else {"M": "L", "m": "l"}.get(word[0], word[0]), numbers[k * n : (k + 1) * n]))
+    return out
+
+
+def lines_of(path: Column | str, tolerance: float) -> Column:
+    """array<array<struct<x, y>>>: the lines that a path's text draws, curves and arcs within the tolerance; null for null.
+
+    The text itself goes to the function: a parsed column beside it would be taken up into the call.
+    """
     from planewright.operators.per_geometry import KINDS, _points
 
     def run(rows: pd.Series) -> pd.Series:
-        read = lambda c: (c["cmd"], [] if c["args"] is None else list(c["args"]))
-        return pd.Series([None if r is None else [_points(p) for p in drawn([read(c) for c in r], tolerance)] for r in rows], dtype=object)
+        return pd.Series([None if r is None else [_points(p) for p in drawn(commands_of(r), tolerance)] for r in rows], dtype=object)
 
-    return F.pandas_udf(run, KINDS["rings"])(commands)
+    return F.pandas_udf(run, KINDS["rings"])(path)
