@@ -6,6 +6,7 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,24 @@ def dropped(spark: SparkSession, *paths: str) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function of batches, after which the worker gives memory that it has freed back to the system.
+
+    Workers wait for further tasks beside the JVM, whose next step may need that memory.
+    """
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it has
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
+
+
 #: Keys with more than the HOT-th part of all rows (there are fewer than HOT of them) are broadcast instead of shuffled.
 HOT, HOT_ROWS = 4096, 8192
 

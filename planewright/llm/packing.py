@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewright.llm.common import text_of
+from planewright.llm.common import released, text_of
 from planewright.llm.tokens import crc32_ids, encoder, tokenizer_path, utf8
 
 CAPACITY = 2048
@@ -168,4 +168,4 @@ def pack(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", ca
         if rests:
             yield out(packed())
 
-    return df.select(F.col(id_column), text_of(text_column).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_column), text_of(text_column).alias("text")).mapInArrow(released(run), schema)

@@ -70,7 +70,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in benchmark passages."""
     found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)")
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), F.col("longest.words").alias("n_longest"))
 
 
 @register
@@ -120,16 +120,18 @@ def op13_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op7_decontamination"] = rf"""
-WITH item AS (SELECT CAST(item_id AS VARCHAR) AS name, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-asked AS (SELECT DISTINCT coalesce(name, 'null') AS name, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS gram
-          FROM (SELECT name, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM item WHERE len(w) > 0)),
+WITH item AS (SELECT row_number() OVER () AS k, CAST(item_id AS VARCHAR) AS name, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+asked AS (SELECT k, i AS pos, coalesce(name, 'null') AS name, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS gram
+          FROM (SELECT k, name, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM item WHERE len(w) > 0)),
 doc AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 place AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM asked) WHERE len(w) >= n),
-hit AS (SELECT doc_id, i, n, name FROM (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS gram FROM place) JOIN asked USING (n, gram)),
+hit AS (SELECT doc_id, i, n, name, k AS item, pos FROM (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS gram FROM place) JOIN asked USING (n, gram)),
 word AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS items FROM (SELECT DISTINCT doc_id, name FROM hit) GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS items FROM (SELECT DISTINCT doc_id, name FROM hit) GROUP BY doc_id),
+run AS (SELECT doc_id, count(*) + n - 1 AS words FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, n, i - pos ORDER BY i) AS start FROM hit) GROUP BY doc_id, item, n, i - pos, start),
+best AS (SELECT doc_id, max(words) AS n_longest FROM run GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_longest, 0) AS n_longest
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN best USING (doc_id)
 """
 
 ORACLES["op9_near_duplicates"] = rf"""

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planewright.llm.common import mix, shared_folder, text_of
+from planewright.llm.common import mix, released, shared_folder, text_of
 from planewright.llm.tokens import encoder, tokenizer_path, utf8
 
 MAGIC = b"IDSHARD1"
@@ -219,7 +219,7 @@ def write_store(df: DataFrame, folder: str | None = None, id_column: str = "doc_
             kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*done, strict=True), kinds, strict=True)], ["shard", "path", "n_docs", "n_ids"])
 
-    coded = source.mapInArrow(encode, "doc_id long, shard int, ids binary")
+    coded = source.mapInArrow(released(encode), "doc_id long, shard int, ids binary")
     dealt = coded.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids").select("shard", "doc_id", "ids")
     table = dealt.mapInArrow(write, "shard int, path string, n_docs long, n_ids long").toPandas().sort_values("shard")
     table["base"] = table["n_ids"].cumsum() - table["n_ids"]

@@ -23,6 +23,8 @@ from planewright.llm.common import prefix_hash, span_hash
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Bytes that one pass of array work takes; longer texts go in several.
 BLOCK = 1 << 20
+#: Ids or bytes of kept pieces beyond which the table is emptied: places in them are 32-bit numbers, and a block adds less than what is left.
+LARGEST = 1 << 30
 #: Pieces kept per worker (about 40 bytes each); a full table is emptied and filled anew.
 TABLE_PIECES = 3_000_000
 
@@ -104,10 +106,10 @@ class PieceEncoder:
     def _empty(self) -> None:
         self.n, self.used = 0, 0
         self.keys = np.zeros(1 << 17, np.uint64)
-        self.at = np.zeros(1 << 17, np.int64)
+        self.at = np.zeros(1 << 17, np.int32)
         self.size = np.zeros(1 << 17, np.int32)
         self.pool = np.zeros(1 << 18, self.dtype)
-        self.spelt, self.spelt_at, self.spelt_size, self.spelt_used = np.zeros(1 << 18, np.uint8), np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int32), 0
+        self.spelt, self.spelt_at, self.spelt_size, self.spelt_used = np.zeros(1 << 18, np.uint8), np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int32), 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Slots of the fingerprints, or of the free slot that ends their search."""
@@ -141,7 +143,7 @@ class PieceEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, h: np.ndarray, data: bytes, start: np.ndarray, end: np.ndarray) -> None:
-        if self.n and self.n + len(h) > self.most:
+        if self.n and (self.n + len(h) > self.most or max(self.used, self.spelt_used) > LARGEST):
             self._empty()
         while (self.n + len(h)) * 2 > len(self.keys):
             old = np.flatnonzero(self.keys)
@@ -172,7 +174,7 @@ class PieceEncoder:
         """Pieces whose bytes aren't those kept in their slots."""
         length = end - start
         wrong = self.spelt_size[slot] != length
-        at = np.where(wrong, 0, self.spelt_at[slot]) - start
+        at = np.where(wrong, 0, self.spelt_at[slot].astype(np.int64)) - start
         where = np.repeat(at, length) + np.arange(len(data))
         other = np.flatnonzero(self.spelt[np.minimum(where, len(self.spelt) - 1)] != data)
         if len(other):
@@ -193,7 +195,7 @@ class PieceEncoder:
             if self.n < emptied:
                 return self._block(data, start)
             slot = self._find(h)
-        size, at, pool = self.size[slot].astype(np.int64), self.at[slot], self.pool
+        size, at, pool = self.size[slot].astype(np.int64), self.at[slot].astype(np.int64), self.pool
         for k in self._unlike(slot, data, start, end).tolist():  # another piece has the same fingerprint
             own = np.array(self._ids(data[start[k] : end[k]].tobytes()), self.dtype)
             at[k], size[k], pool = len(pool), len(own), np.concatenate([pool, own])
