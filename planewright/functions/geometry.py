@@ -263,6 +263,22 @@ def affine_inverse(m: Column) -> Column:
 # ------------------------------------------------------------------ curves
 
 
+def in_circumcircle(p: Column, a: Column, b: Column, c: Column) -> Column:
+    """Whether a point lies inside the circle round a triangle of either orientation."""
+    u, v, w = sub(a, p), sub(b, p), sub(c, p)
+    det = dot(u, u) * cross(v, w) - dot(v, v) * cross(u, w) + dot(w, w) * cross(u, v)
+    return det * F.signum(cross(sub(b, a), sub(c, a))) > 0
+
+
+def triangle_centroid(a: Column, b: Column, c: Column) -> Column:
+    return point((a.x + b.x + c.x) / 3, (a.y + b.y + c.y) / 3)
+
+
+def ring_reversed(r: str) -> Column:
+    """The same ring the other way round."""
+    return F.reverse(F.col(r))
+
+
 def bezier(t: Column | float, *p: Column) -> Column:
     """A quadratic or cubic Bezier curve's point, by Bernstein weights."""
     t = t if isinstance(t, Column) else F.lit(float(t))
@@ -383,17 +399,44 @@ def in_rect(p: Column, b: Column) -> Column:
     return point(b.min_x + p.x * (b.max_x - b.min_x), b.min_y + p.y * (b.max_y - b.min_y))
 
 
-def sobol(i: str, direction: list[int]) -> Column:
-    """One dimension in Gray-code order from 32-bit direction numbers."""
-    words = ", ".join(f"{d}L" for d in direction)
-    return F.expr(f"aggregate(sequence(0, {len(direction) - 1}), 0L, (s, k) -> s ^ if(shiftright({i} ^ shiftright({i}, 1), k) % 2 = 1, array({words})[k], 0L)) / 4294967296D")
+#: Of each Sobol dimension after the first: coefficients that the recurrence of its direction numbers takes (of its last values, nearest first), and its first values. Fixed values.
+SOBOL = (((2, 1), (1, 3)), ((4, 0, 1), (1, 1, 7)), ((4, 2, 1), (1, 3, 5)))
 
 
-def sobol_directions(m: list[int], step: int = 0, bits: int = 32) -> list[int]:
-    """32-bit direction numbers: first values ``m``, then m[i] = 2 m[i-1] ^ m[i-2]; ``step`` 1 leaves all m at 1."""
+def sobol_directions(dimension: int, bits: int = 32) -> list[int]:
+    """Direction numbers of a dimension (from 1) in so many bits: powers of two, or the recurrence of a primitive polynomial."""
+    if dimension == 1:
+        return [1 << (bits - 1 - k) for k in range(bits)]
+    factors, first = SOBOL[dimension - 2]
+    m = list(first)
     while len(m) < bits:
-        m = [*m, 1 if step else (2 * m[-1]) ^ m[-2]]
-    return [v << (31 - k) for k, v in enumerate(m[:bits])]
+        new = 0
+        for k, f in enumerate(factors, 1):
+            new ^= f * m[-k]
+        m.append(new & ((2 << len(m)) - 1))
+    return [v << (bits - 1 - k) for k, v in enumerate(m)]
+
+
+def sobol_bits(i: str, dimension: int, bits: int = 32) -> Column:
+    """The 32 bits of point i of the sequence in one dimension: direction numbers where i has a one."""
+    words = ", ".join(f"{d}L" for d in sobol_directions(dimension, bits))
+    return F.expr(f"aggregate(sequence(0, {bits - 1}), 0L, (s, k) -> s ^ if(shiftright({i}, k) % 2 = 1, array({words})[k], 0L))")
+
+
+def sobol(i: str, dimension: int) -> Column:
+    """One coordinate of point i."""
+    return sobol_bits(i, dimension) / F.lit(float(1 << 32))
+
+
+def sobol_point(i: str, dimensions: int) -> Column:
+    """A point of the sequence in up to four dimensions, as an array."""
+    return F.array(*(sobol(i, d + 1) for d in range(dimensions)))
+
+
+def sobol_scrambled(i: str, seed: int) -> Column:
+    """A planar point whose coordinates' bits are turned where the seed's lower and upper 32 bits are one."""
+    x, y = ((sobol_bits(i, d + 1).bitwiseXOR(F.lit((seed >> (32 * d)) & 0xFFFFFFFF).cast("long"))) / F.lit(float(1 << 32)) for d in (0, 1))
+    return point(x, y)
 
 
 def ring_distance(r: str, p: str) -> Column:

@@ -143,15 +143,6 @@ def self_intersections(p: np.ndarray) -> np.ndarray:
     return np.unique(np.round(a[i[far]] + (b - a)[i[far]] * t[far][:, None], 9), axis=0).reshape(-1, 2)
 
 
-def repaired(p: np.ndarray) -> list[np.ndarray]:
-    """Simple rings from one that crosses itself, all counter-clockwise."""
-    p = p[K.drop_repeats(p, 0.0)] if len(p) else p
-    if len(p) < 3:
-        return []
-    grid = float(max(np.ptp(p, axis=0).max(), 1e-300)) * SNAP
-    return [ccw(r) for r in _chained(_fragments(p, [p], grid, itself=True), grid) if abs(K.signed_area(r)) > grid * grid]
-
-
 def faults(p: np.ndarray) -> dict[str, bool]:
     """What keeps a ring from being valid."""
     step = np.hypot(*(np.roll(p, -1, 0) - p).T) if len(p) else np.zeros(0)
@@ -231,12 +222,6 @@ def stroked(p: np.ndarray, width: float, join: str = "miter", cap: str = "butt",
     return np.array(side(p) + side(p[::-1]))[::-1]
 
 
-def stroked_ring(p: np.ndarray, width: float) -> list[np.ndarray]:
-    """Outer and inner outline of a closed line drawn with a width, with mitered corners."""
-    p = ccw(p)
-    return [K.offset_ring(p, width / 2), K.offset_ring(p, -width / 2)[::-1]]
-
-
 def voronoi_cell(site: np.ndarray, near: np.ndarray, low: tuple[float, float], high: tuple[float, float]) -> np.ndarray:
     """The part of a box that is nearer to a site than to any of its neighbours."""
     cell = np.array([low, (high[0], low[1]), high, (low[0], high[1])], float)

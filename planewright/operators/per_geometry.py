@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -62,6 +64,15 @@ def numbers(line: Column | str, kernel: str, names: list[str], **options: object
     return F.pandas_udf(run, ", ".join(f"{n} double" for n in names))(line)
 
 
+def measured(line: Column | str, kernel: Callable[[np.ndarray], tuple[float, ...]], names: list[str]) -> Column:
+    """A struct of several numbers that a function finds at once."""
+
+    def run(lines: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([kernel(as_array(p)) for p in lines], columns=names, dtype="float64")
+
+    return F.pandas_udf(run, ", ".join(f"{n} double" for n in names))(line)
+
+
 def triples(line: Column | str, kernel: str) -> Column:
     """Index triples of triangles."""
 

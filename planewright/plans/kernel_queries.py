@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from planewright.functions import curve_kernels as C
 from planewright.functions import geometry as G
 from planewright.functions import kernels as K
+from planewright.functions import overlay as O
 from planewright.functions import polygon_kernels as N
+from planewright.functions import sight as V
 from planewright.operators import per_geometry as P
 from planewright.operators.tables import points
 from planewright.plans.curve_queries import _barry, _cubic
@@ -100,7 +102,7 @@ def _(keep, a, b, c, d):
     ring = keep(F.array(a, b, c, d))
     crossing = keep(P.made("boolean", lambda p: N.faults(p)["crossing"], ring))
     keep(F.array(a, b, c), "ring")
-    return {"is_crossing": crossing, "n_reflex": keep(P.made("int", lambda p: -1 if N.faults(p)["crossing"] else len(N.reflex_vertices(p)), ring)), "n_parts": keep(P.made("int", lambda p: len(N.repaired(p)), ring)),
+    return {"is_crossing": crossing, "n_reflex": keep(P.made("int", lambda p: -1 if N.faults(p)["crossing"] else len(N.reflex_vertices(p)), ring)), "n_parts": keep(P.made("int", lambda p: len(O.repaired(p)), ring)),
             "is_short": keep(P.made("boolean", lambda p: N.faults(p)["too_few"], F.array(a, b))), "area": G.ring_area("ring"), "center_x": (a.x + b.x + c.x) / 3}
 
 
@@ -127,7 +129,7 @@ def _(keep, a, b, c, d):
     at = lambda x, y: G.point(a.x + w * x, a.y + h * y)
     ell = keep(F.array(*(at(x, y) for x, y in ((0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1)))))
     area = lambda p, t: abs(K.signed_area(p[list(t)]))
-    seen = lambda x, y: keep(P.made("double", lambda p, e: abs(K.signed_area(K.visible_area(p, tuple(e[0])))), ell, F.array(at(x, y))))
+    seen = lambda x, y: keep(P.made("double", lambda p, e: V.visible_area([p], tuple(e[0])), ell, F.array(at(x, y))))
     return {"is_convex": G.ring_is_convex("ring"), "triangles": keep(P.made("double", lambda p: sum(area(p, t) for t in K.triangulate(p)), ell)), "parts": keep(P.made("double", lambda p: sum(area(p, t) for t in K.convex_parts(p)), ell)),
             "n_triangles": keep(P.made("int", lambda p: len(K.triangulate(p)), ell)), "seen_all": seen(0.25, 0.25), "seen_part": seen(0.25, 0.7)}
 
@@ -142,7 +144,7 @@ def _(keep, a, b, c, d):
     area = lambda **o: keep(P.made("double", lambda p: abs(K.signed_area(N.stroked(p, 0.1, **o))), line))
     x, y = F.abs(c.x) + 0.4, F.abs(c.y) + 0.4
     box = keep(F.array(G.point(-x, -y), G.point(x, -y), G.point(x, y), G.point(-x, y)))
-    return {"butt": area(), "square": area(cap="square"), "n_square": keep(P.made("int", lambda p: len(N.stroked(p, 0.1, cap="square")), line)), "frame": keep(P.made("double", lambda p: sum(K.signed_area(r) for r in N.stroked_ring(p, 0.1)), box))}
+    return {"butt": area(), "square": area(cap="square"), "n_square": keep(P.made("int", lambda p: len(N.stroked(p, 0.1, cap="square")), line)), "frame": keep(P.made("double", lambda p: sum(K.signed_area(r) for r in O.stroked_ring(p, 0.1)), box))}
 
 
 @query("voronoi_cells")  # held against the nearest site in tests

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planewright.functions import geometry as G
-from planewright.functions import kernels as K
+from planewright.functions import sight as V
 from planewright.operators import per_geometry as P
 from planewright.operators.tables import points, polylines
 from planewright.operators.triangulation import delaunay_triangles
@@ -35,11 +35,12 @@ def sdf_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polylines(spark, sf_dir).withColumn("q", G.point(200, 120)).select("user_id", F.round(G.ring_distance("line", "q"), 5).alias("d"))
 
 
-@query("conic_arc", "SELECT t, 1.0::DOUBLE AS radius FROM (SELECT unnest([0.0::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS t)")
+@query("conic_arc", f"{W} SELECT id, t, round(0.1 + abs(e[1]), 6) AS radius FROM pts, {_T}")
 def conic_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quarter circle as a rational quadratic keeps its radius."""
-    p = G.rational_quadratic(F.col("t"), 0.5**0.5, G.point(1, 0), G.point(1, 1), G.point(0, 1))
-    return _at(spark.range(1)).select("t", r6(G.magnitude(p)).alias("radius"))
+    """A quarter circle of each row's radius as a rational quadratic keeps it."""
+    r, z = 0.1 + F.abs(F.col("e")[0]), F.lit(0.0)
+    p = G.rational_quadratic(F.col("t"), 0.5**0.5, G.point(r, z), G.point(r, r), G.point(z, r))
+    return _at(points(spark, sf_dir)).select("id", "t", r6(G.magnitude(p)).alias("radius"))
 
 
 @query("bspline_eval", f"{W} SELECT id, t, round(((1-3*t+3*t*t-t**3)*e[1]+(4-6*t*t+3*t**3)*e[3]+(1+3*t+3*t*t-3*t**3)*e[5]+t**3*e[7])/6, 6) + 0.0 AS x FROM pts, {_T}")
@@ -81,16 +82,16 @@ def visibility_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From its centroid the whole of a convex ring is seen."""
     @F.pandas_udf("double")
     def seen(rings: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([abs(K.signed_area(K.visible_area(P.as_array(r), (a, b)))) for r, a, b in zip(rings, x, y, strict=True)])
+        return pd.Series([V.visible_area([P.as_array(r)], (a, b)) for r, a, b in zip(rings, x, y, strict=True)])
 
     h = _hull_rings(spark, sf_dir).withColumn("c", G.ring_centroid("ring"))
     return h.select("label", (F.abs(seen("ring", "c.x", "c.y") - G.ring_area("ring")) < 1e-6).alias("whole"))
 
 
-@query("sobol_2d", """WITH v AS (WITH RECURSIVE r(k, a, b) AS (SELECT 0, 1::BIGINT, 3::BIGINT UNION ALL SELECT k + 1, b, xor(2 * b, a) FROM r WHERE k < 31) SELECT list(a ORDER BY k) AS v FROM r)
- SELECT i, list_sum([CASE WHEN ((xor(i, i >> 1)) >> k) % 2 = 1 THEN 1.0::DOUBLE / (2::BIGINT << k) ELSE 0.0 END FOR k IN range(20)]) AS x,
- list_reduce([CASE WHEN ((xor(i, i >> 1)) >> k) % 2 = 1 THEN CAST(v[k + 1] AS BIGINT) << (31 - k) ELSE 0 END FOR k IN range(20)], lambda a, b: xor(a, b)) / 4294967296.0::DOUBLE AS y FROM (SELECT range AS i FROM range(1000) UNION ALL SELECT range AS i FROM range(65536, 66536)) r, v""")
+@query("sobol_2d", """WITH v AS (WITH RECURSIVE r(k, a, b) AS (SELECT 0, 1::BIGINT, 3::BIGINT UNION ALL SELECT k + 1, b, xor(2 * b, a) & ((8::BIGINT << k) - 1) FROM r WHERE k < 31) SELECT list(a ORDER BY k) AS v FROM r)
+ SELECT i, list_sum([CASE WHEN (i >> k) % 2 = 1 THEN 1.0::DOUBLE / (2::BIGINT << k) ELSE 0.0 END FOR k IN range(31)]) AS x,
+ list_reduce([CASE WHEN (i >> k) % 2 = 1 THEN CAST(v[k + 1] AS BIGINT) << (31 - k) ELSE 0 END FOR k IN range(31)], lambda a, b: xor(a, b)) / 4294967296.0::DOUBLE AS y FROM (SELECT vec_id * 1048583 AS i FROM embeddings), v""")
 def sobol_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first thousand points, and a thousand beyond index 2**16."""
-    i = spark.range(1000).union(spark.range(65536, 66536)).withColumnRenamed("id", "i")
-    return i.select("i", G.sobol("i", G.sobol_directions([1, 1], 1)).alias("x"), G.sobol("i", G.sobol_directions([1, 3], 0)).alias("y"))
+    """A point for each row, at indexes far apart."""
+    i = points(spark, sf_dir).select((F.col("id") * 1048583).alias("i"))
+    return i.select("i", G.sobol("i", 1).alias("x"), G.sobol("i", 2).alias("y"))

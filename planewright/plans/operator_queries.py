@@ -142,19 +142,38 @@ def field_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ sequences
 
-_DIGITS = "WITH RECURSIVE d AS (SELECT i, b, i AS n, 1.0::DOUBLE / b AS f, 0.0::DOUBLE AS v, 0.0::DOUBLE AS m FROM range({n}) r(i), (VALUES (2), (3), (5)) z(b) UNION ALL SELECT i, b, n // b, f / b, v + (n % b) * f, m + CASE WHEN b = 2 THEN (n % b) * f ELSE ((b - 1 - n % b) % b) * f END FROM d WHERE n > 0), h AS (SELECT i, b, arg_min(v, n) AS v, arg_min(m, n) AS m FROM d GROUP BY 1, 2)"
+_DIGITS = "WITH RECURSIVE d AS (SELECT i, b, i AS n, 1.0::DOUBLE / b AS f, 0.0::DOUBLE AS v, 0.0::DOUBLE AS m FROM (SELECT vec_id + 20 AS i FROM embeddings), (VALUES (2), (3), (5)) z(b) UNION ALL SELECT i, b, n // b, f / b, v + (n % b) * f, m + CASE WHEN b = 2 THEN (n % b) * f ELSE ((b - 1 - n % b) % b) * f END FROM d WHERE n > 0), h AS (SELECT i, b, arg_min(v, n) AS v, arg_min(m, n) AS m FROM d GROUP BY 1, 2)"
 
 
-@query("halton_forms", f"{_DIGITS.format(n=2000)} SELECT i, round(max(v) FILTER (b = 2) * 4 - 1, 9) AS rect_x, round(max(v) FILTER (b = 3) * 2 + 5, 9) AS rect_y, round(max(v) FILTER (b = 5), 9) AS third, round(max(m) FILTER (b = 3), 9) AS mirrored FROM h WHERE i >= 20 GROUP BY 1")
+@query("halton_forms", f"{_DIGITS} SELECT i, round(max(v) FILTER (b = 2) * 4 - 1, 9) AS rect_x, round(max(v) FILTER (b = 3) * 2 + 5, 9) AS rect_y, round(max(v) FILTER (b = 5), 9) AS third, round(max(m) FILTER (b = 3), 9) AS mirrored FROM h GROUP BY 1")
 def halton_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points from index 20 on: in a rectangle, in a third dimension, and with mirrored digits."""
-    i = spark.range(20, 2000).withColumnRenamed("id", "i").withColumn("h", G.halton("i", 3))
+    """A point for each row from index 20 on: in a rectangle, in a third dimension, and with mirrored digits."""
+    i = points(spark, sf_dir).select((F.col("id") + 20).alias("i")).withColumn("h", G.halton("i", 3))
     p = G.in_rect(G.point(F.col("h")[0], F.col("h")[1]), G.box(*(F.lit(v) for v in (-1.0, 5.0, 3.0, 7.0))))
     return i.select("i", F.round(p.x, 9).alias("rect_x"), F.round(p.y, 9).alias("rect_y"), F.round(F.col("h")[2], 9).alias("third"), F.round(G.radical_inverse_mirrored("i", 3), 9).alias("mirrored"))
 
 
-@query("sobol_rect", "SELECT i, round(list_sum([CASE WHEN ((xor(i, i >> 1)) >> k) % 2 = 1 THEN 1.0::DOUBLE / (2 << k) ELSE 0.0 END FOR k IN range(12)]) * 4 - 1, 9) AS x FROM range(50, 1500) r(i)")
+@query("sobol_rect", "SELECT i, round(list_sum([CASE WHEN (i >> k) % 2 = 1 THEN 1.0::DOUBLE / (2 << k) ELSE 0.0 END FOR k IN range(28)]) * 4 - 1, 9) AS x FROM (SELECT vec_id + 50 AS i FROM embeddings)")
 def sobol_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = spark.range(50, 1500).withColumnRenamed("id", "i")
-    p = G.in_rect(G.point(G.sobol("i", G.sobol_directions([1, 1], 1)), F.lit(0.0)), G.box(*(F.lit(v) for v in (-1.0, 5.0, 3.0, 7.0))))
+    i = points(spark, sf_dir).select((F.col("id") + 50).alias("i"))
+    p = G.in_rect(G.point(G.sobol("i", 1), F.lit(0.0)), G.box(*(F.lit(v) for v in (-1.0, 5.0, 3.0, 7.0))))
     return i.select("i", F.round(p.x, 9).alias("x"))
+
+
+def _words(first: str, rule: str) -> str:
+    """SQL: 32 direction numbers from three first values and a recurrence of the last ones (a, b, c, from the oldest)."""
+    return f"(WITH RECURSIVE r(k, a, b, c) AS (SELECT 0, {first} UNION ALL SELECT k + 1, b, c, ({rule}) & ((16::BIGINT << k) - 1) FROM r WHERE k < 31) SELECT list(CAST(a AS BIGINT) << (31 - k) ORDER BY k) FROM r)"
+
+
+_XOR = "list_reduce([CASE WHEN (i >> k) % 2 = 1 THEN {v}[k + 1] ELSE 0 END FOR k IN range(31)], lambda a, b: xor(a, b))"
+_SEED = 0x9E3779B97F4A7C15
+
+
+@query("sobol_four", f"""WITH v AS (SELECT {_words('1::BIGINT, 2::BIGINT, 4::BIGINT', '0').replace("list(CAST(a AS BIGINT) << (31 - k) ORDER BY k)", "list(1::BIGINT << (31 - k) ORDER BY k)")} AS p, {_words('1::BIGINT, 3::BIGINT, 7::BIGINT', 'xor(2 * c, b)')} AS q, {_words('1::BIGINT, 1::BIGINT, 7::BIGINT', 'xor(4 * c, a)')} AS r, {_words('1::BIGINT, 3::BIGINT, 5::BIGINT', 'xor(xor(4 * c, 2 * b), a)')} AS s),
+ w AS (SELECT i, {', '.join(f"{_XOR.format(v=n)} AS {n}" for n in "pqrs")} FROM (SELECT vec_id * 1048583 AS i FROM embeddings), v)
+ SELECT i, {', '.join(f"{n} / 4294967296.0::DOUBLE AS {n}" for n in "pqrs")}, xor(p, {_SEED & 0xFFFFFFFF}) / 4294967296.0::DOUBLE AS turned_x, xor(q, {_SEED >> 32}) / 4294967296.0::DOUBLE AS turned_y FROM w""")
+def sobol_four(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point in four dimensions for each row, and a planar one with turned bits."""
+    i = points(spark, sf_dir).select((F.col("id") * 1048583).alias("i"))
+    t = i.withColumn("s", G.sobol_point("i", 4)).withColumn("t", G.sobol_scrambled("i", _SEED))
+    return t.select("i", *(F.col("s")[k].alias(n) for k, n in enumerate("pqrs")), F.col("t.x").alias("turned_x"), F.col("t.y").alias("turned_y"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planewright.functions import geometry as G
+from planewright.functions import overlay as O
 from planewright.operators import per_geometry as P
 from planewright.operators import neighbours as B
 from planewright.operators import spatial as S
@@ -333,7 +334,7 @@ def minkowski_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("offset_area")
 def offset_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area of each label's hull moved outwards by 0.1."""
-    return _hull_rings(spark, sf_dir).withColumn("ring", P.rings("ring", "offset_ring", distance=0.1)).select("label", r6(G.ring_area("ring")).alias("area"))
+    return _hull_rings(spark, sf_dir).select("label", r6(P.made("double", lambda p: O.area(O.offset(p, 0.1)), "ring")).alias("area"))
 
 
 @query("ring_convexity", f"{W} SELECT label, true AS convex FROM pts GROUP BY 1")
@@ -383,53 +384,53 @@ def arc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ sampling and fields
 
 
-@query("halton_2d", """WITH RECURSIVE d AS (SELECT i, b, i AS n, 1.0::DOUBLE / b AS f, 0.0::DOUBLE AS v FROM range(1000) r(i), (VALUES (2), (3)) z(b) UNION ALL SELECT i, b, n // b, f / b, v + (n % b) * f FROM d WHERE n > 0)
+@query("halton_2d", """WITH RECURSIVE d AS (SELECT i, b, i AS n, 1.0::DOUBLE / b AS f, 0.0::DOUBLE AS v FROM (SELECT vec_id AS i FROM embeddings), (VALUES (2), (3)) z(b) UNION ALL SELECT i, b, n // b, f / b, v + (n % b) * f FROM d WHERE n > 0)
  SELECT i, round(max(v) FILTER (b = 2), 9) AS x, round(max(v) FILTER (b = 3), 9) AS y FROM d GROUP BY 1""")
 def halton_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = spark.range(1000).withColumnRenamed("id", "i")
+    """A point for each row, by its id."""
+    i = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"))
     return i.select("i", F.round(G.radical_inverse("i", 2), 9).alias("x"), F.round(G.radical_inverse("i", 3), 9).alias("y"))
 
 
-@query("sobol_first_dimension", "SELECT i, list_sum([CASE WHEN ((xor(i, i >> 1)) >> k) % 2 = 1 THEN 1.0::DOUBLE / (2 << k) ELSE 0.0 END FOR k IN range(16)]) AS x FROM range(1000) r(i)")
+@query("sobol_first_dimension", "SELECT vec_id AS i, list_sum([CASE WHEN (vec_id >> k) % 2 = 1 THEN 1.0::DOUBLE / (2 << k) ELSE 0.0 END FOR k IN range(28)]) AS x FROM embeddings")
 def sobol_first_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1000).withColumnRenamed("id", "i").select("i", G.sobol("i", [1 << (31 - k) for k in range(16)]).alias("x"))
+    """A number for each row, by its id: that of its mirrored bits."""
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i")).select("i", G.sobol("i", 1).alias("x"))
 
 
-@query("poisson_disk")
+@query("poisson_disk")  # a random search; its gaps and reach are tested
 def poisson_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blue-noise points in tiles of their own, one seed a tile."""
+    """Blue-noise points in a domain of its own for each supplier, whose key is the seed."""
     import pandas as pd
 
     from planewright.functions import kernels as K
 
-    def tiles(batches):
+    def domains(batches):
         for batch in batches:
-            for tile in batch["id"]:
-                p = K.poisson_disk(20.0, 20.0, 1.5, 30, int(tile) + 1)
-                yield pd.DataFrame({"tile": int(tile), "k": range(len(p)), "x": p[:, 0], "y": p[:, 1]})
+            for key, nation in zip(batch["s_suppkey"], batch["s_nationkey"], strict=True):
+                p = K.poisson_disk(8.0 + nation % 5, 8.0 + nation % 3, 1.0, 30, int(key))
+                yield pd.DataFrame({"s_suppkey": int(key), "k": range(len(p)), "x": p[:, 0], "y": p[:, 1]})
 
-    return spark.range(8).mapInPandas(tiles, "tile long, k long, x double, y double")
+    return read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").mapInPandas(domains, "s_suppkey long, k long, x double, y double")
 
 
-@query("sdf_grid", """WITH g AS (SELECT gx, gy, gx * 0.25 - 2 AS x, gy * 0.25 - 2 AS y FROM range(17) a(gx), range(17) b(gy)) SELECT gx, gy, round(sqrt(x*x+y*y) - 1, 6) + 0.0 AS circle, round(sqrt(greatest(abs(x)-1, 0)**2+greatest(abs(y)-1, 0)**2) + least(greatest(abs(x)-1, abs(y)-1), 0), 6) + 0.0 AS square FROM g""".replace("gx * 0.25 - 2", "CAST(gx * 0.25 - 2 AS DOUBLE)").replace("gy * 0.25 - 2", "CAST(gy * 0.25 - 2 AS DOUBLE)"))
+@query("sdf_grid", f"""{W}, g AS (SELECT id, x, y, 0.1 + abs(e[3]) AS r FROM pts) SELECT id, round(sqrt(x*x+y*y) - r, 6) + 0.0 AS circle, round(sqrt(greatest(abs(x)-r, 0)**2+greatest(abs(y)-r, 0)**2) + least(greatest(abs(x)-r, abs(y)-r), 0), 6) + 0.0 AS square FROM g""")
 def sdf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.range(17 * 17).select((F.col("id") % 17).alias("gx"), F.floor(F.col("id") / 17).alias("gy"))
-    p = G.point(F.col("gx") * F.lit(0.25) - 2, F.col("gy") * F.lit(0.25) - 2)
-    outside = G.box_distance(G.box(*(F.lit(v) for v in (-1.0, -1.0, 1.0, 1.0))), p)
-    inside = F.least(F.greatest(F.abs(p.x) - 1, F.abs(p.y) - 1), F.lit(0.0))
-    return g.select("gx", "gy", r6(G.circle_distance(G.circle(G.point(0, 0), F.lit(1.0)), p)).alias("circle"), r6(outside + inside).alias("square"))
+    """Signed distances of each row's point to a circle and a square of its own size."""
+    r, p = 0.1 + F.abs(F.col("e")[2]), F.col("p")
+    outside = G.box_distance(G.box(-r, -r, r, r), p)
+    inside = F.least(F.greatest(F.abs(p.x) - r, F.abs(p.y) - r), F.lit(0.0))
+    return points(spark, sf_dir).select("id", r6(G.circle_distance(G.circle(G.point(0, 0), r), p)).alias("circle"), r6(outside + inside).alias("square"))
 
 
-@query("distance_transform", """WITH g AS (SELECT gx, gy, (gx * 7 + gy * 13) % 31 = 0 AS f FROM range(32) a(gx), range(32) b(gy)) SELECT a.gx, a.gy, round(sqrt(min((a.gx-b.gx)**2 + (a.gy-b.gy)**2)), 6) AS d FROM g a, g b WHERE b.f GROUP BY 1, 2""")
+@query("distance_transform", """WITH g AS (SELECT p_size AS gx, p_partkey % 40 AS gy, bool_or(p_retailprice > 1400) AS f FROM part GROUP BY 1, 2) SELECT a.gx, a.gy, round(sqrt(min((a.gx-b.gx)**2 + (a.gy-b.gy)**2)), 6) AS d FROM g a, g b WHERE b.f GROUP BY 1, 2""")
 def distance_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact in two passes: the nearest feature of each column's cell, then the best column of each row."""
-    g = spark.range(32 * 32).select((F.col("id") % 32).alias("gx"), F.floor(F.col("id") / 32).alias("gy")).withColumn("f", (F.col("gx") * 7 + F.col("gy") * 13) % 31 == 0)
-    up, down = Window.partitionBy("gx").orderBy("gy"), Window.partitionBy("gx").orderBy(F.desc("gy"))
-    mark = F.when(F.col("f"), F.col("gy"))
-    near = g.select("gx", "gy", F.least(F.coalesce(F.col("gy") - F.last(mark, True).over(up), F.lit(64)), F.coalesce(F.last(mark, True).over(down) - F.col("gy"), F.lit(64))).alias("v"))
-    rows = near.groupBy("gy").agg(F.collect_list(F.struct("gx", "v")).alias("c"))
-    best = rows.select("gy", F.explode("c").alias("o"), "c").select(F.col("o.gx").alias("gx"), "gy", F.expr("array_min(transform(c, k -> (k.gx - o.gx) * (k.gx - o.gx) + k.v * k.v))").alias("d2"))
-    return best.select("gx", "gy", r6(F.sqrt(F.col("d2").cast("double"))).alias("d"))
+    """A raster of sizes by keys' remainders, marked where a part is dear; cells without a part are no cells."""
+    from planewright.operators.raster import distance_transform as transform
+
+    part = read(spark, sf_dir, "part")
+    cells = part.groupBy(F.col("p_size").cast("long").alias("gx"), (F.col("p_partkey") % 40).alias("gy")).agg(F.bool_or(F.col("p_retailprice") > 1400).alias("feature"))
+    return transform(cells.withColumn("grid_id", F.lit(0))).filter("distance IS NOT NULL").select(F.col("gx").cast("int").alias("gx"), "gy", r6(F.col("distance")).alias("d"))
 
 
 # ------------------------------------------------------------------ text in and out

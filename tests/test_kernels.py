@@ -7,6 +7,7 @@ import pytest
 
 from planewright.functions import curve_kernels as C
 from planewright.functions import kernels as K
+from planewright.functions import overlay as O
 from planewright.functions import polygon_kernels as P
 
 R = np.random.default_rng(4)
@@ -119,7 +120,7 @@ def test_booleans(kind):
 def test_repair_and_faults():
     eight = np.array([[0, 0], [2, 2], [2, 0], [0, 2]], float)
     assert P.self_intersections(eight).tolist() == [[1, 1]]
-    parts = P.repaired(eight)
+    parts = O.repaired(eight)
     assert len(parts) == 2 and all(K.signed_area(r) == pytest.approx(1) and not len(P.self_intersections(r)) for r in parts)
     assert P.faults(eight)["crossing"] and not any(P.faults(ELL).values()) and P.faults(ELL[:2])["too_few"]
     assert P.reflex_vertices(ELL) == [3] and len(P.reflex_vertices(star())) == 5
@@ -141,7 +142,7 @@ def test_strokes():
     corner = np.array([[0, 0], [4, 0], [4, 4]], float)
     inner = abs(K.signed_area(P.stroked(corner, 1, join="miter"))) - abs(K.signed_area(P.stroked(corner, 1, join="bevel")))
     assert inner == pytest.approx(0.125)
-    assert sum(K.signed_area(r) for r in P.stroked_ring(SQUARE * 4, 1)) == pytest.approx(25 - 9)
+    assert sum(K.signed_area(r) for r in O.stroked_ring(SQUARE * 4, 1)) == pytest.approx(25 - 9)
 
 
 def test_voronoi_cells():
