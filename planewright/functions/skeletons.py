@@ -118,12 +118,40 @@ def straight_skeleton(p: np.ndarray) -> Skeleton:
             link(b, end)
         return True
 
+    def flat(ring: list[_Corner], t: float) -> bool:
+        """Whether a ring of three or more corners has no width left; the line that it has become is then drawn, piece by piece."""
+        at = np.array([c.p + c.v * (t - c.t) for c in ring])
+        d = along[ring[0].after]
+        across = at @ np.array([-d[1], d[0]])
+        if np.ptp(across) > near:
+            return False
+        u = at @ d
+        order = np.argsort(u, kind="stable")
+        ends: list[tuple[float, int]] = []
+        for k in order.tolist():
+            c = ring[k]
+            if ends and u[k] - ends[-1][0] <= near:
+                link(c, ends[-1][1])
+            else:
+                node = c.node if c.t == t else place(at[k], t)
+                link(c, node)
+                ends.append((float(u[k]), node))
+        for (x, a), (y, b) in zip(ends, ends[1:], strict=False):
+            over = {}
+            for k, c in enumerate(ring):
+                v, w = u[k], u[(k + 1) % len(ring)]
+                if min(v, w) < (x + y) / 2 < max(v, w):
+                    over[w > v] = c.after
+            arcs.append((a, b))
+            sides.append((over.get(False, ring[0].after), over.get(True, ring[0].after)))
+        return True
+
     todo = [(0.0, [corner(i, p[i], 0.0, i - 1 if i else n - 1, i) for i in range(n)])]
     budget = 20 * n + 100
     while todo and budget:
         budget -= 1
         now, ring = todo.pop()
-        if closed(ring, now):
+        if closed(ring, now) or flat(ring, now):
             continue
         m = len(ring)
         P, V = np.array([c.p for c in ring]), np.array([c.v for c in ring])

@@ -199,13 +199,28 @@ def medial_axes_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ splines
 
 
-_T = "(k/4096.0::DOUBLE)"
-_STEP = lambda c: f"CASE WHEN k < 4096 THEN (1-{_T})**2*a{c}+2*(1-{_T})*{_T}*b{c}+{_T}**2*(b{c}+c{c})/2 ELSE (2-{_T})**2*(b{c}+c{c})/2+2*(2-{_T})*({_T}-1)*c{c}+({_T}-1)**2*d{c} END"
-_CHORDS = f""", s AS (SELECT id, k, {_STEP(1)} AS x, {_STEP(2)} AS y FROM z, range(8193) r(k)), g AS (SELECT id, x, y, sqrt((lead(x) OVER w - x)**2+(lead(y) OVER w - y)**2) AS l FROM s WINDOW w AS (PARTITION BY id ORDER BY k)),
- h AS (SELECT id, sum(l) AS l, min(x) AS lx, max(y) AS hy FROM g GROUP BY 1), zs AS (SELECT z.*, l, lx, hy FROM z JOIN h USING (id))"""
+def _curve(p: str, q: str, r: str) -> str:
+    """SQL: length of the quadratic curve of three points, each a pattern in the coordinate's number {k}, from the antiderivative of its speed."""
+    u = [f"({q.format(k=k)}-({p.format(k=k)}))" for k in (1, 2)]
+    v = [f"(({r.format(k=k)})-2*({q.format(k=k)})+({p.format(k=k)}))" for k in (1, 2)]
+    a, b, c = f"(4*({v[0]}**2+{v[1]}**2))", f"(8*({u[0]}*{v[0]}+{u[1]}*{v[1]}))", f"(4*({u[0]}**2+{u[1]}**2))"
+    at = lambda t: f"((2*{a}*{t}+{b})/(4*{a})*sqrt({a}*{t}+{b}*{t}+{c})+(4*{a}*{c}-{b}**2)/(8*{a}*sqrt({a}))*ln(abs(2*{a}*{t}+{b}+2*sqrt({a}*({a}*{t}+{b}*{t}+{c})))))"
+    return f"({at(1)}-{at(0)})"
 
 
-@family("spline_lengths", {"length": "l", "low_x": "lx", "high_y": "hy", "control_x": "least(a1, b1, c1, d1)", "n_pieces": "2", "slope_x": "2*(c1-b1)*0.7::DOUBLE+2*(d1-c1)*0.3::DOUBLE-(c1-b1)*0.7::DOUBLE", "straight": "sqrt((b1-a1)**2+(b2-a2)**2)+sqrt((c1-b1)**2+(c2-b2)**2)+sqrt((d1-c1)**2+(d2-c2)**2)", "n_out": "1", "turned": "pi()/2"}, _CHORDS, "zs")
+def _end(fn: str, p: str, q: str, r: str) -> str:
+    """SQL: the least or greatest coordinate of such a curve."""
+    t = f"greatest(0.0, least(1.0, (({p})-({q}))/nullif(({p})-2*({q})+({r}), 0)))"
+    return f"{fn}({p}, {r}, (1-{t})**2*({p})+2*(1-{t})*{t}*({q})+{t}**2*({r}))"
+
+
+_MID = "(b{k}+c{k})/2"
+_LENGTH = f"{_curve('a{k}', 'b{k}', _MID)}+{_curve(_MID, 'c{k}', 'd{k}')}"
+_LOW = f"least({_end('least', 'a1', 'b1', '(b1+c1)/2')}, {_end('least', '(b1+c1)/2', 'c1', 'd1')})"
+_HIGH = f"greatest({_end('greatest', 'a2', 'b2', '(b2+c2)/2')}, {_end('greatest', '(b2+c2)/2', 'c2', 'd2')})"
+
+
+@family("spline_lengths", {"length": _LENGTH, "low_x": _LOW, "high_y": _HIGH, "control_x": "least(a1, b1, c1, d1)", "n_pieces": "2", "slope_x": "2*(c1-b1)*0.7::DOUBLE+2*(d1-c1)*0.3::DOUBLE-(c1-b1)*0.7::DOUBLE", "straight": "sqrt((b1-a1)**2+(b2-a2)**2)+sqrt((c1-b1)**2+(c2-b2)**2)+sqrt((d1-c1)**2+(d2-c2)**2)", "n_out": "1", "turned": "pi()/2"})
 def _(keep, a, b, c, d):
     """Open quadratic splines of four points as two Bezier curves; lengths of a line's and of a quarter circle's spline."""
     p = keep(F.array(a, b, c, d))
