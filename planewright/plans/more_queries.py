@@ -62,7 +62,10 @@ def bezier_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("line", P.rings("c", "flatten_cubic", tolerance=0.001)).select("id", F.size("line").alias("n_points"), r6(G.ring_perimeter("line", closed=False)).alias("length"))
 
 
-@query("fit_cubic")
+@query("fit_cubic", f"""{W}, s AS (SELECT user_id, idx, x, y, sqrt((x - lag(x) OVER w)**2 + (y - lag(y) OVER w)**2) AS l FROM traj WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+ t AS (SELECT user_id, x, coalesce(sum(l) OVER (PARTITION BY user_id ORDER BY idx), 0) / sum(l) OVER (PARTITION BY user_id) AS t, first_value(x) OVER v AS x0, last_value(x) OVER v AS x3 FROM s WINDOW v AS (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ b AS (SELECT user_id, 3*(1-t)**2*t AS b1, 3*(1-t)*t*t AS b2, x - (1-t)**3*x0 - t**3*x3 AS r FROM t), n AS (SELECT user_id, sum(b1*b1) AS a, sum(b1*b2) AS b, sum(b2*b2) AS c, sum(b1*r) AS u, sum(b2*r) AS v FROM b GROUP BY 1)
+ SELECT user_id, 4 AS n_control, round((u*c-v*b)/(a*c-b*b), 3) AS x1, round((v*a-u*b)/(a*c-b*b), 3) AS x2 FROM n""")
 def fit_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cubic fitted to each user's line."""
     t = polylines(spark, sf_dir).withColumn("c", P.rings("line", "fit_cubic"))

@@ -223,8 +223,10 @@ def _pairs_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("b", F.col("a") + 1).join(b, "b")
 
 
-@query("frechet_discrete")  # SQL is too slow on whole lines; a test holds the kernel against the definition
+@query("frechet_discrete", f"""{W}, l AS (SELECT user_id, list([x, y] ORDER BY idx) AS p FROM traj GROUP BY 1), d AS (SELECT a.user_id, list_transform(a.p, lambda u: list_transform(b.p, lambda v: sqrt((u[1]-v[1])*(u[1]-v[1])+(u[2]-v[2])*(u[2]-v[2])))) AS m FROM l a JOIN l b ON b.user_id = a.user_id + 1)
+ SELECT user_id, round(list_reduce(m[2:], lambda row, next: list_reduce(list_zip(next, row)[2:], lambda made, z: list_append(made, greatest(z[1], least(z[2], made[-1], row[len(made)]))), [greatest(next[1], row[1])]), list_reduce(m[1][2:], lambda made, z: list_append(made, greatest(made[-1], z)), [m[1][1]]))[-1], 6) AS distance FROM d""")
 def frechet_discrete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines of neighbouring users."""
     return _pairs_of_users(spark, sf_dir).select(F.col("a").alias("user_id"), r6(P.pair_number("la", "lb", "frechet")).alias("distance"))
 
 
@@ -315,7 +317,15 @@ def _hull_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hulls(points(spark, sf_dir), "label")
 
 
-@query("clip_convex_area")
+_PAIRED = f"{_HULL}, p AS (SELECT label, x0, y0, x1, y1 FROM edge), q AS (SELECT label - 1 AS label, x0, y0, x1, y1 FROM edge)"
+
+
+@query("clip_convex_area", f"""{_PAIRED}, inner_ AS (SELECT a.label, a.x0 AS x, a.y0 AS y FROM p a JOIN q b USING (label) GROUP BY a.label, a.x0, a.y0 HAVING min((b.x1-b.x0)*(a.y0-b.y0)-(b.y1-b.y0)*(a.x0-b.x0)) >= 0
+  UNION ALL SELECT a.label, a.x0, a.y0 FROM q a JOIN p b USING (label) GROUP BY a.label, a.x0, a.y0 HAVING min((b.x1-b.x0)*(a.y0-b.y0)-(b.y1-b.y0)*(a.x0-b.x0)) >= 0
+  UNION ALL SELECT label, px+t*ex, py+t*ey FROM (SELECT a.label, a.x0 AS px, a.y0 AS py, a.x1-a.x0 AS ex, a.y1-a.y0 AS ey, ((b.x0-a.x0)*(b.y1-b.y0)-(b.y0-a.y0)*(b.x1-b.x0))/((a.x1-a.x0)*(b.y1-b.y0)-(a.y1-a.y0)*(b.x1-b.x0)) AS t, ((b.x0-a.x0)*(a.y1-a.y0)-(b.y0-a.y0)*(a.x1-a.x0))/((a.x1-a.x0)*(b.y1-b.y0)-(a.y1-a.y0)*(b.x1-b.x0)) AS u FROM p a JOIN q b USING (label)) WHERE t > 0 AND t < 1 AND u > 0 AND u < 1),
+ c AS (SELECT label, x, y, atan2(y - avg(y) OVER (PARTITION BY label), x - avg(x) OVER (PARTITION BY label)) AS t FROM inner_),
+ n AS (SELECT label, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM c WINDOW w AS (PARTITION BY label ORDER BY t))
+ SELECT label, round(sum(x*ny-nx*y)/2, 6) AS area FROM n GROUP BY 1""")
 def clip_convex_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area that the hulls of neighbouring labels share."""
     h = _hull_rings(spark, sf_dir)
@@ -323,7 +333,9 @@ def clip_convex_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.join(o, "label").withColumn("ring", P.rings("ring", "clip_convex", "other")).select("label", r6(G.ring_area("ring")).alias("area"))
 
 
-@query("minkowski_area")
+@query("minkowski_area", f"""{_PAIRED}, a AS (SELECT label, sum(x0*y1-x1*y0)/2 AS area FROM p GROUP BY 1), b AS (SELECT label, sum(x0*y1-x1*y0)/2 AS area FROM q GROUP BY 1),
+ h AS (SELECT p.label, p.x0, p.y0, max((p.y1-p.y0)*q.x0-(p.x1-p.x0)*q.y0) AS reach FROM p JOIN q USING (label) GROUP BY ALL), m AS (SELECT label, sum(reach) AS mixed FROM h GROUP BY 1)
+ SELECT label, round(a.area + b.area + mixed, 6) AS area FROM a JOIN b USING (label) JOIN m USING (label)""")
 def minkowski_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area of the sum of neighbouring labels' hulls."""
     h = _hull_rings(spark, sf_dir)
@@ -331,7 +343,8 @@ def minkowski_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.join(o, "label").withColumn("ring", P.rings("ring", "minkowski_convex", "other")).select("label", r6(G.ring_area("ring")).alias("area"))
 
 
-@query("offset_area")
+@query("offset_area", f"""{_HULL}, t AS (SELECT a.label, sqrt((a.x1-a.x0)**2+(a.y1-a.y0)**2) AS l, a.x0*a.y1-a.x1*a.y0 AS k, atan2((a.x1-a.x0)*(b.y1-b.y0)-(a.y1-a.y0)*(b.x1-b.x0), (a.x1-a.x0)*(b.x1-b.x0)+(a.y1-a.y0)*(b.y1-b.y0)) AS turn FROM edge a JOIN edge b ON a.label = b.label AND a.x1 = b.x0 AND a.y1 = b.y0)
+ SELECT label, round(sum(k)/2 + 0.1 * sum(l) + 0.01 * sum(CASE WHEN cos(turn/2) * 4 >= 1 THEN tan(turn/2) ELSE sin(turn)/2 END), 6) AS area FROM t GROUP BY 1""")
 def offset_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area of each label's hull moved outwards by 0.1."""
     return _hull_rings(spark, sf_dir).select("label", r6(P.made("double", lambda p: O.area(O.offset(p, 0.1)), "ring")).alias("area"))
