@@ -177,7 +177,8 @@ def sees(ring: np.ndarray, a: np.ndarray, b: np.ndarray, obstacles: list[np.ndar
     for r, inside in ((ring, True), *((o, False) for o in obstacles)):
         _, _, t = _cuts(a[None], b[None], r, np.roll(r, -1, 0))
         at = np.unique(np.concatenate([[0.0, 1.0], np.clip(t, 0, 1)]))
-        middle = a + (b - a) * ((at[1:] + at[:-1]) / 2)[:, None]
+        long = np.diff(at) > 1e-9  # meetings in one place, told apart by rounding only, have nothing between them
+        middle = a + (b - a) * ((at[1:] + at[:-1]) / 2)[long, None]
         if len(middle) and (contains(r, middle) != inside).any():
             return False
     return True

@@ -217,6 +217,48 @@ for _name, _kernel, _options in (
     query(_name)(lambda spark, sf_dir, k=_kernel, o=_options: _kept_sizes(spark, sf_dir, k, **o))
 
 
+def _kept_sums(spark: SparkSession, sf_dir: str, kernel: str, **options: object) -> DataFrame:
+    """How many points of each user's line are kept, and the sum of their numbers."""
+    t = polylines(spark, sf_dir).withColumn("kept", P.indexes("line", kernel, **options))
+    return t.select("user_id", F.size("kept").cast("long").alias("n_kept"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_idx"))
+
+
+_RECURSIVE = W.replace("WITH", "WITH RECURSIVE")
+_LINE = "sqrt((n.x-k.x)**2+(n.y-k.y)**2)"
+_NEXT = f"""{_RECURSIVE}, last AS (SELECT user_id, max(idx) AS n FROM traj GROUP BY 1),
+ kept AS (SELECT t.user_id, idx, x, y, n FROM traj t JOIN last USING (user_id) WHERE idx = 0
+ UNION ALL SELECT k.user_id, m.idx, m.x, m.y, k.n FROM kept k, LATERAL (SELECT t.idx, t.x, t.y FROM traj t JOIN traj n ON n.user_id = t.user_id AND n.idx = t.idx + {{ahead}} WHERE t.user_id = k.user_id AND t.idx > k.idx AND {{far}} ORDER BY t.idx LIMIT 1) m)
+ SELECT user_id, count(*) + {{end}} AS n_kept, CAST(sum(idx) + {{end}} * max(n) AS BIGINT) AS sum_idx FROM kept GROUP BY 1"""
+
+
+@query("dedupe_kept", _NEXT.format(ahead=0, far="sqrt((t.x-k.x)**2+(t.y-k.y)**2) > 30", end=0))
+def dedupe_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_sums(spark, sf_dir, "drop_repeats", eps=30.0)
+
+
+@query("collinear_kept", _NEXT.format(ahead=1, far=f"abs((n.x-k.x)*(t.y-k.y)-(n.y-k.y)*(t.x-k.x)) / {_LINE} > 20", end=1))
+def collinear_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_sums(spark, sf_dir, "drop_collinear", eps=20.0)
+
+
+_HALF = "abs(({b}.x-{a}.x)*({c}.y-{a}.y)-({b}.y-{a}.y)*({c}.x-{a}.x))/2"
+_SMALLEST = f"""{_RECURSIVE}, w AS (SELECT user_id, idx, x, y, lag(x) OVER w AS ax, lag(y) OVER w AS ay, lead(x) OVER w AS cx, lead(y) OVER w AS cy FROM traj WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+ r AS (SELECT user_id, list({{{{'i': idx, 'x': x, 'y': y, 's': abs((x-ax)*(cy-ay)-(y-ay)*(cx-ax))/2}}}} ORDER BY idx) AS l, 0.0::DOUBLE AS f FROM w GROUP BY 1
+ UNION ALL SELECT user_id, list_transform(range(1, len(k) + 1), lambda j: {{{{'i': k[j].i, 'x': k[j].x, 'y': k[j].y, 's': CASE WHEN (j = m - 1 OR j = m) AND j > 1 AND j < len(k) THEN greatest(g, {_HALF.format(a='k[j-1]', b='k[j]', c='k[j+1]')}) ELSE k[j].s END}}}}), g
+ FROM (SELECT user_id, l[:m-1] || l[m+1:] AS k, m, greatest(f, l[m].s) AS g FROM (SELECT *, list_position(list_transform(l, lambda e: e.s), list_min(list_transform(l, lambda e: e.s))) AS m FROM r) WHERE {{going}})),
+ u AS (SELECT user_id, arg_min(l, len(l)) AS l FROM r GROUP BY 1) SELECT user_id, len(l) AS n_kept, CAST(list_sum(list_transform(l, lambda e: e.i)) AS BIGINT) AS sum_idx FROM u"""
+
+
+@query("visvalingam_area_kept", _SMALLEST.format(going="len(l) > 2 AND l[m].s < 500"))
+def visvalingam_area_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_sums(spark, sf_dir, "visvalingam", min_area=500.0)
+
+
+@query("visvalingam_count_kept", _SMALLEST.format(going="len(l) > 20"))
+def visvalingam_count_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_sums(spark, sf_dir, "visvalingam", count=20)
+
+
 def _pairs_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = polylines(spark, sf_dir)
     a, b = (t.select(F.col("user_id").alias(n), F.col("line").alias(f"l{n}")) for n in "ab")

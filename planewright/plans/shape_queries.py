@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planewright.functions import curve_kernels as C
+from planewright.functions import decompose as D
 from planewright.functions import geometry as G
+from planewright.functions import kernels as K
 from planewright.functions import overlay as O
+from planewright.functions import polygon_kernels as N
 from planewright.functions import sight as V
 from planewright.functions import skeletons as S
 from planewright.functions import spline_pieces as B
@@ -16,8 +19,8 @@ from planewright.operators import hulls as H
 from planewright.operators import per_geometry as P
 from planewright.operators.tables import points, polylines
 from planewright.operators.triangulation import delaunay_triangles, voronoi_cells
-from planewright.plans.kernel_queries import _LH, _LW
-from planewright.plans.primitive_queries import family
+from planewright.plans.kernel_queries import _LH, _LW, _SECOND, _SUM, _TURN
+from planewright.plans.primitive_queries import _CROSS, family
 from planewright.plans.queries import _HULL, W, r6
 from planewright.plans.registry import query
 
@@ -196,6 +199,13 @@ def medial_axes_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("user_id", F.col("a.n_nodes").cast("long").alias("n_nodes"), F.round("a.length", 3).alias("length"), F.round("a.radius", 3).alias("radius"))
 
 
+@family("fewest_parts", {"n_parts": f"CASE WHEN ({_CROSS}) OR ({_SECOND}) THEN -1 WHEN {' + '.join(f'({t} * {_SUM} < 0)::INTEGER' for t in _TURN.values())} = 0 THEN 1 ELSE 2 END", "n_ell": "2", "area": f"0.75*{_LW}*{_LH}"})
+def _(keep, a, b, c, d):
+    """Convex decompositions of four-point and L-shaped rings with the fewest parts."""
+    ring, ell = keep(F.array(a, b, c, d)), keep(_ell(a, b))
+    return {"n_parts": keep(P.made("int", lambda p: -1 if N.faults(p)["crossing"] else len(D.fewest_convex_parts(p)), ring)), "n_ell": keep(P.made("int", lambda p: len(D.fewest_convex_parts(p)), ell)), "area": keep(P.made("double", lambda p: sum(K.signed_area(p[x]) for x in D.fewest_convex_parts(p)), ell))}
+
+
 # ------------------------------------------------------------------ splines
 
 
