@@ -482,7 +482,7 @@ def test_warc(spark, monkeypatch):
 
 
 def test_queries_cover_the_list():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, bpe):
