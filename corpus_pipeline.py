@@ -14,23 +14,40 @@ from planewright.llm.common import shared_folder
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and the likelihood ratio."""
+    """Documents that pass the rules and the likelihood ratio.
+
+    Null, empty and short texts go; texts of any length are judged whole; repeated rows stay or go
+    alike; an empty table stays empty; further columns, whatever their names, are passed on.
+    """
     ratios = quality_rules.log_ratios(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.kept(docs, ratios)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
+    """One document of each group of near-duplicates, that with the smallest id.
+
+    Texts without words are no one's duplicate and stay; of rows that share the id and the group one
+    stays; rows without an id are a document each; long texts are compared whole; an empty table
+    stays empty; further columns are passed on.
+    """
     return minhash.deduplicated(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark passage occurs."""
+    """Documents in which no benchmark passage occurs.
+
+    Texts without words stay; long texts are searched whole; repeated rows stay or go alike; an
+    empty table stays empty, and an empty benchmark takes nothing; further columns are passed on.
+    """
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark; ``n_chars`` follows the text."""
+    """All documents, their secrets replaced by a mark; ``n_chars`` follows the text.
+
+    Null and empty texts stay as they are; overlapping secrets are one mark; repeated rows are
+    treated alike; an empty table stays empty; further columns are passed on.
+    """
     columns = docs.columns
     ratios = secret_scan.train(secret_scan.labelled_samples(spark))
     masked = secret_scan.masked(secret_scan.with_secrets(docs, ratios))
@@ -41,7 +58,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 ids from all documents left."""
+    """Sequences of 2048 ids from all documents left.
+
+    A null or empty text is its end id alone; repeated rows are packed each; of long texts whole
+    windows come first; an empty table gives no rows; further columns are left out.
+    """
     return packing.pack(docs)
 
 
