@@ -108,6 +108,13 @@ def field_of(width: int, height: int, origin: tuple[float, float], cell: float,
     return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda k: measure(at(k)))
 
 
+def field_with(values: Column, width: int, i: Column | int, j: Column | int, value: Column) -> Column:
+    """The same field with another value in one cell; cells outside change nothing."""
+    i, j = (x if isinstance(x, Column) else F.lit(x) for x in (i, j))
+    inside = (i >= 0) & (i < width) & (j >= 0)
+    return F.transform(values, lambda v, k: F.when(inside & (k == j * width + i), value).otherwise(v))
+
+
 def field_at(values: Column, width: int, height: int, origin: tuple[float, float], cell: float, p: Column) -> Column:
     """Bilinear between cell centres; the border's values go on outside."""
     clamped = lambda v, most: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), v))

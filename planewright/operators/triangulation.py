@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planewright.functions.delaunay_kernel import delaunay, turn
@@ -136,6 +136,17 @@ def delaunay_triangles(points: DataFrame, group: str, pid: str = "id", p: str =
     return reduce(DataFrame.unionByName, found).withColumnRenamed("grp", group)
 
 
+def edges_of(triangles: DataFrame, group: str) -> DataFrame:
+    """(group, a, b): the edges of triangles once each, a below b."""
+    pair = lambda u, v: F.struct(F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
+    return triangles.select(group, F.explode(F.array(pair("a", "b"), pair("b", "c"), pair("a", "c"))).alias("e")).select(group, "e.a", "e.b").distinct()
+
+
+def has_corner(pid: object) -> Column:
+    """Whether a triangle has a point as a corner."""
+    return F.lit(pid).isin(F.col("a"), F.col("b"), F.col("c")) if not isinstance(pid, Column) else (F.col("a") == pid) | (F.col("b") == pid) | (F.col("c") == pid)
+
+
 def voronoi_cells(points: DataFrame, group: str, low: tuple[float, float], high: tuple[float, float], pid: str = "id", p: str = "p", **options: object) -> DataFrame:
     """(group, id, ring): the part of a box that is nearer to a point than to any other of its group.
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planewright.functions import conics as E
 from planewright.functions import curve_kernels as C
 from planewright.functions import decompose as D
 from planewright.functions import geometry as G
@@ -17,12 +18,13 @@ from planewright.functions import skeletons as S
 from planewright.functions import spline_pieces as B
 from planewright.operators import hulls as H
 from planewright.operators import per_geometry as P
+from planewright.operators.raster import field_with
 from planewright.operators.tables import points, polylines
-from planewright.operators.triangulation import delaunay_triangles, voronoi_cells
+from planewright.operators.triangulation import delaunay_triangles, edges_of, has_corner, voronoi_cells
 from planewright.plans.kernel_queries import _LH, _LW, _SECOND, _SUM, _TURN
 from planewright.plans.primitive_queries import _CROSS, family
 from planewright.plans.queries import _HULL, W, r6
-from planewright.plans.registry import query
+from planewright.plans.registry import ORACLES, query
 
 # ------------------------------------------------------------------ triangulation
 
@@ -36,6 +38,15 @@ def delaunay_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delaunay_triangles(points(spark, sf_dir), "label").select("label", "a", "b", "c")
 
 
+@query("delaunay_edges", f"WITH t AS ({ORACLES['delaunay_by_label']}), e AS (SELECT DISTINCT label, unnest([{{'a': least(a, b), 'b': greatest(a, b)}}, {{'a': least(b, c), 'b': greatest(b, c)}}, {{'a': least(a, c), 'b': greatest(a, c)}}]) AS e FROM t) SELECT label, e.a AS a, e.b AS b, (SELECT count(*) FROM t WHERE t.label = e_.label AND (t.a = e.a OR t.b = e.a OR t.c = e.a)) AS n_around FROM e AS e_")
+def delaunay_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of each label's triangles, and how many triangles have an edge's lower end as a corner."""
+    t = delaunay_triangles(points(spark, sf_dir), "label")
+    e = edges_of(t, "label")
+    around = e.select("label", F.col("a").alias("k")).distinct().join(t, "label").filter(has_corner(F.col("k"))).groupBy("label", "k").agg(F.count("*").alias("n_around"))
+    return e.join(around.withColumnRenamed("k", "a"), ["label", "a"]).select("label", "a", "b", "n_around")
+
+
 _ALL = _HULL.replace("SELECT a.label, a.id", "SELECT 0 AS label, a.id").replace("ON a.label = b.label AND ", "ON ").replace("WHERE c.label = a.label AND ", "WHERE ")
 
 
@@ -106,6 +117,29 @@ def capsule_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("label", r6(G.distance(F.col("start"), F.col("end"))).alias("length"), r6(F.col("radius")).alias("radius"))
 
 
+# ------------------------------------------------------------------ ellipses and circles
+
+_GAP = "sqrt((a1-c1)**2+(a2-c2)**2)"
+_ONE, _TWO = "(abs(b1)+0.1)", "(abs(d1)+0.1)"
+
+
+@family("round_ellipses", {"n_crossings": f"CASE WHEN {_GAP} < {_ONE}+{_TWO} AND {_GAP} > abs({_ONE}-{_TWO}) THEN 2 ELSE 0 END", "is_met": f"{_GAP} <= {_ONE}+{_TWO}", "is_far": f"{_GAP} > {_ONE}+{_TWO}"})
+def _(keep, a, b, c, d):
+    """Ellipses that happen to be round against circles: crossings, and whether the areas meet."""
+    e, o = keep(E.ellipse(a, F.abs(b.x) + 0.1, F.abs(b.x) + 0.1, d.y)), keep(G.circle(c, F.abs(d.x) + 0.1))
+    n = keep(F.size(E.ellipse_circle(e, o, 1024)))
+    met = keep(E.ellipses_meet(e, E.ellipse_of_circle(o), 1024))
+    return {"n_crossings": n, "is_met": met, "is_far": ~met}
+
+
+@family("edited_fields", {"changed": "b1", "other": "1.0", "outside": "1.0"})
+def _(keep, a, b, c, d):
+    """A field with another value in one cell, and in one that isn't there."""
+    plain = F.array_repeat(F.lit(1.0), 12)
+    one, none = keep(field_with(plain, 4, 1, 2, b.x)), keep(field_with(plain, 4, 7, 1, b.x))
+    return {"changed": one[9], "other": one[8], "outside": F.array_max(none)}
+
+
 # ------------------------------------------------------------------ rings
 
 

@@ -124,6 +124,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_radial_stream_begins_anew(spark, tmp_path):
+    rows = [(1, k, float(k), 0.0, k == 5) for k in range(9)] + [(2, 0, 0.0, 0.0, None), (2, 1, 1.0, 0.0, None)]
+    spark.createDataFrame(rows, "user_id long, idx long, x double, y double, again boolean").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user_id long, idx long, x double, y double, again boolean").parquet(str(tmp_path / "in"))
+    run = radial_stream(stream, 4.0, reset="again").writeStream.format("memory").queryName("anew").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted((r["user_id"], r["idx"]) for r in spark.table("anew").collect()) == [(1, 0), (1, 4), (1, 5), (2, 0)]
+
+
 def test_frechet_equals_its_definition():
     rng = np.random.default_rng(3)
     for n, m in ((1, 1), (1, 6), (7, 4), (12, 12)):

@@ -193,6 +193,14 @@ def test_interpolating_splines():
     assert len(B.catmull_rom(p[:1])) == 0
 
 
+def test_small_forms():
+    assert B.spans(5) == (4, (0.0, 4.0)) and B.spans(0) == (0, (0.0, 0.0)) and B.is_polynomial(B.unweighted(4))
+    p, w, k = R.random((6, 2)), B.unweighted(6), C.open_knots(6, 3)
+    assert np.allclose(C.spline_points(p, [0.7], 3, k, w), C.spline_points(p, [0.7], 3, k))
+    m = C.cardinal_tangents(p)
+    assert np.allclose(C.hermite_line(p, B.scaled_tangents(m, 0), 5), C.still_line(p, 5))
+
+
 def test_cleaning():
     for _ in range(30):
         p = np.cumsum(R.normal(0, 0.2, (R.integers(0, 20), 2)), 0)
