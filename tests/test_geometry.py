@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from planewright.functions import geometry as G
 from planewright.functions import kernels as K
 from planewright.functions import overlay as O
+from planewright.operators import components as C
 from planewright.operators import spatial as S
 from planewright.operators.components import components
 from planewright.operators.neighbours import nearest
@@ -100,10 +101,14 @@ def test_circles_of_unlike_radii_overlap(spark):
     assert S.overlapping_circles(c.limit(0), c.select(F.col("c").alias("d"))).count() == 0
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(1, 20)] + [(30, 31), (31, 32), (40, 40)]
+@pytest.mark.parametrize("hot", [None, 3])
+def test_components(spark, monkeypatch, hot):
+    if hot:  # nodes of more than three edges count as crowded
+        monkeypatch.setattr(C, "HOT_EDGES", hot)
+        monkeypatch.setattr(C, "HOT", 10**9)
+    edges = [(i, i + 1) for i in range(1, 20)] + [(30, 31), (31, 32), (40, 40)] + [(100, k) for k in range(101, 140)] + [(50, 100)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
-    assert got == {**{i: 1 for i in range(2, 21)}, 31: 30, 32: 30}
+    assert got == {**{i: 1 for i in range(2, 21)}, 31: 30, 32: 30, **{k: 50 for k in range(100, 140)}}
 
 
 def test_stream_equals_batch(spark, tmp_path):
