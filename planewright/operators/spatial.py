@@ -130,11 +130,15 @@ def first_hits(hits: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return ranked.filter(F.col("__r") <= n).drop("__r")
 
 
-def _refined(placed: DataFrame, todo: DataFrame, side: float, step: int) -> DataFrame:
-    """Pairs of boxes of points on a grid four times finer than that of ``todo``, the pairs still open."""
+#: Pairs of points that two boxes may have for all of them to be looked at; and the step of a grid on which points in different places have boxes of their own.
+PAIRS, APART = 256, 26
+
+
+def _refined(placed: DataFrame, todo: DataFrame, side: float, step: int, finer: int) -> DataFrame:
+    """Pairs of boxes of points on the grid of step ``finer`` in place of ``todo``, the pairs still open on that of ``step``."""
     grid = lambda n, names: {c: F.floor(F.col(v) / side * 4.0**n).cast("decimal(38,0)") for c, v in zip(names, "xy", strict=True)}
     own = todo.select(F.explode(F.array(*(F.struct(*(F.col(f"{n}_{c}").alias(c) for c in ("cx", "cy", "bx", "by"))) for n in "ab"))).alias("k")).select("k.*").distinct()
-    parts = placed.withColumns(grid(step, ("nx", "ny"))).withColumns(grid(step - 1, ("bx", "by"))).join(own, ["cx", "cy", "bx", "by"], "left_semi")
+    parts = placed.withColumns(grid(finer, ("nx", "ny"))).withColumns(grid(step, ("bx", "by"))).join(own, ["cx", "cy", "bx", "by"], "left_semi")
     boxes = parts.groupBy("cx", "cy", "bx", "by", "nx", "ny").agg(*_extent())
     for n in "ab":
         todo = todo.join(boxes.select(*(F.col(c).alias(f"{n}_{c}") for c in boxes.columns)), [f"{n}_{c}" for c in ("cx", "cy", "bx", "by")])
@@ -142,14 +146,14 @@ def _refined(placed: DataFrame, todo: DataFrame, side: float, step: int) -> Data
 
 
 def _extent() -> list[Column]:
-    return [F.min("x").alias("lx"), F.min("y").alias("ly"), F.max("x").alias("hx"), F.max("y").alias("hy")]
+    return [F.min("x").alias("lx"), F.min("y").alias("ly"), F.max("x").alias("hx"), F.max("y").alias("hy"), F.count("*").alias("n")]
 
 
 def _judged(pairs: DataFrame, eps: float) -> DataFrame:
     """Pairs of boxes (a_lx .. b_hy) that may hold points within eps, and in ``sure`` whether all of theirs are."""
     gap = "sqrt(pow(greatest(0D, a_lx - b_hx, b_lx - a_hx), 2) + pow(greatest(0D, a_ly - b_hy, b_ly - a_hy), 2))"
     span = "sqrt(pow(greatest(a_hx - b_lx, b_hx - a_lx), 2) + pow(greatest(a_hy - b_ly, b_hy - a_ly), 2))"
-    kept = ["a_root", "b_root", "sure", *(f"{n}_{c}" for n in "ab" for c in ("cx", "cy", "bx", "by"))]
+    kept = ["a_root", "b_root", "sure", (F.col("a_n") * F.col("b_n") <= PAIRS).alias("few"), *(f"{n}_{c}" for n in "ab" for c in ("cx", "cy", "bx", "by"))]
     return cut(pairs.filter(F.expr(gap) <= eps).withColumn("sure", F.expr(span) <= eps).select(*kept))
 
 
@@ -159,7 +163,8 @@ def welded(points: DataFrame, eps: float, pid: str = "id", p: str = "p") -> Data
     The points of a cell whose diagonal is eps are one cluster to begin with, so only cells are
     linked, with the twenty cells within reach of each. The boxes round the points of two cells tell
     most links: they are near enough throughout, or too far throughout. What they leave open goes to
-    a grid four times finer, until a link is found or none can be; no step lists pairs of points.
+    a grid four times finer, until a link is found or none can be; only boxes of a few points have
+    all their pairs looked at.
     Points without a coordinate stay alone.
     """
     rows = points.select(F.col(pid).alias("id"), F.col(f"{p}.x").alias("x"), F.col(f"{p}.y").alias("y"))
@@ -176,15 +181,16 @@ def welded(points: DataFrame, eps: float, pid: str = "id", p: str = "p") -> Data
     a, b = (cells.select(*(F.col(c).alias(f"{n}_{c}") for c in cells.columns)) for n in "ab")
     a = a.withColumn("o", offset).withColumns({"b_cx": F.col("a_cx") + F.col("o.i"), "b_cy": F.col("a_cy") + F.col("o.j")}).drop("o")
     pairs = _judged(a.join(b, ["b_cx", "b_cy"]).withColumns({f"{n}_b{v}": F.col(f"{n}_c{v}").cast("decimal(38,0)") for n in "ab" for v in "xy"}), eps)
-    links, step = [], 0
-    while True:
-        sure = pairs.filter("sure").select("a_root", "b_root").distinct()
-        links.append(sure)
-        todo = pairs.filter("NOT sure").join(sure, ["a_root", "b_root"], "left_anti").drop("sure")
-        if todo.isEmpty():
-            break
-        step += 1
-        pairs = _judged(_refined(placed, todo, side, step), eps)
+    links, pending = [], {0: pairs}
+    while pending:
+        step = min(pending)
+        pairs = pending.pop(step)
+        links.append(pairs.filter("sure").select("a_root", "b_root").distinct())
+        todo = cut(pairs.filter("NOT sure").join(reduce(DataFrame.unionByName, links).distinct(), ["a_root", "b_root"], "left_anti").drop("sure"))
+        for part, finer in ((todo.filter("few"), max(APART, step + 1)), (todo.filter("NOT few"), step + 1)):
+            if not part.isEmpty():
+                more = _judged(_refined(placed, part.drop("few"), side, step, finer), eps)
+                pending[finer] = pending[finer].unionByName(more) if finer in pending else more
     label = components(reduce(DataFrame.unionByName, links).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     roots = cells.join(label, cells["root"] == label["node"], "left").select("cx", "cy", F.coalesce(label["root"], cells["root"]).alias("cluster"))
     found = placed.join(roots, ["cx", "cy"]).select("id", "cluster")

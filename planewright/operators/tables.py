@@ -12,6 +12,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, for work on single rows that costs far more than the shuffle."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, idx, x, y): hours since 2024-01-01 and value, in order of time."""
     e = read(spark, sf_dir, "events")

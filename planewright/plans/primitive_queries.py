@@ -19,7 +19,7 @@ from planewright.functions import geometry as G
 from planewright.functions import lines as L
 from planewright.functions import maps as M
 from planewright.functions import space as V
-from planewright.operators.tables import SQL, points
+from planewright.operators.tables import SQL, points, spread
 from planewright.plans.registry import query
 
 ABCD = f"WITH {SQL}, z AS (SELECT id, e[1] AS a1, e[2] AS a2, e[3] AS b1, e[4] AS b2, e[5] AS c1, e[6] AS c2, e[7] AS d1, e[8] AS d2 FROM pts)"
@@ -29,14 +29,15 @@ def squashed(x: Column) -> Column:
     return F.round(x / (1 + F.abs(x)), 6) + F.lit(0.0)
 
 
-def family(name: str, sql: dict[str, str], frames: str = "", source: str = "z"):
-    """Register a query of measures by name; names with n_ and is_ are counts and truth values, all others numbers."""
+def family(name: str, sql: dict[str, str], frames: str = "", source: str = "z", heavy: bool = False):
+    """Register a query of measures by name; names with n_ and is_ are counts and truth values, all others numbers. ``heavy`` ones have their rows spread."""
     text = ", ".join(f"{x} AS {k}" if k[:2] == "n_" or k[:3] == "is_" else f"round(({x}) / (1 + abs({x})), 6) + 0.0 AS {k}" for k, x in sql.items())
 
     def add(measures: Callable[..., dict[str, Column]]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             e = F.col("e")
-            held = [points(spark, sf_dir).select("id", *(G.point(e[2 * k], e[2 * k + 1]).alias(n) for k, n in enumerate("abcd")))]
+            rows = points(spark, sf_dir).select("id", "e")
+            held = [(spread(rows) if heavy else rows).select("id", *(G.point(e[2 * k], e[2 * k + 1]).alias(n) for k, n in enumerate("abcd")))]
 
             def keep(value: Column, name: str = "") -> Column:
                 """A column of its own, so that what follows names it instead of repeating it."""

@@ -11,7 +11,7 @@ from planewright.operators import per_geometry as P
 from planewright.operators import neighbours as B
 from planewright.operators import spatial as S
 from planewright.operators.hulls import hulls
-from planewright.operators.tables import SQL, points, polylines, read, trajectories
+from planewright.operators.tables import SQL, points, polylines, read, spread, trajectories
 from planewright.operators.triangulation import delaunay_triangles
 from planewright.plans.registry import query
 
@@ -466,7 +466,7 @@ def poisson_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
                 p = K.poisson_disk(8.0 + nation % 5, 8.0 + nation % 3, 1.0, 30, int(key))
                 yield pd.DataFrame({"s_suppkey": int(key), "k": range(len(p)), "x": p[:, 0], "y": p[:, 1]})
 
-    return read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").mapInPandas(domains, "s_suppkey long, k long, x double, y double")
+    return spread(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")).mapInPandas(domains, "s_suppkey long, k long, x double, y double")
 
 
 @query("sdf_grid", f"""{W}, g AS (SELECT id, x, y, 0.1 + abs(e[3]) AS r FROM pts) SELECT id, round(sqrt(x*x+y*y) - r, 6) + 0.0 AS circle, round(sqrt(greatest(abs(x)-r, 0)**2+greatest(abs(y)-r, 0)**2) + least(greatest(abs(x)-r, abs(y)-r), 0), 6) + 0.0 AS square FROM g""")

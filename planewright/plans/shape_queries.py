@@ -19,7 +19,7 @@ from planewright.functions import spline_pieces as B
 from planewright.operators import hulls as H
 from planewright.operators import per_geometry as P
 from planewright.operators.raster import field_with
-from planewright.operators.tables import points, polylines
+from planewright.operators.tables import points, polylines, spread
 from planewright.operators.triangulation import delaunay_triangles, edges_of, has_corner, voronoi_cells
 from planewright.plans.kernel_queries import _LH, _LW, _SECOND, _SUM, _TURN
 from planewright.plans.primitive_queries import _CROSS, family
@@ -153,7 +153,7 @@ _IN = lambda d: f"(greatest(0, {_LW}/2-2*{d})*greatest(0, {_LH}-2*{d})+greatest(
 _GROWN = lambda d: f"(({_LW}+2*{d})*({_LH}+2*{d})-({_LW}*{_LH}/4))"
 
 
-@family("offsets_of_ells", {"narrow": _IN("0.04"), "wide": _IN("0.12"), "gone": "0", "grown": _GROWN("0.1"), "cut": f"{_GROWN('0.1')}-0.5*0.01", "round": f"{_LW}*{_LH}*0.75+0.1*2*({_LW}+{_LH})+5*18*0.5*0.01*sin(pi()/36)-0.01", "frame": f"{_GROWN('0.04')}-{_IN('0.04')}"})
+@family("offsets_of_ells", {"narrow": _IN("0.04"), "wide": _IN("0.12"), "gone": "0", "grown": _GROWN("0.1"), "cut": f"{_GROWN('0.1')}-0.5*0.01", "round": f"{_LW}*{_LH}*0.75+0.1*2*({_LW}+{_LH})+5*18*0.5*0.01*sin(pi()/36)-0.01", "frame": f"{_GROWN('0.04')}-{_IN('0.04')}"}, heavy=True)
 def _(keep, a, b, c, d):
     """L-shaped rings moved in, past what they hold, and out with mitred, cut and round corners; and drawn with a width."""
     ell = keep(_ell(a, b))
@@ -162,7 +162,7 @@ def _(keep, a, b, c, d):
             "cut": area(lambda p: O.area(O.offset(p, 0.1, "bevel")) + 0.02), "round": area(lambda p: O.area(O.offset(p, 0.1, "round", tolerance=1e-4))), "frame": area(lambda p: O.area(O.stroked_ring(p, 0.08)))}
 
 
-@family("sums_of_ells", {"area": f"({_LW}+abs(c1)+0.1)*({_LH}/2+abs(c2)+0.1)+({_LW}/2+abs(c1)+0.1)*({_LH}+abs(c2)+0.1)-({_LW}/2+abs(c1)+0.1)*({_LH}/2+abs(c2)+0.1)", "doubled": f"13/4.0::DOUBLE*{_LW}*{_LH}", "n_rings": "1"})
+@family("sums_of_ells", {"area": f"({_LW}+abs(c1)+0.1)*({_LH}/2+abs(c2)+0.1)+({_LW}/2+abs(c1)+0.1)*({_LH}+abs(c2)+0.1)-({_LW}/2+abs(c1)+0.1)*({_LH}/2+abs(c2)+0.1)", "doubled": f"13/4.0::DOUBLE*{_LW}*{_LH}", "n_rings": "1"}, heavy=True)
 def _(keep, a, b, c, d):
     """Minkowski sums of L-shaped rings with a box and with themselves."""
     ell = keep(_ell(a, b))
@@ -174,7 +174,7 @@ def _(keep, a, b, c, d):
 _NEAR, _SLOPE = "(0.2+0.3*abs(a1)/(1+abs(a1)))", "(abs(b1)/(1+abs(b1))+0.01)"
 
 
-@family("sight_with_obstacles", {"area": f"4-{_SLOPE}*(1-{_NEAR}**2)", "twice": f"4-2*{_SLOPE}*(1-{_NEAR}**2)", "whole": "4"})
+@family("sight_with_obstacles", {"area": f"4-{_SLOPE}*(1-{_NEAR}**2)", "twice": f"4-2*{_SLOPE}*(1-{_NEAR}**2)", "whole": "4"}, heavy=True)
 def _(keep, a, b, c, d):
     """What the middle of a square sees round a block, round two of them, and round none."""
     near, slope = 0.2 + 0.3 * F.abs(a.x) / (1 + F.abs(a.x)), F.abs(b.x) / (1 + F.abs(b.x)) + 0.01
@@ -188,7 +188,7 @@ def _(keep, a, b, c, d):
 _LONG, _SHORT = "(greatest(abs(a1), abs(b1)+0.1)+0.2)", "(least(abs(a1), abs(b1)+0.1)+0.1)"
 
 
-@family("skeletons_of_boxes", {"length": f"2*sqrt(2::DOUBLE)*{_SHORT}+{_LONG}-{_SHORT}", "height": f"{_SHORT}/2", "n_nodes": "6", "ridge": f"{_LONG}-{_SHORT}", "side": f"{_SHORT}*{_SHORT}/4", "n_arcs": "1"})
+@family("skeletons_of_boxes", {"length": f"2*sqrt(2::DOUBLE)*{_SHORT}+{_LONG}-{_SHORT}", "height": f"{_SHORT}/2", "n_nodes": "6", "ridge": f"{_LONG}-{_SHORT}", "side": f"{_SHORT}*{_SHORT}/4", "n_arcs": "1"}, heavy=True)
 def _(keep, a, b, c, d):
     """Straight skeletons of boxes: a ridge and four ways to the corners; the pruned one is the ridge."""
     u, v, z = F.greatest(F.abs(a.x), F.abs(b.x) + 0.1) + 0.2, F.least(F.abs(a.x), F.abs(b.x) + 0.1) + 0.1, F.lit(0.0)
@@ -209,15 +209,19 @@ def _rings_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = p.mean(0)
         return p[np.argsort(np.arctan2(p[:, 1] - c[1], p[:, 0] - c[0]), kind="stable")]
 
-    return polylines(spark, sf_dir).select("user_id", P.made("points", swept, "line").alias("ring"))
+    return spread(polylines(spark, sf_dir)).select("user_id", P.made("points", swept, "line").alias("ring"))
 
 
 @query("skeletons_of_users", f"{_SWEPT} SELECT user_id, count(*) AS n_corners, round(sum(x*ny-nx*y)/2 / 1000, 4) AS swept, true AS is_tree FROM v GROUP BY 1")
 def skeletons_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Straight skeletons of users' concave rings: the parts that their edges sweep make up the ring."""
-    r = _rings_of_users(spark, sf_dir)
-    s = r.select("user_id", F.size("ring").cast("long").alias("n_corners"), P.made("double", lambda p: S.face_areas(p, S.straight_skeleton(p)).sum(), "ring").alias("swept"), P.made("boolean", lambda p: len((s := S.straight_skeleton(p)).arcs) == len(s.nodes) - 1, "ring").alias("is_tree"))
-    return s.select("user_id", "n_corners", F.round(F.col("swept") / 1000, 4).alias("swept"), "is_tree")
+
+    def measures(p: np.ndarray) -> tuple[float, float]:
+        s = S.straight_skeleton(p)
+        return S.face_areas(p, s).sum(), len(s.arcs) == len(s.nodes) - 1
+
+    s = _rings_of_users(spark, sf_dir).select("user_id", F.size("ring").cast("long").alias("n_corners"), P.measured("ring", measures, ["swept", "tree"]).alias("m"))
+    return s.select("user_id", "n_corners", F.round(F.col("m.swept") / 1000, 4).alias("swept"), (F.col("m.tree") > 0).alias("is_tree"))
 
 
 @query("medial_axes_of_users")  # circles inside the ring, held against the boundary in tests
@@ -233,7 +237,7 @@ def medial_axes_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("user_id", F.col("a.n_nodes").cast("long").alias("n_nodes"), F.round("a.length", 3).alias("length"), F.round("a.radius", 3).alias("radius"))
 
 
-@family("fewest_parts", {"n_parts": f"CASE WHEN ({_CROSS}) OR ({_SECOND}) THEN -1 WHEN {' + '.join(f'({t} * {_SUM} < 0)::INTEGER' for t in _TURN.values())} = 0 THEN 1 ELSE 2 END", "n_ell": "2", "area": f"0.75*{_LW}*{_LH}"})
+@family("fewest_parts", {"n_parts": f"CASE WHEN ({_CROSS}) OR ({_SECOND}) THEN -1 WHEN {' + '.join(f'({t} * {_SUM} < 0)::INTEGER' for t in _TURN.values())} = 0 THEN 1 ELSE 2 END", "n_ell": "2", "area": f"0.75*{_LW}*{_LH}"}, heavy=True)
 def _(keep, a, b, c, d):
     """Convex decompositions of four-point and L-shaped rings with the fewest parts."""
     ring, ell = keep(F.array(a, b, c, d)), keep(_ell(a, b))
@@ -264,7 +268,7 @@ _LOW = f"least({_end('least', 'a1', 'b1', '(b1+c1)/2')}, {_end('least', '(b1+c1)
 _HIGH = f"greatest({_end('greatest', 'a2', 'b2', '(b2+c2)/2')}, {_end('greatest', '(b2+c2)/2', 'c2', 'd2')})"
 
 
-@family("spline_lengths", {"length": _LENGTH, "low_x": _LOW, "high_y": _HIGH, "control_x": "least(a1, b1, c1, d1)", "n_pieces": "2", "slope_x": "2*(c1-b1)*0.7::DOUBLE+2*(d1-c1)*0.3::DOUBLE-(c1-b1)*0.7::DOUBLE", "straight": "sqrt((b1-a1)**2+(b2-a2)**2)+sqrt((c1-b1)**2+(c2-b2)**2)+sqrt((d1-c1)**2+(d2-c2)**2)", "n_out": "1", "turned": "pi()/2"})
+@family("spline_lengths", {"length": _LENGTH, "low_x": _LOW, "high_y": _HIGH, "control_x": "least(a1, b1, c1, d1)", "n_pieces": "2", "slope_x": "2*(c1-b1)*0.7::DOUBLE+2*(d1-c1)*0.3::DOUBLE-(c1-b1)*0.7::DOUBLE", "straight": "sqrt((b1-a1)**2+(b2-a2)**2)+sqrt((c1-b1)**2+(c2-b2)**2)+sqrt((d1-c1)**2+(d2-c2)**2)", "n_out": "1", "turned": "pi()/2"}, heavy=True)
 def _(keep, a, b, c, d):
     """Open quadratic splines of four points as two Bezier curves; lengths of a line's and of a quarter circle's spline."""
     p = keep(F.array(a, b, c, d))
