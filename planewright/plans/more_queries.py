@@ -10,7 +10,6 @@ from planewright.functions import geometry as G
 from planewright.functions import sight as V
 from planewright.operators import per_geometry as P
 from planewright.operators.tables import points, polylines
-from planewright.operators.triangulation import delaunay_triangles
 from planewright.plans.queries import _T, W, _at, _e, _hull_rings, r6
 from planewright.plans.registry import query
 
@@ -72,14 +71,6 @@ def fit_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("user_id", F.size("c").alias("n_control"), F.round(F.col("c")[1].x, 3).alias("x1"), F.round(F.col("c")[2].x, 3).alias("x2"))
 
 
-@query("voronoi_vertices")
-def voronoi_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centres of the circles round the Delaunay triangles of each label's points."""
-    t = delaunay_triangles(points(spark, sf_dir), "label")
-    c = G.circumcircle(*(G.point(F.col(f"{k}x"), F.col(f"{k}y")) for k in "abc"))
-    return t.select("label", "a", "b", "c", r6(c.center.x).alias("x"), r6(c.center.y).alias("y"))
-
-
 @query("visibility_area", f"{W} SELECT label, true AS whole FROM pts GROUP BY 1")
 def visibility_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From its centroid the whole of a convex ring is seen."""

@@ -22,7 +22,7 @@ from planewright.operators.raster import field_with
 from planewright.operators.tables import points, polylines, spread
 from planewright.operators.triangulation import delaunay_triangles, edges_of, has_corner, voronoi_cells
 from planewright.plans.kernel_queries import _LH, _LW, _SECOND, _SUM, _TURN
-from planewright.plans.primitive_queries import _CROSS, family
+from planewright.plans.primitive_queries import _CROSS, family, squashed
 from planewright.plans.queries import _HULL, W, r6
 from planewright.plans.registry import ORACLES, query
 
@@ -47,6 +47,19 @@ def delaunay_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(around.withColumnRenamed("k", "a"), ["label", "a"]).select("label", "a", "b", "n_around")
 
 
+_BY = "((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x))*2"
+
+
+@query("voronoi_vertices", f"""{W}, t AS (SELECT * FROM ({ORACLES['delaunay_by_label'].removeprefix(W)})),
+ v AS (SELECT t.*, a.x + ((c.y-a.y)*((b.x-a.x)**2+(b.y-a.y)**2)-(b.y-a.y)*((c.x-a.x)**2+(c.y-a.y)**2))/({_BY}) AS x, a.y + ((b.x-a.x)*((c.x-a.x)**2+(c.y-a.y)**2)-(c.x-a.x)*((b.x-a.x)**2+(b.y-a.y)**2))/({_BY}) AS y FROM t JOIN pts a ON t.a = a.id JOIN pts b ON t.b = b.id JOIN pts c ON t.c = c.id)
+ SELECT label, a, b, c, round(x/(1+abs(x)), 6) + 0.0 AS x, round(y/(1+abs(y)), 6) + 0.0 AS y FROM v""")
+def voronoi_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres of the circles round each label's triangles, compared as x / (1 + |x|)."""
+    t = delaunay_triangles(points(spark, sf_dir), "label")
+    v = t.withColumn("v", G.circumcircle(*(G.point(F.col(f"{k}x"), F.col(f"{k}y")) for k in "abc")).center)
+    return v.select("label", "a", "b", "c", squashed(F.col("v.x")).alias("x"), squashed(F.col("v.y")).alias("y"))
+
+
 _ALL = _HULL.replace("SELECT a.label, a.id", "SELECT 0 AS label, a.id").replace("ON a.label = b.label AND ", "ON ").replace("WHERE c.label = a.label AND ", "WHERE ")
 
 
