@@ -74,7 +74,7 @@ def clouds():
     yield "parabola", np.stack([(x := np.linspace(-3, 3, 400)), x * x], 1)
 
 
-@pytest.mark.parametrize("name,p", clouds(), ids=lambda x: x if isinstance(x, str) else "")
+@pytest.mark.parametrize("name,p", list(clouds()), ids=lambda x: x if isinstance(x, str) else "")
 def test_tiles(spark, name, p):
     rows = [(1, i, float(x), float(y)) for i, (x, y) in enumerate(p)]
     rows += [(2, i, float(x), float(y)) for i, (x, y) in enumerate(p[:40])] + [(1, 5000, *map(float, p[0])), (None, 1, 0.0, 0.0), (3, 1, None, 1.0), (3, 2, 1.0, 1.0), (3, 3, 2.0, 2.0), (3, 4, 3.0, 3.0)]
