@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewright.llm.common import SPACED, dropped, mix, sections, text_of, words, written
+from planewright.llm.common import HOT, HOT_ROWS, SPACED, dropped, mix, sections, text_of, with_keys, words, written
 from planewright.llm.tokens import utf8
 
 #: Slots of a signature, and of a band. A pair at 0.8 shares no band once in 10**7.
@@ -178,7 +178,8 @@ def contracted(links: DataFrame) -> DataFrame:
     """(node, root) of connected components over links (a, b); the root is the smallest node.
 
     Tasks first run union-find over the links they hold; then large-star and small-star steps, each
-    a grouping with a small table out, go on until nothing changes.
+    a grouping with a small table out, go on until nothing changes. Nodes with a large share of all
+    links are broadcast with their new neighbour, so that their links stay where they are.
     """
 
     def local(batches: Iterator) -> Iterator:
@@ -202,25 +203,44 @@ def contracted(links: DataFrame) -> DataFrame:
         for lo in range(0, len(rows), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[lo : lo + 50_000]], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, total: int) -> DataFrame:
         """Each node's neighbours hang on the smallest of them: the larger neighbours, or those not larger and itself."""
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        hung = both.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        hung = with_keys(both, least, "a", total) if total > HOT_ROWS else both.join(least.drop("n"), "a")
         if large:
             return hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         return hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
+    def mark(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     edges = written(links.select("a", "b").mapInArrow(local, "a long, b long"), "links")
+    now = mark(edges)
     while True:
-        after = written(star(star(edges, True), False), "links")
-        same = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        after = written(star(star(edges, True, 2 * now[0]), False, 2 * now[0]), "links")
         dropped(links.sparkSession, edges.inputFiles()[0].rpartition("/")[0]) if edges.inputFiles() else None
-        edges = after
-        if same:
+        edges, before, now = after, now, mark(after)
+        if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame, node: str, other: str, text: str, total: int) -> DataFrame:
+    """``pairs`` with the texts of their column ``node``.
+
+    Nodes with a large share of all pairs (fewer than HOT; their numbers alone are broadcast) take
+    several tasks: pairs are dealt by ``other``, and the text goes to each of the tasks.
+    """
+    bound = max(HOT_ROWS, total // HOT)
+    texts = texts.select(F.col("node").alias(node), F.col("text").alias(text))
+    if total <= bound:
+        return pairs.join(texts, node)
+    hot = F.broadcast(pairs.groupBy(node).agg(F.count("*").alias("n")).filter(F.col("n") > bound).select(node, F.ceil(F.col("n") / bound).cast("int").alias("parts")))
+    dealt = pairs.join(hot, node, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    spread = texts.join(hot, node, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(spread, [node, "part"]).drop("part")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of documents in ``texts`` whose full sets are similar."""
 
@@ -232,9 +252,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             ok = [similar(*(s[e[k] : e[k + 1]] for s, e in sets), percent) for k in range(len(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    total = pairs.count()
+    both = _with_texts(_with_texts(pairs, texts, "b", "a", "tb", total), texts, "a", "b", "ta", total)
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _finer(texts: DataFrame, shingle: int) -> DataFrame:
@@ -261,12 +281,14 @@ def _left_over(members: DataFrame, classes: DataFrame, roots: DataFrame, best: b
     blocks meet in one task. ``best`` gives only the closest pair of each two components in a group.
     """
     now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    held = now.join(mixed, "band")
+    total = members.count()
+    mixed = now.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "n")
+    held = with_keys(now, mixed, "band", total)
     step = float(np.log(100 / percent))
     held = held.withColumn("size_class", F.floor(F.log("n_shingles") / step).cast("long")).withColumn("size_class", F.explode(F.array("size_class", F.col("size_class") + 1)))
-    counts = held.groupBy("band", "size_class").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    held = held.join(counts.select("band", "size_class", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")), ["band", "size_class"])
+    held = held.withColumn("cell", F.struct("band", "size_class"))
+    counts = held.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    held = with_keys(held, counts.select("cell", "n", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")), "cell", 2 * total)
     held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("band", "size_class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band_no", "node", "root", "n_shingles")
@@ -335,10 +357,10 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     spark = docs.sparkSession
     sketches = written(sketch(docs, id_column, text_column, shingle), "sketch")
     real = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(real.groupBy("class_id").agg(F.min("doc_id").cast("long").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("slots").alias("slots")), "classes")
+    classes = written(real.groupBy("class_id").agg(F.min("doc_id").cast("long").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("slots").alias("slots"), F.count("*").alias("n")), "classes")
     spread = classes.select(F.posexplode("bands").alias("band_no", "band"), "node", "n_shingles")
-    shared = spread.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1").select("band", "centre")
-    members = written(spread.join(shared, "band"), "members")
+    shared = written(spread.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1"), "shared")
+    members = written(with_keys(spread, shared, "band", classes.count() * SLOTS // BAND), "members")
 
     # the texts that checks may need; joined by node, so that repeated rows fall together without a further shuffle
     whole = docs.select(F.col(id_column).cast("long").alias("node"), text_of(text_column).alias("text"))
@@ -358,9 +380,10 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         new = written(_verified(pairs, texts, shingle, percent), "verified")
         links = new if links is None else links.unionByName(new)
         roots = contracted(links)
-    named = classes.select("class_id", "node").join(roots, "node", "left").select("class_id", F.coalesce("root", "node").alias("root"))
-    out = sketches.select("doc_id", "n_shingles", "class_id").join(named, "class_id", "left")
-    return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id").cast("long")).alias("component_id"))
+    named = written(classes.select("class_id", "node", "n").join(roots, "node", "left").select("class_id", "n", F.coalesce("root", "node").alias("component_id")), "named")
+    linked = with_keys(real.select("doc_id", "n_shingles", "class_id"), named, "class_id", sketches.count()).drop("class_id")
+    alone = sketches.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").cast("long").alias("component_id"))
+    return linked.unionByName(alone)
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -276,6 +276,32 @@ def test_near_duplicates(docs, none):
     assert minhash.groups(none).count() == 0
 
 
+def test_near_duplicates_round_hubs(spark, monkeypatch):
+    """Large groups round one text, copies of one text and a chain, with every key of two rows or more treated as crowded."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aeioustrnl") for _ in range(5))
+    base = [word() for _ in range(90)]
+    texts = [" ".join(base)] * 25
+    for _ in range(60):
+        one = list(base)
+        for at in r.sample(range(90), r.choice((1, 1, 2, 6))):
+            one[at] = word()
+        texts.append(" ".join(one))
+    chain = [word() for _ in range(70)]
+    for _ in range(12):
+        chain = [*chain[2:], word(), word()]
+        texts.append(" ".join(chain))
+    rows = [(d, t, "", "", 0) for d, t in enumerate([*texts, *(" ".join(word() for _ in range(40)) for _ in range(6)), "", None])]
+    r.shuffle(rows)
+    want = plain_groups(rows, 4)
+    table = spark.createDataFrame([(d, t) for d, t, *_ in rows], "doc_id long, text string").repartition(5)
+    for hot, members in ((8192, 1024), (1, 8)):
+        for module in (common, minhash):
+            monkeypatch.setattr(module, "HOT_ROWS", hot)
+        monkeypatch.setattr(minhash, "MEMBERS", members)
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash.groups(table, shingle=4).collect()} == want
+
+
 def test_superminhash_equals_definition():
     sets = [np.unique(np.random.default_rng(k).integers(0, 1 << 62, n).astype(np.uint64)) for k, n in enumerate((1, 3, 200, 900))]
     borders = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
