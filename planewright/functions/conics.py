@@ -239,12 +239,14 @@ def ellipse_segment(e: Column, s: Column) -> Column:
     return _hits(e, L.line_of_segment(s), lambda t: t.between(0, 1))
 
 
-def ellipse_crossings(e: Column, o: Column, samples: int = 64, rounds: int = 40) -> Column:
+def ellipse_crossings(e: Column, o: Column, samples: int = 64, rounds: int = 40, close: bool = False) -> Column:
     """Points in which two ellipses cross, found along the first one.
 
     The level of the second ellipse changes its sign between neighbouring samples of the first; each
-    change is halved down. Touches without a crossing, and pairs of crossings closer than a sample
-    step, aren't found.
+    change is halved down. Touches without a crossing aren't found, nor are pairs of crossings closer
+    than a sample step unless ``close`` is set: then, where the level comes nearest to zero without a
+    change, its turning point is looked for; if that lies beyond zero, there is a change on either
+    side of it.
     """
     width = 2 * math.pi / samples
     # a point of the first ellipse in the frame of the second: sums of cosine and sine with fixed weights
@@ -254,7 +256,27 @@ def ellipse_crossings(e: Column, o: Column, samples: int = 64, rounds: int = 40)
     def found(k: Column) -> Column:
         level = lambda t: F.pow(k.x0 + k.x1 * F.cos(t) + k.x2 * F.sin(t), F.lit(2.0)) + F.pow(k.y0 + k.y1 * F.cos(t) + k.y2 * F.sin(t), F.lit(2.0)) - 1
         samples_ = F.transform(F.sequence(F.lit(0), F.lit(samples)), lambda i: F.struct((i * width).alias("t"), level(i * width).alias("v")))
-        starts = let(samples_, lambda s: F.filter(F.transform(F.slice(s, 1, samples), lambda x, i: F.struct(x.t.alias("t"), x.v.alias("v"), s[i + 1].v.alias("w"))), lambda x: x.v * x.w < 0))
+        part = lambda lo, hi, v: F.struct(lo.alias("lo"), hi.alias("hi"), v.alias("v"))
+        three = lambda s: F.transform(F.slice(s, 1, samples), lambda x, i: F.struct(x.t.alias("t"), s[F.when(i == 0, samples - 1).otherwise(i - 1)].v.alias("u"), x.v.alias("v"), s[i + 1].v.alias("w")))
+        changes = lambda s: F.transform(F.filter(s, lambda x: x.v * x.w < 0), lambda x: part(x.t, x.t + width, x.v))
+        turns = lambda s: F.filter(s, lambda x: (x.u * x.v > 0) & (x.v * x.w > 0) & (F.abs(x.v) <= F.abs(x.u)) & (F.abs(x.v) < F.abs(x.w)))
+
+        def turning(x: Column) -> Column:
+            """The turning point nearest to zero between the samples beside x, by thirds."""
+
+            def step(s: Column, _: Column) -> Column:
+                third = (s.hi - s.lo) / 3
+                right = F.abs(level(s.lo + third) + s.v) > F.abs(level(s.hi - third) + s.v)  # v keeps the sum's sign where the level passes zero
+                return F.struct(F.when(right, s.lo + third).otherwise(s.lo).alias("lo"), F.when(right, s.hi).otherwise(s.hi - third).alias("hi"), s.v.alias("v"))
+
+            start = F.struct((x.t - width).alias("lo"), (x.t + width).alias("hi"), x.v.alias("v"))
+            return F.aggregate(F.array_repeat(F.lit(0), rounds), start, step, lambda s: (s.lo + s.hi) / 2)
+
+        def both(x: Column) -> Column:
+            at = lambda m: F.when(level(m) * x.v < 0, F.array(part(x.t - width, m, x.v), part(m, x.t + width, level(m)))).otherwise(F.filter(F.array(part(m, m, x.v)), lambda _: F.lit(False)))
+            return let(turning(x), at)
+
+        starts = let(let(samples_, three), lambda s: F.concat(changes(s), F.flatten(F.transform(turns(s), both))) if close else changes(s))
 
         def root(x: Column) -> Column:
             def step(s: Column, _: Column) -> Column:
@@ -262,18 +284,17 @@ def ellipse_crossings(e: Column, o: Column, samples: int = 64, rounds: int = 40)
                 left = s.v * level(m) <= 0  # the level at the lower end keeps its sign
                 return F.struct(F.when(left, s.lo).otherwise(m).alias("lo"), F.when(left, m).otherwise(s.hi).alias("hi"), s.v.alias("v"))
 
-            start = F.struct(x.t.alias("lo"), (x.t + width).alias("hi"), x.v.alias("v"))
-            return F.aggregate(F.array_repeat(F.lit(0), rounds), start, step, lambda s: (s.lo + s.hi) / 2)
+            return F.aggregate(F.array_repeat(F.lit(0), rounds), x, step, lambda s: (s.lo + s.hi) / 2)
 
-        return F.transform(F.transform(starts, root), lambda t: ellipse_point(e, t))
+        return F.transform(F.array_sort(F.transform(starts, root)), lambda t: ellipse_point(e, t))
 
     return let(F.struct(*weights), found)
 
 
 def ellipse_circle(e: Column, c: Column, samples: int = 64) -> Column:
-    return ellipse_crossings(e, ellipse_of_circle(c), samples)
+    return ellipse_crossings(e, ellipse_of_circle(c), samples, close=True)
 
 
 def ellipses_meet(e: Column, o: Column, samples: int = 64) -> Column:
     """Whether the areas of two ellipses share a point: a crossing, or the centre of one in the other."""
-    return (F.size(ellipse_crossings(e, o, samples)) > 0) | ellipse_holds(e, o.center) | ellipse_holds(o, e.center)
+    return (F.size(ellipse_crossings(e, o, samples, close=True)) > 0) | ellipse_holds(e, o.center) | ellipse_holds(o, e.center)
