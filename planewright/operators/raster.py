@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planewright.functions import geometry as G
@@ -65,41 +65,69 @@ def chamfer_row(xs: np.ndarray, vs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _transform(cells: DataFrame, along: Callable[[np.ndarray, np.ndarray], np.ndarray], feature: str, out: str) -> DataFrame:
-    """In two passes: the nearest feature in each cell's column (two windows), then the best column of each row.
+def _flat(rows: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """The fields of a batch of arrays of structs from end to end, and where each row begins and the last ends."""
+    return [f.to_numpy(zero_copy_only=False) for f in rows.flatten().flatten()], np.append(0, np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False)))
+
+
+def _lists(names: list[str], columns: list[np.ndarray], bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in columns], names))
+
+
+def _steps(ys: np.ndarray, marked: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How far each cell is from the nearest marked one of its column, -1 without any; columns lie end to end, each in order."""
+    n, far = len(ys), np.iinfo(np.int64).max
+    own = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = np.arange(n)
+    before = np.maximum.accumulate(np.where(marked, at, -1)) if n else at
+    after = np.minimum.accumulate(np.where(marked, at, n)[::-1])[::-1] if n else at
+    down = np.where(before >= bounds[own], ys - ys[np.maximum(before, 0)], far)
+    up = np.where(after < bounds[own + 1], ys[np.minimum(after, n - 1)] - ys, far)
+    steps = np.minimum(down, up)
+    return np.where(steps == far, -1, steps)
+
+
+def _transform(cells: DataFrame, along: Callable[[np.ndarray, np.ndarray], np.ndarray], marks: list[Column]) -> DataFrame:
+    """(grid_id, gx, gy, d0, ...): in two passes the nearest marked cell in each cell's column, then the best column of each row, for every mark at once.
 
     ``along`` gives the distances of a row's cells from their places and their columns' steps.
-    Cells of a raster without a feature have null. A task holds one row of one raster at a time.
+    Cells of a raster without a marked one have null. A task holds a batch of columns or rows of
+    rasters at a time; whole columns and rows go through the shuffles.
     """
-    mark = F.when(F.col(feature), F.col("gy"))
-    up, down = (Window.partitionBy("grid_id", "gx").orderBy(o) for o in (F.col("gy").asc(), F.col("gy").desc()))
-    steps = F.least(F.col("gy") - F.last(mark, True).over(up), F.last(mark, True).over(down) - F.col("gy"))
-    near = cells.select("grid_id", "gx", "gy", steps.alias("v"))
-    rows = near.groupBy("grid_id", "gy").agg(F.array_sort(F.collect_list(F.struct(F.col("gx").cast("long").alias("gx"), F.coalesce("v", F.lit(-1)).cast("long").alias("v")))).alias("c"))
-    rows = rows.select("grid_id", "gy", F.col("c.gx").alias("xs"), F.col("c.v").alias("vs"))
+    names = [f"d{k}" for k in range(len(marks))]
+    held = cells.select("grid_id", F.col("gx").cast("long").alias("gx"), F.struct(F.col("gy").cast("long").alias("at"), *(F.coalesce(m, F.lit(False)).alias(n) for m, n in zip(marks, names, strict=True))).alias("c"))
+
+    def columns(rows: pa.Array) -> pa.Array:
+        (ys, *marked), bounds = _flat(rows)
+        return _lists(["at", *names], [ys, *(_steps(ys, m.astype(bool), bounds) for m in marked)], bounds)
 
-    def run(xs: pd.Series, vs: pd.Series) -> pd.Series:
-        return pd.Series([along(np.asarray(x, np.int64), np.asarray(v, np.int64)) for x, v in zip(xs, vs, strict=True)], dtype=object)
+    def lines(rows: pa.Array) -> pa.Array:
+        (xs, *steps), bounds = _flat(rows)
+        parts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        return _lists(["at", *names], [xs, *(np.concatenate([np.zeros(0), *(along(xs[a:b], v[a:b]) for a, b in parts)]) for v in steps)], bounds)
 
-    each = rows.withColumn("ds", F.pandas_udf(run, "array<double>")("xs", "vs")).select("grid_id", "gy", F.explode(F.arrays_zip("xs", "ds")).alias("k"))
-    return each.select("grid_id", F.col("k.xs").alias("gx"), "gy", F.nanvl("k.ds", F.lit(None).cast("double")).alias(out))
+    kind = lambda of: f"array<struct<at: bigint, {', '.join(f'{n}: {of}' for n in names)}>>"
+    gathered = lambda df, key: df.groupBy("grid_id", key).agg(F.array_sort(F.collect_list("c")).alias("c"))
+    near = gathered(held, "gx").select("grid_id", "gx", F.explode(F.arrow_udf(columns, kind("bigint"))("c")).alias("k"))
+    turned = near.select("grid_id", F.col("k.at").alias("gy"), F.struct(F.col("gx").alias("at"), *(f"k.{n}" for n in names)).alias("c"))
+    each = gathered(turned, "gy").select("grid_id", "gy", F.explode(F.arrow_udf(lines, kind("double"))("c")).alias("k"))
+    return each.select("grid_id", F.col("k.at").alias("gx"), "gy", *(F.nanvl(f"k.{n}", F.lit(None).cast("double")).alias(n) for n in names))
 
 
 def distance_transform(cells: DataFrame, feature: str = "feature", out: str = "distance") -> DataFrame:
     """Exact Euclidean distance of every cell to the nearest feature cell."""
-    return _transform(cells, euclidean_row, feature, out)
+    return _transform(cells, euclidean_row, [F.col(feature)]).withColumnRenamed("d0", out)
 
 
 def chamfer_transform(cells: DataFrame, feature: str = "feature", out: str = "distance") -> DataFrame:
     """Chamfer distance with steps of 3 (straight) and 4 (diagonal), in units of a straight step."""
-    return _transform(cells, chamfer_row, feature, out)
+    return _transform(cells, chamfer_row, [F.col(feature)]).withColumnRenamed("d0", out)
 
 
 def signed_transform(cells: DataFrame, feature: str = "feature", out: str = "distance") -> DataFrame:
     """Distance to the nearest feature outside, minus that to the nearest other cell inside."""
-    outside = distance_transform(cells, feature, "__o")
-    inside = distance_transform(cells.withColumn("__n", ~F.col(feature)), "__n", "__i")
-    return outside.join(inside, ["grid_id", "gx", "gy"]).select("grid_id", "gx", "gy", (F.col("__o") - F.col("__i")).alias(out))
+    both = _transform(cells, euclidean_row, [F.col(feature), ~F.col(feature)])
+    return both.select("grid_id", "gx", "gy", (F.col("d0") - F.col("d1")).alias(out))
 
 
 def field_of(width: int, height: int, origin: tuple[float, float], cell: float, measure: Callable[[Column], Column]) -> Column:

@@ -85,3 +85,19 @@ def test_sobol_queries_take_31_bits(spark, tmp_path):
     c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     for name in ("sobol_2d", "sobol_four"):
         assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(c.execute(ORACLES[name]).fetchall())
+
+
+def test_signed_transform_in_two_shuffles(spark):
+    """Both distances at once, on rasters with marks that are null, by their definition."""
+    from planewright.operators import raster as R
+
+    rng = np.random.default_rng(3)
+    cells = [(g, x, y, [True, False, None][rng.integers(3)] if g < 3 else False) for g in range(4) for x in range(7) for y in range(5)]
+    out = R.signed_transform(spark.createDataFrame(cells, "grid_id int, gx long, gy long, feature boolean"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    near = lambda g, x, y, f: min((np.hypot(x - a, y - b) for h, a, b, v in cells if h == g and v is f), default=None)
+    got = {(r.grid_id, r.gx, r.gy): r.distance for r in out.collect()}
+    assert len(got) == len(cells)
+    for g, x, y, _ in cells:
+        o, i = near(g, x, y, True), near(g, x, y, False)
+        assert got[g, x, y] is None if o is None or i is None else got[g, x, y] == pytest.approx(o - i)
