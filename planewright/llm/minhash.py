@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewright.llm.common import HOT, HOT_ROWS, SPACED, dropped, mix, sections, text_of, with_keys, words, written
+from planewright.llm.common import HOT, HOT_ROWS, SPACED, forgotten, mix, released, sections, text_of, with_keys, words, written
 from planewright.llm.tokens import utf8
 
 #: Slots of a signature, and of a band. A pair at 0.8 shares no band once in 10**7.
@@ -30,6 +30,8 @@ DEVIATIONS = 5.1
 BLOCK = 1 << 20
 #: Members of a band that one task compares with as many others.
 MEMBERS = 1024
+#: Documents, or pairs of them, whose sets a task holds at a time.
+ROWS = 512
 
 _FAR = np.uint64(1 << 63)
 
@@ -151,11 +153,9 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         import pyarrow as pa
 
         for batch in batches:
-            data, borders = utf8(batch.column(1))
-            sets, ends = shingle_sets(data, borders, shingle)
-            for lo in range(0, len(batch), 512):
-                hi = min(lo + 512, len(batch))
-                part, cut = sets[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
+            for lo in range(0, len(batch), ROWS):
+                hi = min(lo + ROWS, len(batch))
+                part, cut = shingle_sets(*utf8(batch.column(1)[lo:hi]), shingle)
                 sig = signatures(part, cut)
                 have = np.diff(cut) > 0
                 one, two = mix(part), mix(part ^ np.uint64(0xA5A5A5A5A5A5A5A5))
@@ -171,7 +171,7 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 )
 
     source = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
-    return source.mapInArrow(run, f"doc_id {kind}, n_shingles long, class_id binary, bands array<bigint>, slots binary")
+    return source.mapInArrow(released(run), f"doc_id {kind}, n_shingles long, class_id binary, bands array<bigint>, slots binary")
 
 
 def contracted(links: DataFrame) -> DataFrame:
@@ -215,11 +215,11 @@ def contracted(links: DataFrame) -> DataFrame:
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = written(links.select("a", "b").mapInArrow(local, "a long, b long"), "links")
+    edges = written(links.select("a", "b").mapInArrow(released(local), "a long, b long"), "links")
     now = mark(edges)
     while True:
         after = written(star(star(edges, True, 2 * now[0]), False, 2 * now[0]), "links")
-        dropped(links.sparkSession, edges.inputFiles()[0].rpartition("/")[0]) if edges.inputFiles() else None
+        forgotten(edges)
         edges, before, now = after, now, mark(after)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -248,13 +248,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
         import pyarrow as pa
 
         for batch in batches:
-            sets = [shingle_sets(*utf8(batch.column(k)), shingle) for k in (2, 3)]
-            ok = [similar(*(s[e[k] : e[k + 1]] for s, e in sets), percent) for k in range(len(batch))]
+            ok = []
+            for lo in range(0, len(batch), ROWS):
+                part = batch.slice(lo, ROWS)
+                sets = [shingle_sets(*utf8(part.column(k)), shingle) for k in (2, 3)]
+                ok += [similar(*(s[e[k] : e[k + 1]] for s, e in sets), percent) for k in range(len(part))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     total = pairs.count()
     both = _with_texts(_with_texts(pairs, texts, "b", "a", "tb", total), texts, "a", "b", "ta", total)
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(released(run), "a long, b long")
 
 
 def _finer(texts: DataFrame, shingle: int) -> DataFrame:
@@ -270,7 +273,7 @@ def _finer(texts: DataFrame, shingle: int) -> DataFrame:
                 short = mix(sig.ravel()).astype(np.uint8).reshape(sig.shape)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in short], pa.binary())], ["node", "slots"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, slots binary")
+    return texts.select("node", "text").mapInArrow(released(run), "node long, slots binary")
 
 
 def _left_over(members: DataFrame, classes: DataFrame, roots: DataFrame, best: bool, percent: int, texts: DataFrame, shingle: int) -> DataFrame:
@@ -342,7 +345,7 @@ def _left_over(members: DataFrame, classes: DataFrame, roots: DataFrame, best: b
             rows = pairs_in(*(int(c[0]) for c in carry[1:4]), *carry[4:])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -358,9 +361,14 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     sketches = written(sketch(docs, id_column, text_column, shingle), "sketch")
     real = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(real.groupBy("class_id").agg(F.min("doc_id").cast("long").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("slots").alias("slots"), F.count("*").alias("n")), "classes")
+    # what is left of a document's signature from here on; those of the classes have a folder of their own
+    found = written(sketches.select("doc_id", "n_shingles", "class_id"), "sets")
+    forgotten(sketches)
+    real = found.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     spread = classes.select(F.posexplode("bands").alias("band_no", "band"), "node", "n_shingles")
     shared = written(spread.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1"), "shared")
     members = written(with_keys(spread, shared, "band", classes.count() * SLOTS // BAND), "members")
+    forgotten(shared)
 
     # the texts that checks may need; joined by node, so that repeated rows fall together without a further shuffle
     whole = docs.select(F.col(id_column).cast("long").alias("node"), text_of(text_column).alias("text"))
@@ -376,13 +384,15 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             pairs = _left_over(members, classes, roots, best, percent, texts, shingle)
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        forgotten(roots)
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = written(_verified(pairs, texts, shingle, percent), "verified")
         links = new if links is None else links.unionByName(new)
         roots = contracted(links)
     named = written(classes.select("class_id", "node", "n").join(roots, "node", "left").select("class_id", "n", F.coalesce("root", "node").alias("component_id")), "named")
-    linked = with_keys(real.select("doc_id", "n_shingles", "class_id"), named, "class_id", sketches.count()).drop("class_id")
-    alone = sketches.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").cast("long").alias("component_id"))
+    forgotten(members, texts, classes, tried, links, roots)
+    linked = with_keys(real, named, "class_id", found.count()).drop("class_id")
+    alone = found.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").cast("long").alias("component_id"))
     return linked.unionByName(alone)
 
 

@@ -302,6 +302,18 @@ def test_near_duplicates_round_hubs(spark, monkeypatch):
         assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash.groups(table, shingle=4).collect()} == want
 
 
+def test_near_duplicates_leave_little_on_disk(spark):
+    """Of the folders between the steps only those stay that the result is read from; a signature stays in none."""
+    import os
+
+    rows = [(i, f"{' '.join(f'w{i // 3}x{k}' for k in range(40))}{' end' * (i % 3)}") for i in range(60)]
+    held = lambda: set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
+    before = held()
+    got = minhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 3 for i in range(60)}
+    assert {x.rpartition("-")[0] for x in held() - before} <= {"sets", "named", "fine"}
+
+
 def test_superminhash_equals_definition():
     sets = [np.unique(np.random.default_rng(k).integers(0, 1 << 62, n).astype(np.uint64)) for k, n in enumerate((1, 3, 200, 900))]
     borders = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
