@@ -101,3 +101,23 @@ def test_signed_transform_in_two_shuffles(spark):
     for g, x, y, _ in cells:
         o, i = near(g, x, y, True), near(g, x, y, False)
         assert got[g, x, y] is None if o is None or i is None else got[g, x, y] == pytest.approx(o - i)
+
+
+def test_circles_on_tiles(spark, monkeypatch):
+    """Pairs by their definition over several tiles and lots, and a shuffle with few copies of a row."""
+    from planewright.operators import circles as X
+
+    for name, value in (("SMALLEST", 40), ("VISITORS", 50), ("LEAF", 16), ("PAIRS", 200)):
+        monkeypatch.setattr(X, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(int(k), float(x), float(y), float(r)) for k, (x, y, r) in enumerate(zip(rng.normal(size=400), rng.normal(size=400), rng.gamma(1, 0.2, 400), strict=True))]
+    rows += [(400, 0.0, 0.0, 9.0), (401, 20.0, 0.0, 1.0), (402, 22.0, 0.0, 1.0), (403, 20.0, 0.0, 0.0)]
+    df = spark.createDataFrame([*rows, (404, 0.0, 0.0, -1.0), (405, None, 0.0, 1.0), (406, 0.0, 0.0, None)], "id long, x double, y double, r double")
+    c = df.selectExpr("id", "struct(struct(x, y) AS center, r AS radius) AS c")
+    want = {(a, b): np.hypot(x - u, y - v) - r - s for a, x, y, r in rows for b, u, v, s in rows if np.sqrt((x - u) ** 2 + (y - v) ** 2) <= r + s}
+    got = X.overlapping(c, c)
+    assert {(g.a, g.b): pytest.approx(g.gap, abs=1e-12) for g in got.collect()} == want and got.count() == len(want)
+    one = X.overlapping(c, c, ordered=True)
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((g.a, g.b) for g in one.collect()) == sorted(k for k in want if k[0] < k[1])
+    assert X.overlapping(c.limit(0), c).count() == X.overlapping(c, c.limit(0)).count() == 0
