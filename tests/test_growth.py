@@ -121,3 +121,21 @@ def test_circles_on_tiles(spark, monkeypatch):
     assert one._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted((g.a, g.b) for g in one.collect()) == sorted(k for k in want if k[0] < k[1])
     assert X.overlapping(c.limit(0), c).count() == X.overlapping(c, c.limit(0)).count() == 0
+
+
+def test_batches_are_worked_on_by_rows(monkeypatch):
+    """However many rows a batch has, a kernel's results are held for ROWS of them at a time."""
+    rows = [[{"x": float(k), "y": 1.0}] * (k % 4) if k % 5 else None for k in range(50)]
+    monkeypatch.setattr(P, "ROWS", 7)
+    seen = []
+
+    def run(lines):
+        seen.append(len(lines))
+        return P._values("points", (p * 2 for p in P.arrays_of(lines)))
+
+    for batch in (pa.array(rows, LINE), pa.array(rows, LINE)[3:], pa.array([], LINE)):
+        assert P.by_rows(run, batch).equals(run(batch))
+    assert max(seen[:8]) == 7 and sum(seen[:8]) == 50
+    packed = pa.StructArray.from_arrays([pa.array(rows, LINE)] * 2, ["c0", "c1"])
+    both = lambda rows: P._values("double", (float(len(a) + b.sum()) for a, b in zip(*map(P.arrays_of, rows.flatten()), strict=True)))
+    assert P.by_rows(both, packed[2:]).equals(both(packed[2:]))
