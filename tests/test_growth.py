@@ -139,3 +139,24 @@ def test_batches_are_worked_on_by_rows(monkeypatch):
     packed = pa.StructArray.from_arrays([pa.array(rows, LINE)] * 2, ["c0", "c1"])
     both = lambda rows: P._values("double", (float(len(a) + b.sum()) for a, b in zip(*map(P.arrays_of, rows.flatten()), strict=True)))
     assert P.by_rows(both, packed[2:]).equals(both(packed[2:]))
+
+
+def test_far_edges_are_not_compared_closely():
+    """Edges meet only where their boxes do; all others cost a comparison, not the arithmetic of a crossing."""
+    import tracemalloc
+
+    from planewright.functions import overlay as O
+    from planewright.functions import polygon_kernels as N
+
+    t = np.linspace(0, 2 * np.pi, 4001)
+    ring = np.stack([np.cos(t), np.sin(t)], 1)
+    a, b = ring[:256], ring[1:257]
+    tracemalloc.start()
+    i, j, at = N._cuts(a, b, ring[:-1], ring[1:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    assert {(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if x != y} == {(k, n % 4000) for k in range(256) for n in (k - 1, k + 1)} and set(np.round(at, 9)) == {0.0, 1.0}
+    assert all(len(x) == 0 for x in N._cuts(a[:0], b[:0], a, b))
+    with pytest.raises(ValueError):
+        O.outline([np.array([[0.0, 0.0], [np.inf, 0.0], [1.0, 1.0]])])
