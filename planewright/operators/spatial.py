@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +132,81 @@ def first_hits(hits: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return ranked.filter(F.col("__r") <= n).drop("__r")
 
 
+#: Boxes with the smallest ids that every query is held against at once, how many times more the next ones are, and comparisons made together.
+FIRST, GROWTH, TOGETHER = 1 << 15, 8, 1 << 18
+
+
+def _first_of(asked: tuple[np.ndarray, ...], held: tuple[np.ndarray, ...], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For boxes (id, low x, low y, high x, high y) the ids of the first n held ones of another id that meet them, row by row, and how many those are."""
+    asked, held = ((b[0], *(np.where(np.isnan(v), np.inf, v) for v in b[1:])) for b in (asked, held))
+    found, count = np.zeros((len(asked[0]), n), np.int64), np.zeros(len(asked[0]), np.int64)
+    todo, at, width = np.arange(len(count)), 0, 64
+    while len(todo) and at < len(held[0]):
+        i, lx, ly, hx, hy = (v[at : at + width] for v in held)
+        step = max(1, TOGETHER // len(i))
+        for k in range(0, len(todo), step):
+            rows = todo[k : k + step]
+            j, u, v, w, z = (c[rows, None] for c in asked)
+            met = (lx <= w) & (u <= hx) & (ly <= z) & (v <= hy) & (i != j)
+            place = met.cumsum(1) + count[rows, None]
+            a, b = np.nonzero(met & (place <= n))
+            found[rows[a], place[a, b] - 1] = i[b]
+            count[rows] = np.minimum(place[:, -1], n)
+        todo, at, width = todo[count[todo] < n], at + width, min(4096, width * GROWTH)
+    return found[np.arange(n) < count[:, None]], count
+
+
+def first_meeting(left: DataFrame, right: DataFrame, n: int, lid: str = "a_id", rid: str = "b_id", l: str = "a", r: str = "b") -> DataFrame:
+    """(lid, rid): for each left id the n smallest ids of right boxes that meet its box and have another id; all of them if there are fewer.
+
+    Where boxes lie close the pairs grow as the square of the rows, so they aren't made: all are held
+    against the boxes with the smallest ids, and those that lack hits go on to the next ones, each
+    time GROWTH times as many, so that a box meets a few times n in a round.
+    """
+    edges = ("min_x", "min_y", "max_x", "max_y")
+
+    def plain(df: DataFrame, i: str, b: str) -> DataFrame:
+        rows = df.select(F.col(i).cast("long").alias("id"), *(F.col(f"{b}.{e}").cast("double").alias(e) for e in edges)).dropna()
+        return rows.filter("min_x <= max_x AND min_y <= max_y")
+
+    there = plain(right, rid, r)
+    lowest = there.orderBy("id").limit(FIRST + 1).toPandas()
+    whole, border = len(lowest) <= FIRST, int(lowest["id"].max()) if len(lowest) else 0
+    lowest = lowest if whole else lowest[lowest["id"] < border]  # rows of one id stay together
+    held = left.sparkSession.sparkContext.broadcast(tuple(lowest[c].to_numpy() for c in ("id", *edges)))
+
+    def met(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, count = _first_of(tuple(c.to_numpy() for c in batch.columns), held.value, n)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", *edges, "ids"])
+
+    found = plain(left, lid, l).mapInArrow(met, f"id long, {', '.join(f'{e} double' for e in edges)}, ids array<long>")
+    out = [found]
+    if not whole:
+        todo, total = cut(found.withColumn("row", F.monotonically_increasing_id())), there.count()
+        shares = [FIRST * GROWTH**k / total for k in range(1, 64) if FIRST * GROWTH**k < total]
+        later = {int(x) for x in there.approxQuantile("id", shares, FIRST / total / 4)} if shares else set()
+        borders = [border, *sorted(x for x in later if x > border), None]
+        out = []
+        for low, high in zip(borders, borders[1:], strict=False):
+            out.append(todo.filter(F.size("ids") >= n))
+            todo = todo.filter(F.size("ids") < n)
+            if todo.isEmpty():
+                break
+            box = F.struct(*edges)
+            some = there.filter(F.col("id") >= low if high is None else (F.col("id") >= low) & (F.col("id") < high))
+            pairs = boxes_meeting(todo.select("row", F.col("id").alias("i"), box.alias("b")), some.select(F.col("id").alias("j"), box.alias("o"))).filter("i <> j")
+            more = first_hits(pairs.select("row", "j"), "row", "j", n).groupBy("row").agg(F.sort_array(F.collect_list("j")).alias("more"))
+            ids = F.slice(F.concat("ids", F.coalesce("more", F.array().cast("array<long>"))), 1, n)
+            todo = cut(todo.join(more, "row", "left").select("id", *edges, ids.alias("ids"), "row"))
+        out.append(todo)
+    every = reduce(DataFrame.unionByName, out).select(F.col("id").alias(lid), F.explode("ids").alias(rid))
+    return first_hits(every, lid, rid, n)  # rows of one id share their hits
+
+
 #: Pairs of points that two boxes may have for all of them to be looked at; and the step of a grid on which points in different places have boxes of their own.
 PAIRS, APART = 256, 26
 

@@ -160,3 +160,28 @@ def test_far_edges_are_not_compared_closely():
     assert all(len(x) == 0 for x in N._cuts(a[:0], b[:0], a, b))
     with pytest.raises(ValueError):
         O.outline([np.array([[0.0, 0.0], [np.inf, 0.0], [1.0, 1.0]])])
+
+
+def test_first_hits_without_all_pairs(spark, monkeypatch, tmp_path):
+    """By their definition over several rounds, with boxes that lack hits; and close boxes' pairs aren't made."""
+    from planewright.operators import spatial as S
+    from planewright.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(11)
+    lows = np.concatenate([rng.random((300, 2)) * 3, rng.random((100, 2)) * 100, rng.random((9, 2)) * 3])
+    size = np.concatenate([rng.random((400, 2)), np.full((9, 2), 50.0)])
+    ids = [*rng.permutation(400).tolist(), *([7] * 9)]
+    rows = [(i, *map(float, (*p, *(p + w)))) for i, p, w in zip(ids, lows, size, strict=True)]
+    df = spark.createDataFrame([*rows, (500, None, 0.0, 1.0, 1.0), (501, 2.0, 0.0, 1.0, 1.0)], "i long, min_x double, min_y double, max_x double, max_y double")
+    a, b = (df.selectExpr(f"i AS {n}_id", f"struct(min_x, min_y, max_x, max_y) AS {n}") for n in "ab")
+    meet = lambda p, q: p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]
+    want = sorted((i, j) for i in set(ids) for j in sorted(q[0] for p in rows for q in rows if i == p[0] != q[0] and meet(p, q))[:3])
+    for first in (1 << 15, 16, 5):
+        monkeypatch.setattr(S, "FIRST", first)
+        monkeypatch.setattr(S, "GROWTH", 3)
+        assert sorted(map(tuple, S.first_meeting(a, b, 3).collect())) == want
+    assert S.first_meeting(a, b.limit(0), 3).count() == S.first_meeting(a.limit(0), b, 3).count() == 0
+    monkeypatch.setattr(S, "FIRST", 64)
+    spark.createDataFrame([(k, [0.1 * (k % 3)] * 8, 0) for k in range(900)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    close = QUERIES["box_first_hits"](spark, str(tmp_path))
+    assert "Join" not in close._jdf.queryExecution().executedPlan().toString() and close.count() == 1800
