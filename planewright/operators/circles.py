@@ -3,7 +3,8 @@
 Where most circles overlap, the pairs grow as the square of the rows, so all else must stay small: a
 circle of one side lies in one tile, one of the other goes to the tiles that it reaches, of which
 there are about TILES unless they would hold more than LARGEST rows. A task keeps its tile's numbers,
-takes the visitors in lots and gives pairs out as it finds them; no pair is shuffled or kept.
+takes the visitors in lots and gives pairs out in order of their gaps, SORTED of them at a time; no
+pair is shuffled, and no more are kept.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from planewright.operators.tiles import Tree, cuts
 
 #: Tiles, the rows that a tile holds at least and at most, tasks that share a tile's visitors at most, and visitors for which there is one.
 TILES, SMALLEST, LARGEST, LOTS, VISITORS = 8, 1 << 13, 1 << 20, 8, 1 << 11
-#: Circles of a tile's own parts, and pairs looked at together.
-LEAF, PAIRS = 512, 1 << 18
+#: Circles of a tile's own parts, pairs looked at together, and pairs put in order of their gaps together (8 bytes each).
+LEAF, PAIRS, SORTED = 512, 1 << 18, 1 << 24
 
 
 def _extents(leaf: np.ndarray, n: int, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -32,24 +33,50 @@ def _extents(leaf: np.ndarray, n: int, x: np.ndarray, y: np.ndarray, r: np.ndarr
 
 
 def overlaps(held: tuple[np.ndarray, ...], seen: tuple[np.ndarray, ...], ordered: bool, parts: tuple | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids of seen and held circles (id, x, y, r each) that overlap or touch, and their gaps, some at a time; ``ordered`` only those with the smaller id seen."""
+    """Ids of seen and held circles (id, x, y, r each) that overlap or touch, and their gaps, some at a time; ``ordered`` only those with the smaller id seen.
+
+    About SORTED pairs at a time are put in order of their gaps: rows with equal gaps follow each other and take less room in files.
+    """
     tree, nodes, members = parts or divided(held)
     i, x, y, r = held
     j, u, v, s = seen
-    row, leaf = tree.within(nodes, u, v, s)
-    order = np.argsort(leaf, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1) if len(order) else []:
-        m, rows = members[leaf[part[0]]], row[part]
-        step = max(1, PAIRS // len(m))
-        for lo in range(0, len(rows), step):
-            n = rows[lo : lo + step]
-            d = np.sqrt((u[n, None] - x[m]) ** 2 + (v[n, None] - y[m]) ** 2)
-            met = d <= s[n, None] + r[m]
-            if ordered:
-                met &= j[n, None] < i[m]
-            a, b = np.nonzero(met)
-            if len(a):
-                yield j[n[a]], i[m[b]], d[a, b] - s[n[a]] - r[m[b]]
+    # a pair waits as the bits of its gap, its seen and its held circle, in one number
+    width = max(1, len(i) - 1).bit_length()
+    low, most = np.uint64((1 << width) - 1), 1 << max(0, 32 - width)
+
+    def gaps(n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.sqrt((u[n] - x[m]) ** 2 + (v[n] - y[m]) ** 2)
+        return d <= s[n] + r[m], d - s[n] - r[m]
+
+    def given(keys: np.ndarray, first: int) -> Iterator:
+        keys.sort()
+        for lo in range(0, len(keys), PAIRS):
+            code = keys[lo : lo + PAIRS] & np.uint64(0xFFFFFFFF)
+            n, m = (code >> np.uint64(width)).astype(np.int64) + first, (code & low).astype(np.int64)
+            yield j[n], i[m], gaps(n, m)[1]
+
+    for first in range(0, len(j), most):
+        some = slice(first, first + most)
+        row, leaf = tree.within(nodes, u[some], v[some], s[some])
+        order = np.argsort(leaf, kind="stable")
+        keys, filled = np.empty(SORTED + PAIRS, np.uint64), 0
+        for part in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1) if len(order) else []:
+            own, rows = members[leaf[part[0]]], row[part]
+            for m in np.split(own, range(PAIRS, len(own), PAIRS)):
+                step = max(1, PAIRS // len(m))
+                for lo in range(0, len(rows), step):
+                    n = rows[lo : lo + step]
+                    met, gap = gaps(n[:, None] + first, m)
+                    if ordered:
+                        met &= j[n + first, None] < i[m]
+                    a, b = np.nonzero(met)
+                    depth = np.abs(gap[a, b]).astype(np.float32).view(np.uint32).astype(np.uint64)
+                    keys[filled : filled + len(a)] = depth << np.uint64(32) | n[a].astype(np.uint64) << np.uint64(width) | m[b].astype(np.uint64)
+                    filled += len(a)
+                    if filled >= SORTED:
+                        yield from given(keys[:filled], first)
+                        filled = 0
+        yield from given(keys[:filled], first)
 
 
 def divided(held: tuple[np.ndarray, ...]) -> tuple[Tree, np.ndarray, list[np.ndarray]]:

@@ -123,6 +123,51 @@ def test_circles_on_tiles(spark, monkeypatch):
     assert X.overlapping(c.limit(0), c).count() == X.overlapping(c, c.limit(0)).count() == 0
 
 
+def test_circle_pairs_take_little_room(spark, tmp_path):
+    """Pairs with equal gaps are written together: under five bytes a pair (more than six before), and none is lost."""
+    from pyspark.sql import functions as F
+
+    from planewright.operators import circles as X
+
+    rng = np.random.default_rng(5)
+    x, y, r = rng.normal(size=2500), rng.normal(size=2500), rng.gamma(4, 0.5, 2500)
+    df = spark.createDataFrame([(k, float(x[k]), float(y[k]), float(r[k])) for k in range(2500)], "id long, x double, y double, r double")
+    c = df.selectExpr("id", "struct(struct(x, y) AS center, r AS radius) AS c")
+    X.overlapping(c, c, ordered=True).select("a", "b", F.round("gap", 4).alias("gap")).write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    a, b = np.triu_indices(2500, 1)
+    gap = np.hypot(x[a] - x[b], y[a] - y[b]) - r[a] - r[b]
+    n, *ids, total = got.agg(F.count("*"), F.sum("a"), F.sum("b"), F.sum("gap")).first()
+    assert n == (gap <= 0).sum() and ids == [a[gap <= 0].sum(), b[gap <= 0].sum()] and total == pytest.approx(gap[gap <= 0].sum(), abs=1)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 5 * n
+
+
+def test_circle_pairs_in_lots(monkeypatch):
+    """Pairs by their definition and in order, whatever waits together: few, a leaf of one place, more seen circles than one number holds."""
+    from planewright.operators import circles as X
+
+    rng = np.random.default_rng(6)
+    some = lambda n, r: (rng.permutation(n), *np.round(rng.normal(size=(2, n)), 2), np.full(n, r))
+    for sorted_, pairs, held, seen in ((1 << 24, 1 << 18, some(300, 0.4), some(200, 0.3)), (500, 100, some(300, 0.4), some(200, 0.3)), (64, 7, (np.arange(90), np.zeros(90), np.zeros(90), np.ones(90)), some(50, 0.5))):
+        monkeypatch.setattr(X, "SORTED", sorted_)
+        monkeypatch.setattr(X, "PAIRS", pairs)
+        monkeypatch.setattr(X, "LEAF", 16 if len(held[0]) > 90 else 512)
+        for ordered in (False, True):
+            d = np.sqrt((seen[1][:, None] - held[1]) ** 2 + (seen[2][:, None] - held[2]) ** 2)
+            n, m = np.nonzero((d <= seen[3][:, None] + held[3]) & (~np.bool_(ordered) | (seen[0][:, None] < held[0])))
+            want = set(zip(seen[0][n], held[0][m], d[n, m] - seen[3][n] - held[3][m], strict=True))
+            a, b, gap = map(np.concatenate, zip(*X.overlaps(held, seen, ordered), strict=True))
+            assert len(a) == len(want) and set(zip(a, b, gap, strict=True)) == want
+            assert sorted_ < len(a) or (np.diff(gap.astype(np.float32)) <= 0).all()
+    monkeypatch.undo()
+    monkeypatch.setattr(X, "LEAF", 1 << 13)
+    grid = np.arange(1 << 20)
+    held = (grid, (grid % 1024).astype(float), (grid // 1024).astype(float), np.full(1 << 20, 0.1))
+    rows = np.arange(0, 1 << 20, 251)
+    a, b, gap = map(np.concatenate, zip(*X.overlaps(held, tuple(h[rows] for h in held), False), strict=True))
+    assert len(rows) > 1 << 12 and sorted(a) == sorted(b) == rows.tolist() and np.allclose(gap, -0.2)
+
+
 def test_batches_are_worked_on_by_rows(monkeypatch):
     """However many rows a batch has, a kernel's results are held for ROWS of them at a time."""
     rows = [[{"x": float(k), "y": 1.0}] * (k % 4) if k % 5 else None for k in range(50)]
